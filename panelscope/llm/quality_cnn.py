@@ -24,7 +24,7 @@ from panelscope.llm._labels import held_out, labelled_sample
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 64, 8, 2
 EMBED, FILTERS, HIDDEN, THRESHOLD = 6, 24, 16, 0.7
 #: Training: rows, and chunks spread over each row's whole text, that a step sees.
-MAX_TRAIN_ROWS, TRAIN_CHUNKS, SHARDS, ROUNDS, BATCH, RATE = 4000, 3, 6, 5, 16, 0.01
+MAX_TRAIN_ROWS, TRAIN_CHUNKS, SHARDS, ROUNDS, BATCH, RATE = 4000, 3, 4, 8, 8, 0.015
 _BLOCK = 256  # chunks in memory at once
 _POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 

@@ -1,12 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
-from panelscope.llm import decontamination, quality_cnn, simhash, toxicity, urls
+from panelscope.llm import decontamination, packing, quality_cnn, quality_rules, records, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_simhash": simhash.op2_simhash,
     "op4_url_filter": urls.op4_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_token_records": records.op6_token_records,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_packing": packing.op8_packing,
+    "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality_cnn.op10_quality,
 }
+#: The others learn, hash, permute or tokenise in ways SQL can't; tests hold them against brute force.
 ORACLE_SQL = {"op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL}

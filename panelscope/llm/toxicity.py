@@ -2,8 +2,10 @@
 
 A text becomes the set of its lower-cased byte n-grams of 3 to 5 bytes, white space as one
 space, hashed into 2^18 cells. Each present cell counts with its log-count ratio times a
-learnt weight. Ratios are one aggregation over the training rows, weights a logistic
-regression whose gradient is summed over Spark's partitions each step.
+learnt weight; a ratio counts only if it stands EVIDENCE standard errors from chance, so
+that thousands of stray n-grams can't outvote a telling one. Ratios are one aggregation over
+the training rows, weights a logistic regression whose gradient is summed over Spark's
+partitions each step.
 
 A null or empty text has no n-grams; its score is that of the intercept. Texts are read
 whole, however long. Repeated rows are scored alike. If the training rows hold one class
@@ -21,7 +23,7 @@ from panelscope.llm._common import discard, materialize, table
 from panelscope.llm._labels import MAX_TRAIN_ROWS, held_out, labelled_sample
 
 BITS, SIZES, THRESHOLD = 18, (3, 4, 5), 0.3
-STEPS, RATE, L2, SMOOTHING = 30, 1.0, 1e-4, 1.0
+STEPS, RATE, L2, SMOOTHING, EVIDENCE = 30, 0.05, 1e-4, 1.0, 4.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 20
 
@@ -97,10 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         return Model(np.zeros(size), np.log(share / (1 - share)))
     p, q = counts[1, :size] + SMOOTHING, counts[0, :size] + SMOOTHING
     ratio = np.log(p / (n1 + 2 * SMOOTHING)) - np.log(q / (n0 + 2 * SMOOTHING))
-    ratio[counts[:, :size].sum(0) < 3] = 0  # seen in fewer than three texts: no evidence
+    seen, share = counts[:, :size].sum(0), n1 / (n0 + n1)
+    chance = np.sqrt(seen * share * (1 - share)) + 1e-9
+    ratio[(seen < 3) | (np.abs(counts[1, :size] - seen * share) < EVIDENCE * chance)] = 0
     scale = ratio.astype(np.float32)
-    w, bias, m, v = np.zeros(size), np.log(n1 / n0), np.zeros(size + 1), np.zeros(size + 1)
-    for t in range(1, STEPS + 1):
+    w, bias, m = np.zeros(size), np.log(n1 / n0), np.zeros(size + 1)
+    for _ in range(STEPS):
         now, b = (scale * w).astype(np.float32), bias
 
         def gradient(frames, now=now, b=b):
@@ -115,9 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
         g = total(gradient, size + 1) / (n0 + n1)
         g[:size] = g[:size] * scale + L2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.02 * RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, bias = w - move[:size], bias - move[size]
+        m = 0.9 * m + g
+        w, bias = w - RATE * m[:size], bias - RATE * m[size]
     discard(sample)
     return Model(scale * w, bias)
 
