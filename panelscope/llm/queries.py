@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from panelscope.llm import decontamination, packing, quality_cnn, quality_rules, records, sharding, simhash, toxicity, urls
+from panelscope.llm import decontamination, hmm, packing, quality_cnn, quality_rules, records, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_simhash": simhash.op2_simhash,
+    "op3_language_model": hmm.op3_language_model,
     "op4_url_filter": urls.op4_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_records": records.op6_token_records,
