@@ -71,9 +71,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fold(doc_id, modulus: int):
-    """crc32 of the id as text, modulo ``modulus``."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % modulus
+def fold(doc_id: str, modulus: int):
+    """crc32 of the id as text (null: empty), modulo ``modulus``."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def global_offsets(df: DataFrame, order: list[str], size: str, out: str, what: str) -> tuple[DataFrame, int]:
