@@ -1,56 +1,141 @@
 """Tokenising whole texts with a file of the tokenizers library, piece by piece.
 
-Both vocabularies in use never join text across the start of a run of white space, so a
+Both vocabularies in use never join text across the start of a run of white space, nor
+between letters and a stop or comma after them, nor between a lone newline and a letter. A
 text is cut there, every distinct piece is encoded once by the library, and the ids of a
 text are those of its pieces in order. The pieces seen are kept up to a bound.
+
+Pieces of Latin letters go straight to the library's merge model, spelled as its normaliser
+and pre-tokenizer would spell them; at the start that spelling is tried on a few words, and
+not used unless the whole library gives the same ids. All other pieces go the whole way.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
-from itertools import chain
 
-#: A piece: white space and what follows it, up to a space or newline that begins the next
-#: run of white space. Other white space never cuts: libraries differ in what they count.
-PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-MAX_PIECES = 300_000
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces, in order of preference: a run of letters, with one space before it, up to a blank
+#: or stop; stops up to a blank; a newline before a letter; or white space and what follows
+#: it, up to a space or newline that begins the next run of white space. Other white space
+#: never cuts: libraries differ in what they count as such.
+PIECE = re.compile(rf" ?[{_LETTER}]+(?=[ \n,.!|]|\Z)|[,.!|]+(?=[ \n]|\Z)|\n(?=[{_LETTER}])|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+#: Stops that may end a word.
+STOPS = ",.!|"
+MAX_PIECES = 800_000
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level spelling of the Latin-1 letters: UTF-8 bytes as printable characters, the
+    unprintable ones (0 to 32, 127 to 160, 173) counted on from 256."""
+    odd = [*range(33), *range(127, 161), 173]
+    spell = {b: chr(256 + odd.index(b)) if b in odd else chr(b) for b in range(256)}
+    return {c: "".join(spell[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class _Pieces(dict):
+    """Ids of pieces, encoded when first asked for."""
+
+    def __init__(self, encoder: "Encoder"):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encoder.one(piece)
+        return ids
+
+
+class _Words(_Pieces):
+    """Ids of a space and a word. A word that white space ends, or an empty one, has none: the
+    space after it does not cut, and the whole text goes by the pattern."""
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[-1].isspace():
+            raise KeyError(word)
+        letters, e = word.rstrip(STOPS), self.encoder
+        if letters.isascii() and letters.isalpha() or e.latin(letters):
+            ids = e.one(" " + word) if len(letters) == len(word) else self[letters] + e.pieces[word[len(letters) :]]
+        else:
+            cut = PIECE.findall(" " + word)
+            if len(cut) == 1:
+                ids = e.one(cut[0])
+            else:
+                ids = (self[cut[0][1:]] if cut[0][1:].isalpha() else e.pieces[cut[0]]) + b"".join(map(e.pieces.__getitem__, cut[1:]))
+                if "\n" in word:  # joins two lines: hardly ever seen again
+                    return ids
+        self[word] = ids
+        return ids
 
 
 class Encoder:
-    """Unsigned 16-bit ids (little-endian, as every platform that Spark supports) of texts; one for each Python worker and file."""
+    """Unsigned 16-bit ids (little-endian, as every platform that Spark supports) of texts."""
 
     _made: dict[str, "Encoder"] = {}
+    latin = re.compile(rf" ?[{_LETTER}]+").fullmatch
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
+        """One for each Python worker and file."""
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
 
     def __init__(self, path: str):
+        # Spark runs a task per core: threads of the library's own would only spin
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.spelling = Tokenizer.from_file(path), byte_letters()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
+        self.space, self.lower = None, False
+        probes = [s + w for s in ("", " ") for w in ("a", "The", "worthless", "ÀÉßÿ", "élévation", "Ähnlichkeitssätze", "ZZxq")]
+        for space, lower in (("\u0120", False), ("", True)):
+            if all(self._merged(p, space, lower) == self._whole(p) for p in probes):
+                self.space, self.lower = space, lower
+        self.forget()
+
+    def forget(self) -> None:
+        """At a task's end: the worker process lives on and needs the memory for other work."""
+        self.words, self.pieces = _Words(self), _Pieces(self)
+
+    def _whole(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def _merged(self, piece: str, space: str, lower: bool) -> list[int]:
+        letters = piece.removeprefix(" ")
+        spelled = letters.lower() if lower else letters
+        if not spelled.isascii():
+            spelled = spelled.translate(self.spelling)
+        return [t.id for t in self.tokenizer.model.tokenize(space + spelled if len(letters) < len(piece) else spelled)]
+
+    def one(self, piece: str) -> bytes:
+        latin = self.space is not None and self.latin(piece)
+        return array("H", self._merged(piece, self.space, self.lower) if latin else self._whole(piece)).tobytes()
+
+    def _cut(self, text: str) -> bytes:
+        cut = PIECE.findall(text)
+        known = {p: self.one(p) for p in set(cut)}
+        return b"".join(map(known.__getitem__, cut))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [PIECE.findall(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        if len(self.known) + len(new) > MAX_PIECES:
-            self.known = {}
-            new = set(chain.from_iterable(cut))
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = array("H", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-
-def in_blocks(texts: list, chars: int = 4 << 20):
+        out = []
+        for t in texts:
+            if len(self.words) + len(self.pieces) > MAX_PIECES:
+                self.forget()
+            first, *rest = t.split(" ")
+            if not first or first[-1].isspace():
+                out.append(self._cut(t))
+                continue
+            try:
+                out.append(b"".join([*map(self.pieces.__getitem__, PIECE.findall(first)), *map(self.words.__getitem__, rest)]))
+            except KeyError:
+                out.append(self._cut(t))
+        return out
+
+
+def in_blocks(texts: list, chars: int = 1 << 20):
     """Index ranges of ``texts`` of about so many characters each, or one text."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -89,6 +89,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, fil
             for a, b in in_blocks(texts):
                 ids = encoder.encode(texts[a:b])
                 yield pd.DataFrame({"r": [frame(pack(i if k else None, x + end))[:-1] for i, k, x in zip(f["doc_id"][a:b], known[a:b], ids, strict=True)]})
+        encoder.forget()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     # pandas would turn ids with nulls into doubles: they travel as text
