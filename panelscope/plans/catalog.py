@@ -563,14 +563,28 @@ def _(spark, sf_dir):
     return analysis.contract(adapters.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate"], ["l_tax"])
 
 
-def recoverability(spark, sf_dir):
-    """The flagship: complete calendar, one hidden block per series, two fills, scores, skill."""
-    hidden = _hidden(spark, sf_dir)
+def _skill(hidden):
+    """Skill of a linear fill over climatology on the hidden cells."""
     clim = fillers.climatology(hidden).withColumnRenamed("pred", "climatology_pred")
     return metrics.skill(fillers.linear(clim).where("hidden"), sqlfn.SERIES)
 
 
-_add("recoverability", f"""{_HIDDEN}, {_line('hid', 'seen')}, near AS (SELECT entity, variable, seen, (({_DOY} - 1 + o + 366) % 366) + 1 AS doy FROM hid, (SELECT unnest(range(-7, 8)) AS o) WHERE split = 'train' AND seen IS NOT NULL),
+def recoverability(spark, sf_dir):
+    """Complete calendar, one hidden block per series, two fills, scores, skill."""
+    return _skill(_hidden(spark, sf_dir))
+
+
+def recoverability_of_points(spark, sf_dir):
+    """The flagship: the same with a tenth of each series' days hidden, which any series has."""
+    p = _ship(spark, sf_dir)
+    return _skill(gaps.hide(p, gaps.point_gaps(p, 0.1, SEED)))
+
+
+_POINTS = f"""{SHIP}, pk AS (SELECT entity, variable, ts FROM panel WHERE observed QUALIFY row_number() OVER (PARTITION BY entity, variable ORDER BY {_KEY}) <= floor(count(*) OVER (PARTITION BY entity, variable) * 0.1 + 0.5)),
+hid AS (SELECT p.*, k.ts IS NOT NULL AS hidden, CASE WHEN k.ts IS NULL THEN p.value END AS seen FROM panel p LEFT JOIN pk k ON p.entity = k.entity AND p.variable = k.variable AND p.ts = k.ts)"""
+_SKILL = f"""{_line('hid', 'seen')}, near AS (SELECT entity, variable, seen, (({_DOY} - 1 + o + 366) % 366) + 1 AS doy FROM hid, (SELECT unnest(range(-7, 8)) AS o) WHERE split = 'train' AND seen IS NOT NULL),
 cd AS (SELECT entity, variable, doy, quantile_cont(seen, 0.5) AS m FROM near GROUP BY ALL), ca AS (SELECT entity, variable, quantile_cont(seen, 0.5) AS m FROM hid WHERE split = 'train' GROUP BY ALL),
 sc AS (SELECT l.entity, l.variable, l.value AS truth, l.pred, coalesce(cd.m, ca.m) AS c FROM lin l LEFT JOIN cd ON l.entity = cd.entity AND l.variable = cd.variable AND dayofyear(make_date(2000, month(l.ts), day(l.ts))) = cd.doy LEFT JOIN ca ON l.entity = ca.entity AND l.variable = ca.variable WHERE l.hidden AND l.value IS NOT NULL AND l.pred IS NOT NULL)
-SELECT entity, variable, count(*) AS n, {r('avg(abs(pred - truth))', 'mae')}, {r('avg(abs(c - truth))', 'mae_clim')}, {r('1 - avg(abs(pred - truth)) / nullif(avg(abs(c - truth)), 0)', 'skill')} FROM sc WHERE c IS NOT NULL GROUP BY ALL""")(recoverability)
+SELECT entity, variable, count(*) AS n, {r('avg(abs(pred - truth))', 'mae')}, {r('avg(abs(c - truth))', 'mae_clim')}, {r('1 - avg(abs(pred - truth)) / nullif(avg(abs(c - truth)), 0)', 'skill')} FROM sc WHERE c IS NOT NULL GROUP BY ALL"""
+_add("recoverability", f"{_HIDDEN}, {_SKILL}")(recoverability)
+_add("recoverability_of_points", f"{_POINTS}, {_SKILL}")(recoverability_of_points)
