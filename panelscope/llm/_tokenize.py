@@ -16,6 +16,8 @@ import os
 import re
 from array import array
 
+import pyarrow as pa
+
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces, in order of preference: a run of letters, with one space before it, up to a blank
 #: or stop; stops up to a blank; a newline before a letter; or white space and what follows
@@ -24,7 +26,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PIECE = re.compile(rf" ?[{_LETTER}]+(?=[ \n,.!|]|\Z)|[,.!|]+(?=[ \n]|\Z)|\n(?=[{_LETTER}])|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 #: Stops that may end a word.
 STOPS = ",.!|"
-MAX_PIECES = 800_000
+MAX_PIECES = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -99,6 +101,7 @@ class Encoder:
     def forget(self) -> None:
         """At a task's end: the worker process lives on and needs the memory for other work."""
         self.words, self.pieces = _Words(self), _Pieces(self)
+        pa.default_memory_pool().release_unused()
 
     def _whole(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
