@@ -56,13 +56,17 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def directions(n: int = 1 << 16, dims: int = DIMS, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((n, dims)).astype(np.float32)
+    """One fixed random direction for every id, dimension by dimension."""
+    return np.ascontiguousarray(np.random.default_rng(seed).standard_normal((n, dims)).astype(np.float32).T)
 
 
-def curve_key(ids: np.ndarray, table_: np.ndarray) -> np.ndarray:
-    """Cells of one document: the mean direction of its ids, squeezed into the cube."""
-    mean = table_[ids].mean(0, dtype=np.float64)
-    return np.clip((0.5 + 0.5 * np.tanh(2 * mean)) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+def curve_keys(ids: list[bytes], way: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents: the mean direction of their 16-bit ids, squeezed into the cube."""
+    flat = np.frombuffer(b"".join(ids), "<u2")
+    n = np.array([len(x) // 2 for x in ids])
+    begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+    mean = np.stack([np.add.reduceat(w.take(flat), begin, dtype=np.float64) for w in way], 1) / n[:, None]
+    return hilbert(np.clip((0.5 + 0.5 * np.tanh(2 * mean)) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
@@ -75,8 +79,8 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame
             texts = [t or "" for t in f["text"]]
             for a, b in in_blocks(texts):
                 ids = [x + end for x in encoder.encode(texts[a:b])]
-                cells = np.array([curve_key(np.frombuffer(x, "<u2"), way) for x in ids])
-                yield pd.DataFrame({"uid": f["uid"][a:b].to_numpy(), "doc_id": f["doc_id"][a:b].to_numpy(), "n": [len(x) // 2 for x in ids], "key": hilbert(cells), "ids": [pressed.compress(x) for x in ids]})
+                yield pd.DataFrame({"uid": f["uid"][a:b].to_numpy(), "doc_id": f["doc_id"][a:b].to_numpy(), "n": [len(x) // 2 for x in ids], "key": curve_keys(ids, way), "ids": [pressed.compress(x) for x in ids]})
+        encoder.forget()
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     return materialize(rows.mapInPandas(run, "uid long, doc_id string, n long, key long, ids binary"), "encoded")
