@@ -23,7 +23,7 @@ from panelscope.llm._common import discard, materialize, table
 from panelscope.llm._labels import MAX_TRAIN_ROWS, held_out, labelled_sample
 
 BITS, SIZES, THRESHOLD = 18, (3, 4, 5), 0.3
-STEPS, RATE, L2, SMOOTHING, EVIDENCE = 30, 0.05, 1e-4, 1.0, 4.0
+STEPS, RATE, L2, SMOOTHING, EVIDENCE = 25, 0.05, 1e-4, 1.0, 4.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 20
 
@@ -63,11 +63,43 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _partials(of, name: str):
-    """One row per partition: ``of(frames)`` gives an array, as bytes."""
+def _counts(frames):
+    """One partition's texts by cell and label; cell -1 counts the texts."""
+    n = np.zeros((2, (1 << BITS) + 1))
+    for f in frames:
+        for c, y in zip(f["cells"], f["y"], strict=True):
+            n[int(y), np.frombuffer(c, np.int32)] += 1
+            n[int(y), -1] += 1
+    on = np.flatnonzero(n.any(0))
+    yield pd.DataFrame({"cell": np.where(on == 1 << BITS, -1, on), "n0": n[0, on], "n1": n[1, on]})
+
+
+def _only(cells_kept: np.ndarray):
+    """Texts as positions among the kept cells."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[cells_kept] = np.arange(len(cells_kept), dtype=np.int32)
+
+    def run(frames):
+        for f in frames:
+            at = [place[np.frombuffer(c, np.int32)] for c in f["cells"]]
+            yield pd.DataFrame({"at": [x[x >= 0].tobytes() for x in at], "y": f["y"]})
+
+    return run
+
+
+def _gradient(now: np.ndarray, bias: float):
+    """One partition's gradient by position; position len(now) is the intercept's."""
 
     def run(frames):
-        yield pd.DataFrame({name: [of(frames).tobytes()]})
+        g = np.zeros(len(now) + 1)
+        for f in frames:
+            for x, y in zip(f["at"], f["y"], strict=True):
+                at = np.frombuffer(x, np.int32)
+                e = 1 / (1 + np.exp(-np.clip(bias + float(now[at].sum()), -40, 40))) - y
+                g[at] += e
+                g[-1] += e
+        on = np.flatnonzero(g)
+        yield pd.DataFrame({"k": on, "g": g[on]})
 
     return run
 
@@ -75,54 +107,35 @@ def _partials(of, name: str):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     size = 1 << BITS
     encode = F.pandas_udf("binary")(lambda s: s.map(lambda t: cells(t).tobytes()))
-    sample = labelled_sample(docs, labels, label, max_rows).repartition(8, "shard").select(encode("text").alias("cells"), "y")
-    sample = materialize(sample, "cells")
-
-    def count(frames):
-        out = np.zeros((2, size + 1))
-        for f in frames:
-            for c, y in zip(f["cells"], f["y"], strict=True):
-                out[int(y), np.frombuffer(c, np.int32)] += 1
-                out[int(y), size] += 1
-        return out
-
-    def total(of, length):
-        out = np.zeros(length)
-        for r in sample.mapInPandas(_partials(of, "v"), "v binary").collect():
-            out += np.frombuffer(bytes(r["v"]))
-        return out
-
-    counts = total(count, 2 * (size + 1)).reshape(2, size + 1)
-    n0, n1 = counts[:, size]
+    sample = materialize(labelled_sample(docs, labels, label, max_rows).select(encode("text").alias("cells"), "y"), "cells")
+    counts = sample.mapInPandas(_counts, "cell int, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = materialize(counts, "ratios")
+    both = counts.where("cell = -1").first()
+    n0, n1 = (both["n0"], both["n1"]) if both else (0.0, 0.0)
     if not n0 or not n1:
         share = (n1 + 1) / (n0 + n1 + 2)
         return Model(np.zeros(size), np.log(share / (1 - share)))
-    p, q = counts[1, :size] + SMOOTHING, counts[0, :size] + SMOOTHING
-    ratio = np.log(p / (n1 + 2 * SMOOTHING)) - np.log(q / (n0 + 2 * SMOOTHING))
-    seen, share = counts[:, :size].sum(0), n1 / (n0 + n1)
-    chance = np.sqrt(seen * share * (1 - share)) + 1e-9
-    ratio[(seen < 3) | (np.abs(counts[1, :size] - seen * share) < EVIDENCE * chance)] = 0
-    scale = ratio.astype(np.float32)
-    w, bias, m = np.zeros(size), np.log(n1 / n0), np.zeros(size + 1)
+    share, seen = n1 / (n0 + n1), F.col("n0") + F.col("n1")
+    telling = F.abs(F.col("n1") - seen * share) >= EVIDENCE * F.sqrt(seen * share * (1 - share))
+    kept = counts.where((F.col("cell") >= 0) & (seen >= 3) & telling).orderBy("cell").toPandas()  # at most 2^BITS rows
+    on = kept["cell"].to_numpy()
+    p, q = kept["n1"].to_numpy() + SMOOTHING, kept["n0"].to_numpy() + SMOOTHING
+    scale = np.log(p / (n1 + 2 * SMOOTHING)) - np.log(q / (n0 + 2 * SMOOTHING))
+    few = materialize(sample.mapInPandas(_only(on), "at binary, y int"), "telling")
+    discard(sample)
+    w, bias, m = np.zeros(len(on)), np.log(n1 / n0), np.zeros(len(on) + 1)
     for _ in range(STEPS):
-        now, b = (scale * w).astype(np.float32), bias
-
-        def gradient(frames, now=now, b=b):
-            g = np.zeros(size + 1)
-            for f in frames:
-                for c, y in zip(f["cells"], f["y"], strict=True):
-                    at = np.frombuffer(c, np.int32)
-                    e = 1 / (1 + np.exp(-np.clip(b + float(now[at].sum()), -40, 40))) - y
-                    g[at] += e
-                    g[size] += e
-            return g
-
-        g = total(gradient, size + 1) / (n0 + n1)
-        g[:size] = g[:size] * scale + L2 * w
+        summed = few.mapInPandas(_gradient((scale * w).astype(np.float32), bias), "k int, g double").groupBy("k").agg(F.sum("g").alias("g")).toPandas()
+        g = np.zeros(len(on) + 1)
+        g[summed["k"].to_numpy()] = summed["g"].to_numpy() / (n0 + n1)
+        g[:-1] = g[:-1] * scale + L2 * w
         m = 0.9 * m + g
-        w, bias = w - RATE * m[:size], bias - RATE * m[size]
-    discard(sample)
-    return Model(scale * w, bias)
+        w, bias = w - RATE * m[:-1], bias - RATE * m[-1]
+    discard(few)
+    discard(counts)
+    weights = np.zeros(size)
+    weights[on] = scale * w
+    return Model(weights, bias)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
