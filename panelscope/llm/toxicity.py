@@ -1,10 +1,12 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text becomes the set of its lower-cased byte n-grams of 3 to 5 bytes, white space as one
-space, hashed into 2^18 cells. Each present cell counts with its log-count ratio times a
+A text becomes the set of its lower-cased byte n-grams of 3 to 8 bytes, white space as one
+space, hashed into 2^22 cells. Eight bytes hold the beginnings that mark a word in German,
+French and Spanish; shorter n-grams are shared with clean words. Each present cell counts with its log-count ratio times a
 learnt weight; a ratio counts only if it stands EVIDENCE standard errors from chance, so
-that thousands of stray n-grams can't outvote a telling one. Ratios are one aggregation over
-the training rows, weights a logistic regression whose gradient is summed over Spark's
+that thousands of stray n-grams can't outvote a telling one. Only cells with such a ratio
+reach the driver and the executors. Ratios are one aggregation over the training rows by
+block of cells, weights a logistic regression whose gradient is summed over Spark's
 partitions each step.
 
 A null or empty text has no n-grams; its score is that of the intercept. Texts are read
@@ -22,17 +24,17 @@ from pyspark.sql import functions as F
 from panelscope.llm._common import discard, materialize, table
 from panelscope.llm._labels import MAX_TRAIN_ROWS, held_out, labelled_sample
 
-BITS, SIZES, THRESHOLD = 18, (3, 4, 5), 0.3
+BITS, SIZES, THRESHOLD = 22, (3, 4, 5, 6, 7, 8), 0.3
 STEPS, RATE, L2, SMOOTHING, EVIDENCE = 25, 0.05, 1e-4, 1.0, 4.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 20
+_RANGE = 1 << 16  # cells whose counts meet in one group
 
 
-def cells(text: str | None) -> np.ndarray:
-    """The distinct cells of a text's n-grams, ascending."""
+def _hashes(text: str | None):
+    """The cells of a text's n-grams by block and size, repeats included."""
     raw = b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + b" "
     b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    found = []
     for at in range(0, len(b), _BLOCK):  # blocks overlap by the longest n-gram
         part = b[at : at + _BLOCK + max(SIZES) - 1]
         code = part.copy()
@@ -41,48 +43,85 @@ def cells(text: str | None) -> np.ndarray:
                 break
             code = code[: len(part) - n + 1] | part[n - 1 :] << np.uint64(8 * (n - 1))
             if n in SIZES:
-                found.append(((code + np.uint64(n << 56)) * _MIX >> np.uint64(64 - BITS)).astype(np.int32))
+                yield ((code + np.uint64(n << 56)) * _MIX >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def cells(text: str | None) -> np.ndarray:
+    """The distinct cells of a text's n-grams, ascending."""
+    found = list(_hashes(text))
     if not found:
         return np.zeros(0, np.int32)
     every = np.concatenate(found)
-    if len(every) < 20_000:
+    if len(every) < 1_000_000:
         return np.unique(every)
     seen = np.zeros(1 << BITS, bool)
     seen[every] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
+class Kept:
+    """The cells that count, ascending."""
+
+    def __init__(self, on: np.ndarray):
+        self.on, self.known = on.astype(np.int32), None
+
+    def __getstate__(self):
+        return {"on": self.on, "known": None}  # the table is rebuilt where it is used
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Positions of a text's distinct cells among those that count, ascending."""
+        if self.known is None:
+            self.known = np.zeros(1 << BITS, bool)
+            self.known[self.on] = True
+        found = [x[self.known[x]] for x in _hashes(text)]
+        return np.searchsorted(self.on, np.unique(np.concatenate(found))) if found else np.zeros(0, np.int64)
+
+
 class Model:
-    """Weights by cell (ratio times learnt weight) and the intercept."""
+    """Weights (ratio times learnt weight) of the cells that count, and the intercept."""
 
-    def __init__(self, weights: np.ndarray, intercept: float):
-        self.weights, self.intercept = weights.astype(np.float32), float(intercept)
+    def __init__(self, on: np.ndarray, weights: np.ndarray, intercept: float):
+        self.kept, self.weights, self.intercept = Kept(on), weights.astype(np.float32), float(intercept)
 
     def score(self, text: str | None) -> float:
-        z = self.intercept + float(self.weights[cells(text)].sum(dtype=np.float64))
+        z = self.intercept + float(self.weights[self.kept.of(text)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 def _counts(frames):
-    """One partition's texts by cell and label; cell -1 counts the texts."""
-    n = np.zeros((2, (1 << BITS) + 1))
+    """One partition's texts by cell and label, a row for each range of cells it touches."""
+    n = np.zeros((2, 1 << BITS), np.int32)
     for f in frames:
-        for c, y in zip(f["cells"], f["y"], strict=True):
-            n[int(y), np.frombuffer(c, np.int32)] += 1
-            n[int(y), -1] += 1
-    on = np.flatnonzero(n.any(0))
-    yield pd.DataFrame({"cell": np.where(on == 1 << BITS, -1, on), "n0": n[0, on], "n1": n[1, on]})
+        for t, y in zip(f["text"], f["y"], strict=True):
+            n[int(y), cells(t)] += 1
+    on = np.flatnonzero(n.any(0)).astype(np.int32)
+    for r, x in zip(np.unique(on // _RANGE), np.split(on, np.flatnonzero(np.diff(on // _RANGE)) + 1), strict=False):
+        yield pd.DataFrame({"range": [int(r)], "cells": [x.tobytes()], "n0": [n[0, x].tobytes()], "n1": [n[1, x].tobytes()]})
+
+
+def _telling(n0: float, n1: float):
+    """The cells of one range whose ratio stands far enough from chance, with their counts."""
+    share = n1 / (n0 + n1)
+
+    def run(key, f):  # one row of each partition of a bounded sample
+        total = np.zeros((2, _RANGE))
+        for c, a, b in zip(f["cells"], f["n0"], f["n1"], strict=True):
+            at = np.frombuffer(c, np.int32) % _RANGE
+            total[0, at] += np.frombuffer(a, np.int32)
+            total[1, at] += np.frombuffer(b, np.int32)
+        seen = total.sum(0)
+        on = np.flatnonzero((seen >= 3) & (np.abs(total[1] - seen * share) >= EVIDENCE * np.sqrt(seen * share * (1 - share))))
+        return pd.DataFrame({"cell": on + int(key[0]) * _RANGE, "n0": total[0, on], "n1": total[1, on]})
+
+    return run
 
 
-def _only(cells_kept: np.ndarray):
+def _only(kept: Kept):
     """Texts as positions among the kept cells."""
-    place = np.full(1 << BITS, -1, np.int32)
-    place[cells_kept] = np.arange(len(cells_kept), dtype=np.int32)
 
     def run(frames):
         for f in frames:
-            at = [place[np.frombuffer(c, np.int32)] for c in f["cells"]]
-            yield pd.DataFrame({"at": [x[x >= 0].tobytes() for x in at], "y": f["y"]})
+            yield pd.DataFrame({"at": [kept.of(t).astype(np.int32).tobytes() for t in f["text"]], "y": f["y"]})
 
     return run
 
@@ -105,23 +144,18 @@ def _gradient(now: np.ndarray, bias: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    size = 1 << BITS
-    encode = F.pandas_udf("binary")(lambda s: s.map(lambda t: cells(t).tobytes()))
-    sample = materialize(labelled_sample(docs, labels, label, max_rows).select(encode("text").alias("cells"), "y"), "cells")
-    counts = sample.mapInPandas(_counts, "cell int, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = materialize(counts, "ratios")
-    both = counts.where("cell = -1").first()
-    n0, n1 = (both["n0"], both["n1"]) if both else (0.0, 0.0)
+    sample = materialize(labelled_sample(docs, labels, label, max_rows).select("text", "y"), "sample")
+    n1, n0 = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     if not n0 or not n1:
+        discard(sample)
         share = (n1 + 1) / (n0 + n1 + 2)
-        return Model(np.zeros(size), np.log(share / (1 - share)))
-    share, seen = n1 / (n0 + n1), F.col("n0") + F.col("n1")
-    telling = F.abs(F.col("n1") - seen * share) >= EVIDENCE * F.sqrt(seen * share * (1 - share))
-    kept = counts.where((F.col("cell") >= 0) & (seen >= 3) & telling).orderBy("cell").toPandas()  # at most 2^BITS rows
+        return Model(np.zeros(0, np.int32), np.zeros(0), np.log(share / (1 - share)))
+    counts = sample.mapInPandas(_counts, "range int, cells binary, n0 binary, n1 binary")
+    kept = counts.groupBy("range").applyInPandas(_telling(n0, n1), "cell int, n0 double, n1 double").orderBy("cell").toPandas()  # at most 2^BITS rows; far fewer stand so far from chance
     on = kept["cell"].to_numpy()
     p, q = kept["n1"].to_numpy() + SMOOTHING, kept["n0"].to_numpy() + SMOOTHING
     scale = np.log(p / (n1 + 2 * SMOOTHING)) - np.log(q / (n0 + 2 * SMOOTHING))
-    few = materialize(sample.mapInPandas(_only(on), "at binary, y int"), "telling")
+    few = materialize(sample.mapInPandas(_only(Kept(on)), "at binary, y int"), "telling")
     discard(sample)
     w, bias, m = np.zeros(len(on)), np.log(n1 / n0), np.zeros(len(on) + 1)
     for _ in range(STEPS):
@@ -132,14 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         m = 0.9 * m + g
         w, bias = w - RATE * m[:-1], bias - RATE * m[-1]
     discard(few)
-    discard(counts)
-    weights = np.zeros(size)
-    weights[on] = scale * w
-    return Model(weights, bias)
+    return Model(on, scale * w, bias)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, fixed by BITS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes for each cell kept, so 32 MB at the very most
     return docs.withColumn(out, F.pandas_udf("double")(lambda s: pd.Series([held.value.score(t) for t in s], dtype=float))(text_col))
 
 

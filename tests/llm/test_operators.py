@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelscope.llm import decontamination, hmm, packing, quality_cnn, quality_rules, records, sharding, simhash, toxicity, urls
 from panelscope.llm._tokenize import PIECE, Encoder
@@ -240,6 +241,18 @@ def test_classifiers_held_out_accuracy(spark, name, label, least):
     assert right[0] >= least and 0 < right[1] < 1
 
 
+def test_toxicity_recall_per_language(spark):
+    """Words that begin alike for seven or eight bytes mark the texts that are not English."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = QUERIES["op5_toxicity"](spark, sf_dir).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    by = {r["lang"]: r for r in got.groupBy("lang").agg(*(F.expr(f"count_if({c})").alias(n) for n, c in (("toxic", "toxic = 1"), ("found", "toxic = 1 and predicted = 1"), ("clean", "toxic = 0"), ("wrong", "toxic = 0 and predicted = 1")))).collect()}
+    print({k: (r["found"], r["toxic"], r["wrong"], r["clean"]) for k, r in by.items()})
+    assert by["en"]["found"] >= 0.85 * by["en"]["toxic"]
+    assert by["fr"]["found"] >= 0.8 * by["fr"]["toxic"] and by["de"]["found"] >= 0.6 * by["de"]["toxic"] and by["es"]["found"] > 0
+    assert sum(r["wrong"] for r in by.values()) <= 0.03 * sum(r["clean"] for r in by.values())
+
+
 def test_network_covers_every_byte_and_gradient_lowers_loss():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         c = quality_cnn.chunks("x" * n)
