@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from panelscope.llm import decontamination, quality_rules, simhash
+from panelscope.llm import decontamination, near_copies, quality_rules, simhash
 
 
 def test_stages_against_plain_checks(spark, sf, tmp_path):
@@ -33,3 +35,43 @@ def test_stages_against_plain_checks(spark, sf, tmp_path):
 def test_run_is_stages_in_order(spark, sf, empty_sf):
     assert corpus_pipeline.run(spark, sf[0]).count() > 0
     assert corpus_pipeline.run(spark, empty_sf).count() == 0
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited(r, words, at):
+    """A copy with words replaced one by one while its five-word Jaccard stays ``at`` or more."""
+    ws, k = list(words), 0
+    while True:
+        then = list(ws)
+        then[r.randrange(len(ws))] = f"new{r.randrange(10**9)}x{k}"
+        if jaccard(" ".join(words), " ".join(then)) < at:
+            return " ".join(ws)
+        ws, k = then, k + 1
+
+
+def test_near_duplicates_find_edited_copies(spark):
+    """Copies edited down to 0.8 go; texts that share less, and a large group's strangers, stay."""
+    r = random.Random(5)
+    lexicon = [f"w{i}" for i in range(3000)]
+    texts, copies, n = [], {}, 0
+    for i in range(240):
+        words = [r.choice(lexicon) for _ in range(r.randint(200, 500))]
+        texts.append(" ".join(words))
+        copies[i] = (edited(r, words, (0.8, 0.85, 0.9, 0.95)[i % 4]), (0.8, 0.85, 0.9, 0.95)[i % 4])
+    base = [r.choice(lexicon) for _ in range(300)]
+    group = [edited(r, base, 0.92) for _ in range(120)]
+    strangers = [" ".join([*base[:150], *(r.choice(lexicon) for _ in range(150))]) for _ in range(20)]
+    rows = list(enumerate(texts)) + [(1000 + i, c) for i, (c, _) in copies.items()] + [(2000 + i, t) for i, t in enumerate([*group, *strangers])]
+    kept = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "").collect()}
+    assert set(range(240)) <= kept and set(range(2120, 2140)) <= kept
+    assert sum(2000 <= k < 2120 for k in kept) == 1
+    for at, least in ((0.8, 0.88), (0.85, 0.95), (0.9, 1.0), (0.95, 1.0)):
+        mine = [i for i, (_, a) in copies.items() if a == at]
+        found = sum(1000 + i not in kept for i in mine) / len(mine)
+        print(at, found)
+        assert found >= least, (at, found)
+    assert near_copies.plan(200_000) == (10, 24)
