@@ -78,10 +78,10 @@ def simple_regression(df: DataFrame, by: list[str], x: str, y: str, alpha: float
 
 def finalists(ranked: DataFrame, model: str, score: str, margin: float, mandatory: list[str]) -> DataFrame:
     """Models within a margin of the best, and the mandatory ones, with the reason."""
-    best = F.min(score).over(Window.partitionBy())
-    near = F.col(score) <= best + margin
+    best = ranked.agg(F.min(score).alias("_best"))  # one row
+    near = F.col(score) <= F.col("_best") + margin
     reason = F.when(near, "within_margin").when(F.col(model).isin(*mandatory), "mandatory").otherwise("dropped")
-    return ranked.withColumn("reason", reason)
+    return ranked.crossJoin(F.broadcast(best)).withColumn("reason", reason).drop("_best")
 
 
 def pchip(panel: DataFrame) -> DataFrame:

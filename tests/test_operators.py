@@ -122,3 +122,13 @@ def test_overlaps_and_clusters(spark):
     o = analysis.interval_overlaps(iv).collect()
     assert [(r["interval_id"], r["other_id"], r["overlap_days"]) for r in o] == [(0, 1, 6)]
     assert sorted(r["n_intervals"] for r in analysis.interval_clusters(iv).collect()) == [1, 2]
+
+
+def test_finalists_never_gather_the_rows(spark):
+    from panelscope.operators import design
+
+    rows = [("a", 1.0), ("b", 1.05), ("c", 3.0), ("d", 2.0), ("e", None)]
+    got = design.finalists(spark.createDataFrame(rows, "model string, score double"), "model", "score", 0.1, ["c"])
+    assert got.columns == ["model", "score", "reason"]
+    assert {r["model"]: r["reason"] for r in got.collect()} == {"a": "within_margin", "b": "within_margin", "c": "mandatory", "d": "dropped", "e": "dropped"}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
