@@ -5,32 +5,38 @@ A file is records end to end. A record is framed as
     u64 length of the payload | u32 masked crc32 of those 8 bytes | payload |
     u32 masked crc32 of the payload | one byte 0x0A
 
-all little-endian, and its payload is ``u8 has_id | i64 doc_id | u16 ids...``. A masked
-checksum is the checksum rotated right by 15 bits plus a constant, so that a checksum of
-data that holds checksums stays telling. Files are written by Spark's own text writer
-(a record is one "line"), so they need no shared local folder, and a lost task leaves
-nothing behind; they are read by Spark's binary-file reader. Documents lie in ascending
-order of their ids across the files, which are sized by bytes.
+all little-endian, and its payload is ``i32 length of the id (-1: null) | the id as UTF-8
+text | u16 ids...``. A masked checksum is the checksum rotated right by 15 bits plus a
+constant, so that a checksum of data that holds checksums stays telling. Files are written
+by Spark's own text writer (a record is one "line"), so they need no shared local folder,
+and a lost task leaves nothing behind; they are read by Spark's binary-file reader.
+
+Documents lie in ascending order of their ids across the files. A first pass over ids and
+text sizes sums sizes in that order and cuts it into files of about ``FILE_TEXT_BYTES`` of
+text; texts are then encoded where they are read, and only their ids move to the files.
 
 A null or empty text is a record with the end id alone. Null ids come first; rows with
-one id lie in the order of a hash of their texts. An empty table gives no records.
+one id lie in the order of a hash of their texts; rows alike in both are alike as records
+and may be spread over several files. Ids may be numbers or texts. An empty table gives no
+records.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.llm._common import materialize, new_path, table
-from panelscope.llm._tokenize import Encoder, in_blocks
+from panelscope.llm._common import discard, global_offsets, materialize, new_path, table
+from panelscope.llm._tokenize import encoded
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-#: Text bytes that go into one file; a file is read whole by one task.
+#: Text bytes that go into one file (or one longer text); a file is read whole by one task.
 FILE_TEXT_BYTES = 32 << 20
 _MASK_DELTA = 0xA282EAD8
 
@@ -51,75 +57,95 @@ def frame(payload: bytes) -> bytes:
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload)), b"\n"))
 
 
-def frames(data: bytes):
+def frames(data):
     """(offset, payload) of every record of a file; an error if a checksum is wrong."""
     at, view = 0, memoryview(data)
-    while at < len(data):
+    while at < len(view):
         head = view[at : at + 8]
         (n,) = struct.unpack("<Q", head)
-        payload = bytes(view[at + 12 : at + 12 + n])
+        payload = view[at + 12 : at + 12 + n]
         sums = struct.unpack("<I", view[at + 8 : at + 12]) + struct.unpack("<I", view[at + 12 + n : at + 16 + n])
-        if sums != (masked(bytes(head)), masked(payload)):
+        if sums != (masked(head), masked(payload)):
             raise ValueError(f"a record's checksum is wrong at byte {at}")
         yield at, payload
         at += 17 + n
 
 
-def pack(doc_id, ids: bytes) -> bytes:
-    known = doc_id is not None
-    return struct.pack("<Bq", known, int(doc_id) if known else 0) + ids
+def pack(doc_id: str | None, ids: bytes) -> bytes:
+    name = b"" if doc_id is None else doc_id.encode()
+    return b"".join((struct.pack("<i", -1 if doc_id is None else len(name)), name, ids))
+
+
+def unpack(payload) -> tuple[str | None, np.ndarray]:
+    (n,) = struct.unpack("<i", payload[:4])
+    return (None if n < 0 else bytes(payload[4 : 4 + n]).decode()), np.frombuffer(bytes(payload[4 + max(n, 0) :]), "<u2")
+
 
+def _place(doc_id, h: int) -> tuple:
+    """Where a row lies in the order of the records."""
+    return (doc_id is not None, 0 if doc_id is None else doc_id, h)
 
-def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
-    known, doc_id = struct.unpack("<Bq", payload[:9])
-    return (doc_id if known else None), np.frombuffer(payload, "<u2", offset=9)
+
+def borders(keys: DataFrame, file_text_bytes: int) -> list[tuple]:
+    """The first place of every file but the first: one entry per file, whatever the rows."""
+    placed, _ = global_offsets(keys, ["doc_id", "h"], "size", "at", "sizes")
+    files = placed.groupBy(F.expr(f"at div {file_text_bytes}").alias("file")).agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    found = sorted(_place(*r["first"]) for r in files.collect())
+    discard(placed)
+    return found[1:]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, file_text_bytes: int = FILE_TEXT_BYTES) -> None:
     """Write the records of ``docs`` (doc_id, text) under ``path``; ``vocabulary``: a tokenizer's file."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(size // file_text_bytes) + 1
-    end = struct.pack("<H", end_id)
+    h = F.xxhash64("text").alias("h")
+    first = borders(docs.select("doc_id", h, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), file_text_bytes)
+    held = docs.sparkSession.sparkContext.broadcast(first)  # one entry per file
+
+    def file_of(batch, ids, n):
+        of, out = held.value, []
+        for d, x, uid in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("uid").to_pylist(), strict=True):
+            lo, hi = bisect_left(of, _place(d, x)), bisect_right(of, _place(d, x))
+            out.append(lo + uid % (hi - lo + 1))
+        return [pa.array(out, pa.int32())]
 
     def run(batches):
-        encoder = Encoder.of(vocabulary)
-        for f in batches:
-            texts = [t or "" for t in f["text"]]
-            known = f["doc_id"].notna()
-            for a, b in in_blocks(texts):
-                ids = encoder.encode(texts[a:b])
-                yield pd.DataFrame({"r": [frame(pack(i if k else None, x + end))[:-1] for i, k, x in zip(f["doc_id"][a:b], known[a:b], ids, strict=True)]})
-        encoder.forget()
+        for b in batches:
+            rows = zip(b.column("id").to_pylist(), b.column("ids").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([frame(pack(i, x))[:-1] for i, x in rows], pa.binary())], names=["r"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
-    # pandas would turn ids with nulls into doubles: they travel as text
-    rows = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "r binary")
-    rows.select(F.col("r").cast("string")).write.option("lineSep", "\n").text(path)
+    rows = docs.select("doc_id", h, F.monotonically_increasing_id().alias("uid"), "text")
+    placed = encoded(rows, vocabulary, end_id, file_of, "file int")
+    ordered = placed.repartitionById(len(first) + 1, "file").sortWithinPartitions("doc_id", "h")
+    records = ordered.select(F.col("doc_id").cast("string").alias("id"), "ids").mapInArrow(run, "r binary")
+    records.select(F.col("r").cast("string")).write.option("lineSep", "\n").text(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per record, from the files alone: part (the file's number), record, offset,
-    length, doc_id, n_tokens, ids_crc32 (of the ids as 32-bit numbers), before (the ids
-    before it in its file). Every checksum is verified on the way."""
+    length, doc_id (as text), n_tokens, ids_crc32 (of the ids as 32-bit numbers), before (the
+    ids before it in its file). Every checksum is verified on the way."""
 
     def run(batches):
-        for f in batches:
-            for name, data in zip(f["path"], f["content"], strict=True):
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 part, before, rows = int(name.rsplit("/", 1)[1].split("-")[1]), 0, []
-                for k, (at, payload) in enumerate(frames(data)):
+                for k, (at, payload) in enumerate(frames(content.as_buffer())):
                     doc_id, ids = unpack(payload)
-                    rows.append((part, k, at, len(payload) + 17, None if doc_id is None else str(doc_id), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
+                    rows.append((part, k, at, len(payload) + 17, doc_id, len(ids), zlib.crc32(ids.astype("<u4")), before))
                     before += len(ids)
                     if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield made(rows)
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield made(rows)
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     names = ["part", "record", "offset", "length", "doc_id", "n_tokens", "ids_crc32", "before"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    found = files.select("path", "content").mapInPandas(run, "part int, record long, offset long, length long, doc_id string, n_tokens long, ids_crc32 long, before long")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return files.select("path", "content").mapInArrow(run, "part int, record long, offset long, length long, doc_id string, n_tokens long, ids_crc32 long, before long")
 
 
 def write_and_index(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> tuple[str, DataFrame]:
@@ -127,7 +153,8 @@ def write_and_index(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> t
     spark = docs.sparkSession
     path = new_path(spark, "records")
     write(docs, path, vocabulary, end_id)
-    index = materialize(read_index(spark, path), "index")
+    index = read_index(spark, path)
+    index = materialize(index.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "index")
     totals = sorted((r["part"], r["n"]) for r in index.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     base, total = [], 0
     for part, n in totals:  # one row per file

@@ -6,6 +6,7 @@ from functools import cache
 from math import comb, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -58,19 +59,34 @@ def test_decontamination(spark, sf):
     assert any(k[2] for k in got)
 
 
-def test_decontamination_beyond_the_bound_and_spans(spark, sf):
+def test_decontamination_by_slices_and_spans(spark, sf):
     path, rows = sf
     docs, bench = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
     cols = ["doc_id", "text", "contamination"]
-    small = decontamination.with_contamination(docs.drop("contamination"), bench).select(cols)
-    large = decontamination.with_contamination(docs.drop("contamination"), bench, max_bytes=0).select(cols)
-    a, b = (sorted(map(str, x.collect())) for x in (small, large))
+    one = decontamination.with_contamination(docs.drop("contamination"), bench).select(cols)
+    many = decontamination.with_contamination(docs.drop("contamination"), bench, slice_bytes=30).select(cols)
+    a, b = (sorted(map(str, x.collect())) for x in (one, many))
     assert a == b
-    for r in small.where("contamination.n_hit > 0").collect():
+    for r in one.where("contamination.n_hit > 0").collect():
         inside = " ".join(r["text"][s["start"] : s["end"]] for s in r["contamination"]["spans"])
         assert len(decontamination.words(inside)) == r["contamination"]["n_hit"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), max_size=4), st.lists(st.sampled_from("abcd"), max_size=60), st.integers(2, 8))
+def test_scanner_finds_what_a_search_of_all_windows_finds(items, doc, size):
+    named = [(str(i), " ".join(x)) for i, x in enumerate(items)]
+    _, found, ranges = decontamination.Scanner(named, size).ready().scan(" ".join(doc))
+    hit, names = set(), set()
+    for name, x in zip(map(str, range(len(items))), items, strict=True):
+        for w in [x[i : i + size] for i in range(max(1, len(x) - size + 1))] if x else []:
+            for i in range(len(doc) - len(w) + 1):
+                if doc[i : i + len(w)] == w:
+                    hit.update(range(i, i + len(w)))
+                    names.add(name)
+    assert found == sorted(names) and {j for a, b in ranges for j in range(a, b + 1)} == hit
+
+
 # op2
 
 
@@ -293,13 +309,14 @@ def brute_ids(name, text, end):
 @pytest.mark.parametrize("name", [records.VOCABULARY, packing.VOCABULARY])
 def test_pieces_encode_like_whole_texts(name):
     r = np.random.default_rng(2)
-    alphabet = list("abZé1 \n \n\t\u00a0\u3000\x1c\x85.,!'") + ["'s", "<|endoftext|>", "\u0301", "e\u0301", "  "]
+    alphabet = list("abZé1 \n \n\t\u00a0\u3000\x1c\x85.,!'*?|") + ["'s", "<|endoftext|>", "\u0301", "e\u0301", "  "]
     e = Encoder.of(records.vocabulary_path(name))
-    texts = ["".join(r.choice(alphabet, int(r.integers(0, 30)))) for _ in range(800)]
-    got = e.encode(texts)
-    for t, x in zip(texts, got, strict=True):
+    texts = ["".join(r.choice(alphabet, int(r.integers(0, 30)))) for _ in range(3000)]
+    texts += ["word " * 40 + t for t in texts[:300]]
+    ids, n = e.encode(pa.array(texts))
+    for t, x in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
         assert "".join(PIECE.findall(t)) == t
-        assert np.frombuffer(x, "<u2").tolist() == brute_ids(name, t, 0)[:-1], repr(t)
+        assert x.tolist() == brute_ids(name, t, 0)[:-1], repr(t)
 
 
 def crc(ids):
@@ -328,13 +345,29 @@ def test_record_files_allow_seeking_and_detect_damage(spark, sf):
     for r in index.collect():
         (at, payload), *_ = records.frames(files[r["part"]][r["offset"] : r["offset"] + r["length"]])
         doc_id, ids = records.unpack(payload)
-        assert doc_id == r["doc_id"] and len(ids) == r["n_tokens"] and crc(ids) == r["ids_crc32"]
+        assert doc_id == (None if r["doc_id"] is None else str(r["doc_id"])) and len(ids) == r["n_tokens"] and crc(ids) == r["ids_crc32"]
     bad = bytearray(next(x for x in files.values() if x))
     bad[20] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         list(records.frames(bytes(bad)))
 
 
+def test_records_take_text_ids_and_spread_equal_rows_over_files(spark):
+    rows = [("b", "x y " * 50)] * 40 + [("a", "first"), (None, "z"), ("c", "last"), ("b", "other")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    where = records.new_path(spark, "few")
+    records.write(docs, where, records.vocabulary_path(records.VOCABULARY), file_text_bytes=1000)
+    index = records.read_index(spark, where).orderBy("part", "record").collect()
+    assert [r["doc_id"] for r in index] == [None, "a", *["b"] * 41, "c"]
+    assert len({r["part"] for r in index if r["doc_id"] == "b"}) > 5
+
+
+def test_packing_does_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet")
+    a, b = (Counter(map(tuple, packing.pack(docs.repartition(k), records.vocabulary_path(packing.VOCABULARY), with_ids=False).collect())) for k in (1, 5))
+    assert a == b
+
+
 def test_packing(spark, sf):
     path, rows = sf
     docs = spark.read.parquet(f"{path}/documents.parquet")
