@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 #: Text is split on these six characters wherever a contract says ``[^\x20\x09-\x0D]+``;
 #: ``bytes.split()`` splits on exactly them.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,7 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` in this session, unless it has a bound of its own:
+    ten thousand long texts at once would not fit beside each other in a task's memory."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, what: str) -> str:
+    bound_batches(spark)
     return f"{shared_dir(spark)}/panelscope-{what}-{uuid.uuid4().hex}"
 
 
@@ -68,6 +78,7 @@ def discard(df: DataFrame | None) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,9 +1,16 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark.
 
-A text is normalised to its lower-cased words with one space between; the automaton
-holds every benchmark window the same way, so one scan of the normalised text finds
-every occurrence. Hits are kept as word ranges and mapped back to character offsets
-of the original text.
+A text is normalised to its lower-cased words with one space between. The automaton holds
+each item's words once, in consecutive blocks of seven: any window of 13 words of an item
+contains one whole block. One scan of the normalised text finds every block; each is then
+compared with the item in place, six words to either side, and if the words that agree
+around it, block included, are 13 or more, all of them are hit. Items of fewer than 13
+words are one block, hit as a whole. Hits are kept as word ranges and mapped back to
+character offsets of the original text.
+
+The automaton takes about 50 bytes for a byte of benchmark text (measured). A benchmark of
+more than ``SLICE_BYTES`` is dealt over several automata, which scan the texts one after the
+other, each adding its hits to those found before: no worker ever holds more than one.
 
 Nulls: a null text has no words; a null item text has no windows. A text without
 words is never contaminated. Repeated documents are judged row by row; repeated item
@@ -30,22 +37,17 @@ _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
 WINDOW = 13
-#: Benchmark text up to this size becomes an automaton on every executor; more goes by a join.
-MAX_AUTOMATON_BYTES = 32 << 20
+#: Benchmark text in one automaton.
+SLICE_BYTES = 4 << 20
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+#: What a scan adds up from slice to slice: items, and word ranges [first, last].
+_FOUND = "items array<string>, first array<int>, last array<int>"
 
 
 def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows(ws: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """All runs of ``size`` words; one window of everything if there are fewer, but not none."""
-    if not ws:
-        return []
-    return [tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))]
-
-
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character offsets of word ranges ``[first, last]`` of the original text."""
     wanted = {i for r in ranges for i in r}
@@ -54,122 +56,146 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
 
 
 class Scanner:
-    """The automaton; built on first use, once in each Python worker."""
+    """The automaton of some items; built on first use, one at a time in each Python worker."""
 
-    _built: dict[str, object] = {}
+    _built: dict[str, "Scanner"] = {}
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
         self.items, self.size = items, size
         self.key = hashlib.sha256(repr((size, items)).encode("utf-8", "surrogatepass")).hexdigest()
 
-    @property
-    def automaton(self):
+    def ready(self) -> "Scanner":
         if self.key not in self._built:
-            import ahocorasick
-
-            owners: dict[str, tuple[int, set[str]]] = {}
-            for item, text in self.items:
-                for w in windows(words(text), self.size):
-                    owners.setdefault((b" " + b" ".join(w) + b" ").decode("latin-1"), (len(w), set()))[1].add(item)
-            found = ahocorasick.Automaton()
-            for k, v in owners.items():
-                found.add_word(k, v)
-            if owners:
-                found.make_automaton()
             self._built.clear()
-            self._built[self.key] = found if owners else None
+            self._built[self.key] = self
+            self._build()
         return self._built[self.key]
 
-    def scan(self, text: str | None) -> tuple[int, int, list[str], list[tuple[int, int]]]:
-        """Words, hit words, the items with an occurring window, spans in the original."""
+    def _build(self) -> None:
+        import ahocorasick
+
+        size, block = self.size, (self.size + 1) // 2
+        self.names = sorted({i for i, _ in self.items})
+        number = {n: i for i, n in enumerate(self.names)}
+        ids: dict[bytes, int] = {}
+        every, owner, found = [np.full(size, -1, np.int32)], [np.zeros(size, np.int32)], {}  # -1 between items
+        at = size
+        for item, text in self.items:
+            ws = words(text)
+            if not ws:
+                continue
+            n = len(ws)
+            for i in [0] if n < size else range(0, n - block + 1, block):
+                part = ws if n < size else ws[i : i + block]
+                found.setdefault(b" " + b" ".join(part) + b" ", (len(part), [], []))[1 if n < size else 2].append(at + i)
+            every += [np.array([ids.setdefault(w, len(ids)) for w in ws], np.int32), np.full(size, -1, np.int32)]
+            owner.append(np.full(n + size, number[item], np.int32))
+            at += n + size
+        self.ids, self.every, self.owner = ids, np.concatenate(every), np.concatenate(owner)
+        # blocks: number of words, places of whole short items, places within longer items
+        self.blocks, self.automaton = [], ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for text, (n, short, places) in found.items():
+            self.automaton.add_word(text.decode("latin-1"), len(self.blocks))
+            self.blocks.append((n, short, np.array(places, np.int64)))
+        if found:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[str], list[tuple[int, int]]]:
+        """Words, the items with an occurring window, and the word ranges [first, last] that are hit."""
         ws = words(text)
-        if not ws or self.automaton is None:
-            return len(ws), 0, [], []
+        if not ws or not self.blocks:
+            return len(ws), [], []
         flat = b" " + b" ".join(ws) + b" "
-        found = list(self.automaton.iter(flat.decode("latin-1")))
-        if not found:
-            return len(ws), 0, [], []
+        hits = list(self.automaton.iter(flat.decode("latin-1")))
+        if not hits:
+            return len(ws), [], []
         spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 0x20)
-        ends = np.searchsorted(spaces, np.fromiter((e for e, _ in found), np.int64, len(found)))
-        mark = np.zeros(len(ws) + 1, np.int64)
-        np.add.at(mark, ends - np.fromiter((v[0] for _, v in found), np.int64, len(found)), 1)
-        np.add.at(mark, ends, -1)
+        ends = np.searchsorted(spaces, np.fromiter((e for e, _ in hits), np.int64, len(hits)))
+        reach = self.size // 2
+        steps = np.arange(1, reach + 1)
+        around = np.full(len(ws) + 2 * reach, -2, np.int32)
+        around[reach : reach + len(ws)] = [self.ids.get(w, -2) for w in ws]
+        mark, items = np.zeros(len(ws) + 1, np.int64), set()
+        for end, (_, k) in zip(ends, hits, strict=True):
+            n, short, places = self.blocks[k]
+            begin = int(end) - n
+            spans = [np.array([[begin, begin + n]])] if short else []
+            items.update(self.owner[short].tolist())
+            if len(places):
+                left = np.cumprod(self.every[places[:, None] - steps] == around[begin + reach - steps], axis=1).sum(1)
+                right = np.cumprod(self.every[places[:, None] + n - 1 + steps] == around[begin + reach + n - 1 + steps], axis=1).sum(1)
+                on = np.flatnonzero(left + n + right >= self.size)
+                items.update(self.owner[places[on]].tolist())
+                # each alignment by itself: what agrees to the left in one item and to the right in another is no window
+                spans.append(np.unique(np.stack([begin - left[on], begin + n + right[on]], 1), axis=0))
+            for span in spans:
+                np.add.at(mark, span[:, 0], 1)
+                np.add.at(mark, span[:, 1], -1)
         hit = np.concatenate(([0], np.cumsum(mark)[:-1] > 0, [0])).astype(np.int8)
         edge = np.flatnonzero(np.diff(hit))
-        ranges = [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        return len(ws), int(hit.sum()), sorted(set().union(*(v[1] for _, v in found))), original_spans(text, ranges)
+        return len(ws), sorted(self.names[i] for i in items), [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges [first, last] in order, those that overlap or touch made one."""
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def benchmark_items(benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id") -> DataFrame:
     return benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("item_text")).where("item_text is not null")
 
 
-def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "contamination", size: int = WINDOW, max_bytes: int = MAX_AUTOMATON_BYTES) -> DataFrame:
+def slices(items: list[tuple[str, str]], slice_bytes: int) -> list[list[tuple[str, str]]]:
+    """Items in order, dealt into slices of about ``slice_bytes`` of text, or one longer item."""
+    out, room = [[]], slice_bytes
+    for item, text in items:
+        size = len(text.encode("utf-8", "surrogatepass"))
+        if size > room and out[-1]:
+            out.append([])
+            room = slice_bytes
+        out[-1].append((item, text))
+        room -= size
+    return out
+
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "contamination", size: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` plus the struct ``out`` (see ``RESULT``).
 
-    The benchmark's size is measured first. Up to ``max_bytes`` it goes to the
-    executors as one automaton and the documents are never shuffled; beyond it
-    the windows of both sides meet in a shuffled join (``by_join``).
+    The benchmark is read to the driver; the documents are never shuffled. Between the
+    scans of two slices the rows are written, with what was found so far.
     """
-    items = benchmark_items(benchmark)
-    if (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) > max_bytes:
-        return by_join(docs, items, text_col, out, size)
-    scanner = Scanner(sorted((r["item"], r["item_text"]) for r in items.collect()), size)
-
-    @F.pandas_udf(RESULT)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        rows = [scanner.scan(t) for t in texts]
-        return pd.DataFrame(
-            {
-                "n_words": [r[0] for r in rows],
-                "n_hit": [r[1] for r in rows],
-                "items": [r[2] for r in rows],
-                "spans": [[{"start": a, "end": b} for a, b in r[3]] for r in rows],
-            }
-        )
-
-    return docs.withColumn(out, scan(text_col))
-
-
-def by_join(docs: DataFrame, items: DataFrame, text_col: str, out: str, size: int = WINDOW) -> DataFrame:
-    """The same result for a benchmark of any size: windows of both sides meet by their text."""
-    lengths_of = F.pandas_udf("array<string>")(lambda s: s.map(lambda t: sorted({(b" ".join(w)).decode("utf-8", "surrogatepass") for w in windows(words(t), size)})))
-    bench = materialize(items.select("item", F.explode(lengths_of("item_text")).alias("window")).distinct().withColumn("k", F.size(F.split("window", " "))), "windows")
-    lengths = sorted(r["k"] for r in bench.select("k").distinct().collect())  # at most ``size`` numbers
-
-    @F.pandas_udf("array<struct<at:int,k:int,window:string>>")
-    def emit(texts: pd.Series) -> pd.Series:
-        def of(t):
-            ws = words(t)
-            return [{"at": i, "k": k, "window": b" ".join(ws[i : i + k]).decode("utf-8", "surrogatepass")} for k in lengths for i in range(len(ws) - k + 1)]
-
-        return texts.map(of)
-
-    keyed = docs.withColumn("_ps_row", F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")))
-    keyed = materialize(keyed, "rows")
-    hits = (
-        keyed.select("_ps_row", F.explode(emit(text_col)).alias("w"))
-        .select("_ps_row", "w.*")
-        .join(bench, ["k", "window"])
-        .groupBy("_ps_row")
-        .agg(F.collect_set("item").alias("_ps_items"), F.collect_set(F.struct("at", "k")).alias("_ps_at"))
-    )
-
-    @F.pandas_udf(RESULT)
-    def total(texts: pd.Series, item: pd.Series, at: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, its, ats in zip(texts, item, at, strict=True):
-            n = len(words(t))
-            hit = np.zeros(n + 2, np.int8)
-            for a in ats if ats is not None else []:
-                hit[a["at"] + 1 : a["at"] + a["k"] + 1] = 1
-            edge = np.flatnonzero(np.diff(hit))
-            spans = original_spans(t, [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]) if len(edge) else []
-            rows.append((n, int(hit.sum()), sorted(its) if its is not None else [], [{"start": a, "end": b} for a, b in spans]))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
-
-    joined = keyed.join(hits, "_ps_row", "left")
-    return joined.withColumn(out, total(text_col, "_ps_items", "_ps_at")).drop("_ps_row", "_ps_items", "_ps_at")
+    sc = docs.sparkSession.sparkContext
+    items = sorted({(r["item"], r["item_text"]) for r in benchmark_items(benchmark).collect()})
+
+    def scans(part, last: bool):
+        held = sc.broadcast(Scanner(part, size))  # SLICE_BYTES of text
+
+        def scan(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+            scanner, rows = held.value.ready(), []
+            for t, names, first, to in zip(texts, before["items"], before["first"], before["last"], strict=True):
+                n, found, ranges = scanner.scan(t)
+                ranges = united([*ranges, *zip(first, to, strict=True)])
+                found = sorted({*found, *names})
+                if last:
+                    spans = [{"start": a, "end": b} for a, b in (original_spans(t, ranges) if ranges else [])]
+                    rows.append((n, sum(b - a + 1 for a, b in ranges), found, spans))
+                else:
+                    rows.append((found, [a for a, _ in ranges], [b for _, b in ranges]))
+            return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"] if last else ["items", "first", "last"])
+
+        return F.pandas_udf(scan, RESULT if last else _FOUND)
+
+    found = docs.withColumn(out, F.from_json(F.lit('{"items": [], "first": [], "last": []}'), _FOUND))
+    *parts, end = slices(items, slice_bytes)
+    for part in parts:
+        found = materialize(found.withColumn(out, scans(part, last=False)(text_col, out)), "scanned")
+    return found.withColumn(out, scans(end, last=True)(text_col, out))
 
 
 def contaminated(c: str = "contamination"):

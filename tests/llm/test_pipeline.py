@@ -27,8 +27,8 @@ def test_stages_against_plain_checks(spark, sf, tmp_path):
             assert docs.count() == len({simhash.fingerprint(t) for t in after.values()})
         if name == "decontamination":
             items = sorted((str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{path}/benchmark.parquet").where("text is not null").collect())
-            scan = decontamination.Scanner(items).scan
-            bad = {r["doc_id"] for r in before for n, h, _, _ in [scan(r["text"])] if h and 20 * h >= n}
+            scan = decontamination.Scanner(items).ready().scan
+            bad = {r["doc_id"] for r in before for h in [sum(b - a + 1 for a, b in scan(r["text"])[2])] if h and 20 * h >= len(decontamination.words(r["text"]))}
             assert bad and set(after) == {r["doc_id"] for r in before} - bad
 
 
