@@ -4,10 +4,10 @@ Each byte has a small learnt vector; filters of eight bytes slide over overlappi
 that cover the whole document; every filter's strongest response in a chunk is pooled, the
 pooled chunks are averaged, and two dense layers give one probability. Training runs in
 rounds: the shards of the sample train from the same weights, each in its own partition,
-and their weights are averaged.
+and their weights are averaged. Learning and scoring both see every chunk of a text.
 
-A null or empty text is one chunk of padding. Texts are scored whole, however long, in
-blocks of chunks. Repeated rows score alike. With one class only, or no training rows,
+A null or empty text is one chunk of padding. Texts are learnt from and scored whole,
+however long, in blocks of chunks. Repeated rows score alike. With one class only, or no training rows,
 the score is the smoothed share of class 1 everywhere.
 """
 
@@ -23,8 +23,8 @@ from panelscope.llm._labels import held_out, labelled_sample
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 64, 8, 2
 EMBED, FILTERS, HIDDEN, THRESHOLD = 6, 24, 16, 0.7
-#: Training: rows, and chunks spread over each row's whole text, that a step sees.
-MAX_TRAIN_ROWS, TRAIN_CHUNKS, SHARDS, ROUNDS, BATCH, RATE = 4000, 3, 4, 8, 8, 0.015
+#: Training: about so many labelled rows at most, their whole texts.
+MAX_TRAIN_ROWS, SHARDS, ROUNDS, BATCH, RATE = 4000, 4, 8, 8, 0.015
 _BLOCK = 256  # chunks in memory at once
 _POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 
@@ -59,11 +59,17 @@ def _windows(p: dict, x: np.ndarray) -> np.ndarray:
     return v[:, :: STRIDE * EMBED]  # (n, positions, WIDTH * EMBED)
 
 
-def pooled(p: dict, x: np.ndarray) -> np.ndarray:
-    """(n, FILTERS): each filter's strongest response in each chunk, at least zero."""
+def strongest(p: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, FILTERS): the position of each filter's strongest response in each chunk, and the response."""
     w = _windows(p, x).reshape(-1, WIDTH * EMBED)
     r = (w @ p["conv"]).reshape(len(x), _POSITIONS, FILTERS)
-    return np.maximum(r.max(1) + p["cb"], 0)
+    where = r.argmax(1)
+    return where, np.take_along_axis(r, where[:, None], 1)[:, 0] + p["cb"]
+
+
+def pooled(p: dict, x: np.ndarray) -> np.ndarray:
+    """(n, FILTERS): each filter's strongest response in each chunk, at least zero."""
+    return np.maximum(strongest(p, x)[1], 0)
 
 
 def probability(p: dict, mean: np.ndarray) -> np.ndarray:
@@ -105,10 +111,8 @@ def train_shard(p: dict, docs: list[tuple[np.ndarray, int]], weight: tuple[float
         n = np.array([len(c) for c, _ in some])
         x, owner = np.concatenate([c for c, _ in some]), np.repeat(np.arange(len(some)), n)
         y = np.array([y for _, y in some], np.float64)
-        w = _windows(p, x)
-        r = (w.reshape(-1, WIDTH * EMBED) @ p["conv"]).reshape(len(x), _POSITIONS, FILTERS)
-        where = r.argmax(1)
-        top = np.take_along_axis(r, where[:, None], 1)[:, 0] + p["cb"]
+        blocks = [slice(i, i + _BLOCK) for i in range(0, len(x), _BLOCK)]
+        where, top = (np.concatenate(c) for c in zip(*(strongest(p, x[i]) for i in blocks), strict=True))
         relu = np.maximum(top, 0)
         mean = np.zeros((len(some), FILTERS), np.float32)
         np.add.at(mean, owner, relu / n[owner, None])
@@ -118,12 +122,14 @@ def train_shard(p: dict, docs: list[tuple[np.ndarray, int]], weight: tuple[float
         dh = (dz @ p["o"].T) * (hid > 0)
         dtop = ((dh @ p["h"].T) / n[:, None])[owner] * (top > 0)
         g = {"o": hid.T @ dz, "ob": dz.sum(0), "h": mean.T @ dh, "hb": dh.sum(0), "cb": dtop.sum(0).astype(np.float32)}
-        best = w[np.arange(len(x))[:, None], where]  # (n, FILTERS, WIDTH * EMBED)
-        g["conv"] = np.einsum("nfk,nf->kf", best, dtop)
-        dbest = (dtop[:, :, None] * p["conv"].T[None]).reshape(len(x), FILTERS, WIDTH, EMBED)
-        at_byte = x[np.arange(len(x))[:, None, None], where[:, :, None] * STRIDE + np.arange(WIDTH)]
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], at_byte.ravel(), dbest.reshape(-1, EMBED))
+        g["conv"], g["emb"] = np.zeros_like(p["conv"]), np.zeros_like(p["emb"])
+        for i in blocks:
+            at_byte = x[i][np.arange(len(x[i]))[:, None, None], where[i][:, :, None] * STRIDE + np.arange(WIDTH)]
+            best = p["emb"][at_byte].reshape(len(at_byte), FILTERS, WIDTH * EMBED)
+            g["conv"] += np.einsum("nfk,nf->kf", best, dtop[i])
+            dbest = (dtop[i][:, :, None] * p["conv"].T[None]).reshape(-1, EMBED)
+            for k in range(EMBED):
+                g["emb"][:, k] += np.bincount(at_byte.ravel(), weights=dbest[:, k], minlength=256).astype(np.float32)
         t += 1
         for k in p:
             m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
@@ -131,25 +137,21 @@ def train_shard(p: dict, docs: list[tuple[np.ndarray, int]], weight: tuple[float
     return p
 
 
-def _spread(x: np.ndarray, n: int) -> np.ndarray:
-    """At most n chunks, evenly spread from the first to the last."""
-    return x[np.unique(np.linspace(0, len(x) - 1, min(n, len(x))).round().astype(int))]
-
-
 def _step(p: dict, weight: tuple[float, float], k: int, rate: float):
-    """Round ``k`` of one shard: its row count and its weights, in order of their names."""
+    """Round ``k`` of the shard that is one partition: its row count and its weights, in order of their names."""
 
-    def run(key, frame):
-        rows = [(np.frombuffer(x, np.uint8).reshape(-1, CHUNK), int(y)) for x, y in zip(frame["x"], frame["y"], strict=True)]
-        rows.sort(key=lambda r: (r[0].tobytes(), r[1]))
-        q = train_shard(p, rows, weight, 1000 * k + int(key[0]), rate)
-        return pd.DataFrame({"n": [len(rows)], "p": [b"".join(q[name].tobytes() for name in sorted(q))]})
+    def run(frames):
+        rows = [(int(s), np.frombuffer(x, np.uint8).reshape(-1, CHUNK), int(y)) for f in frames for s, x, y in zip(f["shard"], f["x"], f["y"], strict=True)]
+        for shard in sorted({r[0] for r in rows}):
+            mine = sorted(((x, y) for s, x, y in rows if s == shard), key=lambda r: (r[0].tobytes(), r[1]))
+            q = train_shard(p, mine, weight, 1000 * k + shard, rate)
+            yield pd.DataFrame({"n": [len(mine)], "p": [b"".join(q[name].tobytes() for name in sorted(q))]})
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> dict:
-    encode = F.pandas_udf("binary")(lambda s: s.map(lambda t: _spread(chunks(t), TRAIN_CHUNKS).tobytes()))
+    encode = F.pandas_udf("binary")(lambda s: s.map(lambda t: chunks(t).tobytes()))
     sample = materialize(labelled_sample(docs, labels, label, max_rows, SHARDS).select("shard", "y", encode("text").alias("x")), "chunks")
     seen = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n0, n1 = start(), seen.get(0, 0), seen.get(1, 0)
@@ -160,9 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     weight = (min(3.0, (n0 + n1) / (2 * n0)), min(3.0, (n0 + n1) / (2 * n1)))
     for k in range(ROUNDS):
         rate = RATE * 0.5 * (1 + np.cos(np.pi * k / ROUNDS))
-
-        step = _step(p, weight, k, rate)
-        parts = sample.groupBy("shard").applyInPandas(step, "n long, p binary").collect()  # SHARDS small rows
+        dealt = sample.repartitionById(SHARDS, "shard")
+        parts = dealt.mapInPandas(_step(p, weight, k, rate), "n long, p binary").collect()  # SHARDS small rows
         total = sum(r["n"] for r in parts)
         flat = sum(np.frombuffer(bytes(r["p"]), np.float32).astype(np.float64) * (r["n"] / total) for r in parts)
         at, q = 0, {}

@@ -285,6 +285,31 @@ def test_network_covers_every_byte_and_gradient_lowers_loss():
     assert s[0] > 0.8 > 0.2 > s[1]
 
 
+def test_network_scores_like_plain_loops():
+    q = quality_cnn
+    p = {k: v.astype(np.float64) for k, v in q.start(3).items()}
+    p["cb"][:], p["hb"][:], p["ob"][:] = 0.03, 0.1, -0.2
+    for text in ("", "déjà vu, 12 bytes & more " * 60):
+        raw, step, pools = (text or "").encode(), q.CHUNK - q.OVERLAP, []
+        for at in range(0, max(1, len(raw) - q.OVERLAP), step):
+            chunk = raw[at : at + q.CHUNK].ljust(q.CHUNK, b"\0")
+            best = [max(sum(p["emb"][chunk[i + j]][d] * p["conv"][j * q.EMBED + d][f] for j in range(q.WIDTH) for d in range(q.EMBED)) for i in range(0, q.CHUNK - q.WIDTH + 1, q.STRIDE)) for f in range(q.FILTERS)]
+            pools.append([max(0.0, b + p["cb"][f]) for f, b in enumerate(best)])
+        mean = [sum(c) / len(pools) for c in zip(*pools, strict=True)]
+        hid = [max(0.0, sum(m * p["h"][i][j] for i, m in enumerate(mean)) + p["hb"][j]) for j in range(q.HIDDEN)]
+        z = sum(h * p["o"][j][0] for j, h in enumerate(hid)) + p["ob"][0]
+        got = q.score_texts({k: v.astype(np.float32) for k, v in p.items()}, [text])[0]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_network_gradient_does_not_depend_on_blocks(monkeypatch):
+    docs = [(quality_cnn.chunks("ab cd " * (40 + 90 * i) if i % 2 else "## $$ " * (40 + 90 * i)), i % 2) for i in range(16)]
+    whole = quality_cnn.train_shard(quality_cnn.start(), docs, (1, 1), 0, 0.01)
+    monkeypatch.setattr(quality_cnn, "_BLOCK", 2)
+    parts = quality_cnn.train_shard(quality_cnn.start(), docs, (1, 1), 0, 0.01)
+    assert all(np.allclose(whole[k], parts[k], atol=2e-3) for k in whole)
+
+
 def test_long_text_cells_do_not_depend_on_blocks(monkeypatch):
     t = "abc déf " * 500
     whole = toxicity.cells(t)
