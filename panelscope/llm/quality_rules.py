@@ -1,43 +1,48 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule is a share that is high in poor texts. Labelled good documents, by stratum, say
-how many of them a cutoff would reject; cutoffs are tried from the laxest on, and a rule
-goes on in a stratum only while the exact binomial upper bound of its false rejections
-stays within the limit. Testing in a fixed order spends no error on the many cutoffs;
-Bonferroni shares it among rules and strata, and each rule gets its share of the limit,
-so that all rules together reject at most ALPHA of a stratum's good documents, in all
-strata at once with confidence 1 - DELTA. A stratum with too few labels keeps its rules
-off.
+Each rule is a share that is high in poor texts. Candidate cutoffs are quantiles of each
+share over all documents of a stratum, drawn before any label is looked at. A third of the
+labelled documents, chosen by a hash of the id, puts the candidates of all rules in one
+order: next comes the cutoff that rejects most poor documents for each good one, as long as
+it rejects more poor ones than good. The other two thirds are the holdout: cutoffs come into force in that order while the exact binomial
+upper bound of the good documents rejected by any rule stays within ALPHA. Testing along
+one fixed order spends no error on the many cutoffs and rules; Bonferroni shares it among
+the strata, so that in all of them at once, with confidence 1 - DELTA, at most ALPHA of the
+good documents are rejected. Strata with too few holdout documents for any cutoff to pass
+are pooled and tested as one; for them the bound holds for the pool.
 
 A null text has no words and fails the base rule; shares over nothing are zero; a null
 language is a stratum of its own. Labels count once per document, and contradicting ones
-not at all. Repeated rows are judged alike.
+not at all. Repeated rows are judged alike. Without labels no rule comes into force.
+Columns named ``_ps_...`` are reserved for the operator.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelscope.llm._common import materialize, table
+from panelscope.llm._common import discard, materialize, table
 
 WORD_MIN, REPEAT_PERCENT = 50, 50
 ALPHA, DELTA = 0.02, 0.05
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
-#: Rule: (numerator, denominator, cutoffs from the laxest to the strictest).
-RULES = {
-    "symbols": ("n_symbols", "word_chars", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05]),
-    "dup_lines": ("n_dup_lines", "n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2]),
-    "repeats": ("n_repeat_words", "n_words", [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1]),
-    "long_words": ("word_chars", "n_words", [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0]),
-}
+#: Rule: (numerator, denominator).
+RULES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "long_words": ("word_chars", "n_words")}
+#: Candidate cutoffs: those that so large a share of all documents exceeds.
+LEVELS = [0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3]
+#: Shares are counted in so many cells of x / (1 + x).
+CELLS = 4096
+POOL = "*"
 
 
 def repeated_words(words: list, size: int = 3) -> int:
@@ -96,14 +101,37 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose(cutoffs: list[float], rejected: list[int], n: int, limit: float, delta: float) -> float | None:
-    """The strictest cutoff reached while every one so far keeps the bound within the limit."""
-    best = None
-    for c, k in zip(cutoffs, rejected, strict=True):
-        if k > limit * n or upper_bound(k, n, delta) > limit:
+def needed(delta: float, alpha: float = ALPHA) -> int:
+    """The fewest holdout documents with which a cutoff that rejects none of them can pass."""
+    return math.floor(math.log(delta) / math.log1p(-alpha)) + 1
+
+
+def in_order(tuned: dict[tuple[str, float], tuple[int, int]]) -> list[tuple[str, float]]:
+    """Candidates (rule, cutoff) in the order in which they are tested: each rule's from the
+    laxest on, and next always the one that adds most poor documents for each good one, until
+    none adds more poor ones than good. ``tuned``: poor and good tuning documents that each candidate rejects."""
+    left = {r: sorted((c for q, c in tuned if q == r), reverse=True) for r in RULES}
+    now, path = dict.fromkeys(RULES, (0, 0)), []
+
+    def gain(r):
+        poor, good = (x - y for x, y in zip(tuned[r, left[r][0]], now[r], strict=True))
+        return (poor / (good + 0.5), poor > good, r)
+
+    while any(left.values()):
+        _, worth, r = max(gain(r) for r in RULES if left[r])
+        if not worth:
             break
-        best = c
-    return best
+        now[r] = tuned[r, left[r][0]]
+        path.append((r, left[r].pop(0)))
+    return path
+
+
+def passed(rejected: list[int], n: int, alpha: float, delta: float) -> int:
+    """How many steps of a path come into force, if step i rejects rejected[i] of n good ones in all."""
+    for i, k in enumerate(rejected):
+        if k > alpha * n or upper_bound(k, n, delta) > alpha:
+            return i
+    return len(rejected)
 
 
 def base_failed(s: str = "_ps_stats"):
@@ -111,55 +139,99 @@ def base_failed(s: str = "_ps_stats"):
     return (c("n_words") < WORD_MIN) | (100 * c("n_repeat_words") > REPEAT_PERCENT * c("n_words"))
 
 
-def _share(rule: str, s: str):
-    top, below, _ = RULES[rule]
+def _share(rule: str, s: str = "_ps_stats"):
+    top, below = RULES[rule]
     return F.when(F.col(f"{s}.{below}") > 0, F.col(f"{s}.{top}") / F.col(f"{s}.{below}")).otherwise(0.0)
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum with labelled good documents: the chosen cutoff of each rule, null if off.
+def _shares():
+    return F.array(*(_share(r) for r in RULES))
+
+
+def labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per labelled document that the base rule passes: stratum, good, tuning, shares."""
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("_hi")).where("q = _hi").select("doc_id", (F.col("q") == 1).alias("good"))
+    met = measured.where(~base_failed()).join(known, "doc_id").select("doc_id", "stratum", "good", _shares().alias("shares"))
+    once = met.groupBy("doc_id").agg(F.min(F.struct("stratum", "good", "shares")).alias("r")).select("doc_id", "r.*")
+    return once.withColumn("tuning", F.pmod(F.xxhash64(F.lit("tuning"), "doc_id"), F.lit(3)) == 0)
 
-    ``measured``: doc_id, the stratum and the struct ``_ps_stats``. Documents that the
-    base rule fails anyway are no one's false rejection.
-    """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    held = measured.where(~base_failed()).join(good, "doc_id", "left_semi").withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    counts = [F.count_if(_share(r, "_ps_stats") > c).alias(f"{r}_{i}") for r, (_, _, cuts) in RULES.items() for i, c in enumerate(cuts)]
-    seen = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
-    seen = materialize(seen, "risk")
-    strata = max(1, seen.count())
 
-    def pick(frames):
-        for f in frames:
-            out = {"stratum": f["stratum"]}
-            for r, (_, _, cuts) in RULES.items():
-                out[r] = [choose(cuts, [int(row[f"{r}_{i}"]) for i in range(len(cuts))], int(row["n"]), alpha / len(RULES), delta / (len(RULES) * strata)) for _, row in f.iterrows()]
-            yield pd.DataFrame(out)
+def candidates(grouped: DataFrame) -> DataFrame:
+    """(stratum, rule, cut): the distinct cutoffs of LEVELS, from counts by cell over all documents."""
+    rules = F.explode(F.map_from_arrays(F.lit(list(RULES)), _shares()))
+    share = F.least(F.col("x") / (1 + F.col("x")), F.lit(1 - 1e-9))
+    counts = grouped.where(~base_failed()).select("stratum", rules.alias("rule", "x")).groupBy("stratum", "rule", F.floor(share * CELLS).alias("cell")).count()
+    w = Window.partitionBy("stratum", "rule")  # at most CELLS rows
+    above = counts.withColumn("above", F.sum("count").over(w.orderBy(F.desc("cell"))) - F.col("count")).withColumn("all", F.sum("count").over(w))
+    edge = (F.col("cell") + 1) / CELLS
+    found = above.select("stratum", "rule", "above", "all", "cell", F.explode(F.lit(LEVELS)).alias("level")).where("above <= level * all and above > 0")
+    # for each level the lowest cell above whose upper edge lie few enough documents, but some
+    return found.groupBy("stratum", "rule", "level").agg(F.min(edge).alias("e")).select("stratum", "rule", (F.col("e") / (1 - F.col("e"))).alias("cut")).distinct()
 
-    return materialize(seen.mapInPandas(pick, "stratum string, " + ", ".join(f"{r} double" for r in RULES)), "cutoffs")
 
+def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row per stratum that is tested (``*``: the pool of the others): n (holdout documents),
+    rejected (of them), and the cutoff of each rule in force, null if off.
 
-def judged(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+    ``measured``: doc_id, stratum and the struct ``_ps_stats``. What reaches the driver is
+    counts: a few dozen for each stratum that has enough labels to be tested by itself.
+    """
+    spark = measured.sparkSession
+    known = materialize(labelled(measured, labels), "labelled")
+    good = known.where("good and not tuning").groupBy("stratum").count()
+    least = needed(delta / (good.count() + 1), alpha)
+    own = [r["stratum"] for r in good.where(F.col("count") >= least).collect()]
+    pooled = lambda df: df.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(POOL))
+    known, cuts = pooled(known), materialize(candidates(pooled(measured)), "candidates")
+
+    place = F.map_from_arrays(F.lit(list(RULES)), F.col("shares"))
+    tuned = known.where("tuning").join(F.broadcast(cuts), "stratum").where(F.element_at(place, F.col("rule")) > F.col("cut"))
+    seen: dict = {(r["stratum"], r["rule"], r["cut"]): (0, 0) for r in cuts.collect()}
+    for r in tuned.groupBy("stratum", "rule", "cut").agg(F.count_if(~F.col("good")).alias("poor"), F.count_if("good").alias("good")).collect():
+        seen[r["stratum"], r["rule"], r["cut"]] = (r["poor"], r["good"])
+    paths = {s: in_order({(r, c): v for (t, r, c), v in seen.items() if t == s}) for s in {k[0] for k in seen}}
+
+    steps = spark.createDataFrame([(s, [(i, c) for i, c in ((list(RULES).index(r), c) for r, c in p)]) for s, p in sorted(paths.items())], "stratum string, path array<struct<rule:int,cut:double>>")
+    over = F.transform("path", lambda p: F.get("shares", p["rule"]) > p["cut"])
+    first = known.where("good and not tuning").join(F.broadcast(steps), "stratum").select("stratum", F.array_position(over, True).alias("step"))
+    counts: dict = {}
+    for r in first.groupBy("stratum", "step").count().collect():
+        counts.setdefault(r["stratum"], {})[r["step"]] = r["count"]
+    out = []
+    for s, by in sorted(counts.items()):
+        n, path = sum(by.values()), paths[s]
+        rejected = np.cumsum([by.get(i + 1, 0) for i in range(len(path))]).tolist()
+        m = passed(rejected, n, alpha, delta / len(counts))
+        on = {r: min((c for q, c in path[:m] if q == r), default=None) for r in RULES}
+        out.append((s, n, rejected[m - 1] if m else 0, *on.values()))
+    discard(cuts)
+    return spark.createDataFrame(out, "stratum string, n long, rejected long, " + ", ".join(f"{r} double" for r in RULES))
+
+
+def judged(measured: DataFrame, cutoffs: DataFrame, stratum: str = "stratum") -> DataFrame:
     """``measured`` plus the boolean ``_ps_kept``: neither the base rule nor a rule in force rejects."""
-    cuts = cutoffs.select(F.col("stratum").alias("_ps_stratum"), *(F.col(r).alias(f"_ps_{r}") for r in RULES))
-    met = measured.withColumn("_ps_key", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    met = met.join(cuts, met["_ps_key"] == cuts["_ps_stratum"], "left")
-    rejected = F.lit(False)
-    for r in RULES:
-        rejected = rejected | F.coalesce(_share(r, "_ps_stats") > F.col(f"_ps_{r}"), F.lit(False))
-    return met.withColumn("_ps_kept", ~base_failed() & ~rejected).drop("_ps_key", "_ps_stratum", *(f"_ps_{r}" for r in RULES))
+    cuts = {r["stratum"]: {k: r[k] for k in RULES if r[k] is not None} for r in cutoffs.collect()}  # a row per tested stratum
+    rejects = lambda on: reduce(or_, (_share(r) > c for r, c in on.items()), F.lit(False))
+    verdict = rejects(cuts.pop(POOL, {}))
+    for s, on in cuts.items():
+        verdict = F.when(F.col(stratum) == s, rejects(on)).otherwise(verdict)
+    return measured.withColumn("_ps_kept", ~base_failed() & ~verdict)
+
+
+def stratum_of(lang: str = "lang"):
+    return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("null"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    measured = docs.withColumn("_ps_stats", with_stats())
-    narrow = materialize(measured.select("doc_id", "lang", "_ps_stats"), "stats")
-    return judged(measured, thresholds(narrow, labels)).where("_ps_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns; texts are measured once."""
+    measured = materialize(docs.withColumn("_ps_stats", with_stats()).withColumn("_ps_stratum", stratum_of()), "stats")
+    narrow = measured.select("doc_id", F.col("_ps_stratum").alias("stratum"), "_ps_stats")
+    return judged(measured, thresholds(narrow, labels), "_ps_stratum").where("_ps_kept").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    measured = materialize(docs.select("doc_id", "lang", with_stats().alias("_ps_stats")), "stats")
+    measured = materialize(docs.select("doc_id", stratum_of().alias("stratum"), with_stats().alias("_ps_stats")), "stats")
     found = judged(measured, thresholds(measured, table(spark, sf_dir, "labels")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("doc_id", *(F.col(f"_ps_stats.{n}").alias(n) for n in names), base_failed().alias("base_failed"), F.col("_ps_kept").alias("kept"))

@@ -459,22 +459,50 @@ def test_bound_is_exact_and_cutoffs_stop_at_the_first_failure():
         p = quality_rules.upper_bound(k, n, d)
         assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) == pytest.approx(d, rel=1e-6)
     assert quality_rules.upper_bound(0, 0, 0.05) == quality_rules.upper_bound(5, 5, 0.05) == 1
-    assert quality_rules.choose([3, 2, 1], [0, 0, 90], 3000, 0.01, 0.01) == 2
-    assert quality_rules.choose([3, 2, 1], [90, 0, 0], 3000, 0.01, 0.01) is None
-    assert quality_rules.choose([3], [0], 20, 0.01, 0.01) is None
-
-
-def test_rules_act_only_where_labels_prove_them(spark):
-    good = "plain words of a calm text " * 10
-    poor = "plain # words $ of % a & calm " * 10
-    rows = [(i, good.replace("calm", f"calm{i} x{i * 7}"), "en") for i in range(1500)]
-    rows = [(i, " ".join(f"w{i}k{j}" for j in range(60)), "en") for i in range(1500)]
-    bad = [(10_000 + i, " ".join(f"w{i}k{j} #" for j in range(60)), ["en", "xx"][i % 2]) for i in range(20)]
-    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows] + [(r[0], 0, 0) for r in bad], "doc_id long, quality int, toxic int")
-    kept = {r["doc_id"] for r in quality_rules.keep_good(docs, labels).collect()}
-    assert kept == {r[0] for r in rows} | {r[0] for r in bad if r[2] == "xx"}
-    assert good and poor
+    assert quality_rules.passed([0, 0, 90], 3000, 0.01, 0.01) == 2
+    assert quality_rules.passed([90, 90, 90], 3000, 0.01, 0.01) == 0
+    assert quality_rules.passed([0], 20, 0.01, 0.01) == 0
+    n = quality_rules.needed(0.01, 0.02)
+    assert quality_rules.passed([0], n, 0.02, 0.01) == 1 and quality_rules.passed([0], n - 1, 0.02, 0.01) == 0
+
+
+def test_cutoffs_keep_to_the_limit_and_stop_only_at_it(spark):
+    """Kept rows against a plain recount from the cutoffs, and the cutoffs against the holdout."""
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(2400):
+        poor, lang = i % 4 == 3, ["en", "de", "fr", None][i % 60 // 20 if i % 60 < 50 else 3]
+        ws = [f"w{i}k{j}" for j in range(60)] + ["#"] * int(r.integers(4, 12) if poor else r.integers(0, 5))
+        rows.append((i, " ".join(ws), lang, "junk", int(not poor)))
+    docs = spark.createDataFrame([x[:4] for x in rows], "doc_id long, text string, lang string, stratum string")
+    labels = spark.createDataFrame([(x[0], x[4], 0) for x in rows], "doc_id long, quality int, toxic int")
+    measured = docs.select("doc_id", quality_rules.stratum_of().alias("stratum"), quality_rules.with_stats().alias("_ps_stats"))
+    cuts = {c["stratum"]: c for c in quality_rules.thresholds(measured, labels).collect()}
+    assert quality_rules.POOL in cuts and len(cuts) > 1  # the small strata are one pool
+    tuning = {x["doc_id"] for x in quality_rules.labelled(measured, labels).where("tuning").collect()}
+    want, false = set(), Counter()
+    for i, t, lang, _, good in rows:
+        s = "null" if lang is None else "=" + lang
+        s = s if s in cuts else quality_rules.POOL
+        words, chars, symbols, dup, rep, lines = quality_rules.stats(t)
+        shares = {"symbols": symbols / chars, "dup_lines": dup / lines, "repeats": rep / words, "long_words": chars / words}
+        bad = any(cuts[s][k] is not None and v > cuts[s][k] for k, v in shares.items())
+        want |= set() if bad or brute_stats(t)[5] else {i}
+        if good and i not in tuning:
+            false[s, bad] += 1
+    kept = quality_rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == want
+    for s, c in cuts.items():
+        assert (c["n"], c["rejected"]) == (false[s, True] + false[s, False], false[s, True])
+        assert quality_rules.upper_bound(c["rejected"], c["n"], quality_rules.DELTA / len(cuts)) <= quality_rules.ALPHA
+        assert c["symbols"] is not None
+    poor = {i for i, *_, good in rows if not good}
+    assert len(poor - want) > 0.5 * len(poor)
+
+
+def test_order_of_candidates_prefers_poor_documents_at_little_cost():
+    tuned = {("symbols", 0.5): (10, 0), ("symbols", 0.2): (30, 1), ("repeats", 0.4): (1, 0), ("repeats", 0.3): (2, 40)}
+    assert quality_rules.in_order(tuned) == [("symbols", 0.5), ("symbols", 0.2), ("repeats", 0.4)]
 
 
 # op9
