@@ -4,9 +4,9 @@ Each rule is a share that is high in poor texts. Candidate cutoffs are quantiles
 share over all documents of a stratum, drawn before any label is looked at. A third of the
 labelled documents, chosen by a hash of the id, puts the candidates of all rules in one
 order: next comes the cutoff that rejects most poor documents for each good one, as long as
-it rejects more poor ones than good. The other two thirds are the holdout: cutoffs come into force in that order while the exact binomial
-upper bound of the good documents rejected by any rule stays within ALPHA. Testing along
-one fixed order spends no error on the many cutoffs and rules; Bonferroni shares it among
+it rejects more poor ones than good. The other two thirds are the holdout: cutoffs come into
+force in that order while the exact binomial upper bound of the good documents rejected by
+any rule stays within ALPHA. Testing along one fixed order spends no error on the many cutoffs and rules; Bonferroni shares it among
 the strata, so that in all of them at once, with confidence 1 - DELTA, at most ALPHA of the
 good documents are rejected. Strata with too few holdout documents for any cutoff to pass
 are pooled and tested as one; for them the bound holds for the pool.
@@ -108,21 +108,22 @@ def needed(delta: float, alpha: float = ALPHA) -> int:
 
 def in_order(tuned: dict[tuple[str, float], tuple[int, int]]) -> list[tuple[str, float]]:
     """Candidates (rule, cutoff) in the order in which they are tested: each rule's from the
-    laxest on, and next always the one that adds most poor documents for each good one, until
-    none adds more poor ones than good. ``tuned``: poor and good tuning documents that each candidate rejects."""
+    laxest on, and next always those up to the one that adds most poor documents for each good
+    one, until none adds more poor ones than good. ``tuned``: poor and good tuning documents that each candidate rejects."""
     left = {r: sorted((c for q, c in tuned if q == r), reverse=True) for r in RULES}
     now, path = dict.fromkeys(RULES, (0, 0)), []
 
-    def gain(r):
-        poor, good = (x - y for x, y in zip(tuned[r, left[r][0]], now[r], strict=True))
-        return (poor / (good + 0.5), poor > good, r)
+    def gain(r, j):
+        poor, good = (x - y for x, y in zip(tuned[r, left[r][j]], now[r], strict=True))
+        return (poor / (good + 0.5), poor > good, -j, r)
 
     while any(left.values()):
-        _, worth, r = max(gain(r) for r in RULES if left[r])
+        _, worth, j, r = max(gain(r, j) for r in RULES for j in range(len(left[r])))
         if not worth:
             break
-        now[r] = tuned[r, left[r][0]]
-        path.append((r, left[r].pop(0)))
+        now[r] = tuned[r, left[r][-j]]
+        path += [(r, c) for c in left[r][: 1 - j]]
+        left[r] = left[r][1 - j :]
     return path
 
 
