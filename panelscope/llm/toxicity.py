@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text becomes the set of its lower-cased byte n-grams of 3 to 8 bytes, white space as one
-space, hashed into 2^22 cells. Eight bytes hold the beginnings that mark a word in German,
-French and Spanish; shorter n-grams are shared with clean words. Each present cell counts with its log-count ratio times a
+A text becomes the set of its lower-cased character n-grams of 3 to 8 characters, white space
+as one space, hashed into 2^22 cells. Eight characters hold the beginnings that mark a word in
+German, French and Spanish; shorter n-grams are shared with clean words. Each present cell counts with its log-count ratio times a
 learnt weight; a ratio counts only if it stands EVIDENCE standard errors from chance, so
 that thousands of stray n-grams can't outvote a telling one. Only cells with such a ratio
 reach the driver and the executors. Ratios are one aggregation over the training rows by
@@ -26,24 +26,24 @@ from panelscope.llm._labels import MAX_TRAIN_ROWS, held_out, labelled_sample
 
 BITS, SIZES, THRESHOLD = 22, (3, 4, 5, 6, 7, 8), 0.3
 STEPS, RATE, L2, SMOOTHING, EVIDENCE = 25, 0.05, 1e-4, 1.0, 4.0
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BLOCK = 1 << 20
 _RANGE = 1 << 16  # cells whose counts meet in one group
 
 
 def _hashes(text: str | None):
     """The cells of a text's n-grams by block and size, repeats included."""
-    raw = b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + b" "
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    raw = f" {' '.join((text or '').lower().split())} "
+    b = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     for at in range(0, len(b), _BLOCK):  # blocks overlap by the longest n-gram
         part = b[at : at + _BLOCK + max(SIZES) - 1]
-        code = part.copy()
+        code = part + np.uint64(1)
         for n in range(2, max(SIZES) + 1):
             if len(part) < n:
                 break
-            code = code[: len(part) - n + 1] | part[n - 1 :] << np.uint64(8 * (n - 1))
+            code = code[: len(part) - n + 1] * _STEP + part[n - 1 :] + np.uint64(1)
             if n in SIZES:
-                yield ((code + np.uint64(n << 56)) * _MIX >> np.uint64(64 - BITS)).astype(np.int32)
+                yield ((code ^ code >> np.uint64(31)) * _MIX >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def cells(text: str | None) -> np.ndarray:

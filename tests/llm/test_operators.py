@@ -310,6 +310,44 @@ def test_network_gradient_does_not_depend_on_blocks(monkeypatch):
     assert all(np.allclose(whole[k], parts[k], atol=2e-3) for k in whole)
 
 
+def test_cells_are_those_of_the_character_ngrams():
+    text, m = "Ärger  und\nÉté \U0001f600!", 1 << 64
+    flat, want = f" {' '.join(text.lower().split())} ", set()
+    for n in toxicity.SIZES:
+        for i in range(len(flat) - n + 1):
+            code = 0
+            for c in flat[i : i + n]:
+                code = (code * int(toxicity._STEP) + ord(c) + 1) % m
+            want.add((code ^ code >> 31) * int(toxicity._MIX) % m >> 64 - toxicity.BITS)
+    assert toxicity.cells(text).tolist() == sorted(want)
+
+
+def test_toxicity_fit_against_plain_arithmetic(spark):
+    """Ratios, weights and scores of a small fit, computed again without Spark."""
+    r = np.random.default_rng(9)
+    texts = [" ".join(r.choice(["calm", "river", "stone", "light"], 12)) + (" vermin" if i % 3 == 0 else "") for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    train = [(t, int(i % 3 == 0)) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n1 = sum(y for _, y in train)
+    n0, seen = len(train) - n1, defaultdict(lambda: [0, 0])
+    for t, y in train:
+        for c in set(toxicity.cells(t).tolist()):
+            seen[c][y] += 1
+    share = n1 / (n0 + n1)
+    on = sorted(c for c, (a, b) in seen.items() if a + b >= 3 and abs(b - (a + b) * share) >= toxicity.EVIDENCE * ((a + b) * share * (1 - share)) ** 0.5)
+    assert model.kept.on.tolist() == on and on
+    scale = np.array([np.log((seen[c][1] + 1) / (n1 + 2)) - np.log((seen[c][0] + 1) / (n0 + 2)) for c in on])
+    x = np.array([[c in set(toxicity.cells(t).tolist()) for c in on] for t, _ in train], float)
+    y, w, bias, m = np.array([y for _, y in train]), np.zeros(len(on)), np.log(n1 / n0), np.zeros(len(on) + 1)
+    for _ in range(toxicity.STEPS):
+        e = 1 / (1 + np.exp(-(bias + x @ (scale * w)))) - y
+        m = 0.9 * m + np.append(x.T @ e * scale / len(y) + toxicity.L2 * w, e.sum() / len(y))
+        w, bias = w - toxicity.RATE * m[:-1], bias - toxicity.RATE * m[-1]
+    assert np.allclose(model.weights, scale * w, atol=1e-3) and model.intercept == pytest.approx(bias, abs=1e-3)
+
+
 def test_long_text_cells_do_not_depend_on_blocks(monkeypatch):
     t = "abc déf " * 500
     whole = toxicity.cells(t)
