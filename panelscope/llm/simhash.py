@@ -109,18 +109,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays: the one with the smallest id, once."""
-    found = materialize(near_duplicates(docs, radius=radius), "classes")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("r")).select("r.doc_id", "r.fp")
-    rows, ids = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    if rows == ids:
-        return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    marked = docs.withColumn("_ps_fp", fingerprint_udf()("text"))
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["doc_id"]) & (marked["_ps_fp"] == first["fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_ps_fp"]).drop("_ps_fp")
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -152,15 +152,6 @@ def test_components_of_a_long_path_and_a_large_star(spark):
     assert got == {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 500)}
 
 
-def test_keep_first_keeps_one_of_each_group(spark, sf):
-    path, rows = sf
-    docs = spark.read.parquet(f"{path}/documents.parquet")
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    fps = {r[0]: brute_fingerprint(r[1]) for r in rows if r[0] is not None}
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(set(brute_classes(fps).values()))
-
-
 # op3
 
 

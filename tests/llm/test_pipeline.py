@@ -37,6 +37,14 @@ def test_run_is_stages_in_order(spark, sf, empty_sf):
     assert corpus_pipeline.run(spark, empty_sf).count() == 0
 
 
+def test_keep_first_tells_classes_apart_by_text(spark):
+    """Null ids, one id with other texts, and equal rows: one row of every text stays."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(80))
+    rows = [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (7, text(5)), (7, text(5)), (9, text(4)), (None, text(3)), (3, None), (None, ""), (2, "")]
+    kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, ((r[0], r[1]) for r in kept))) == sorted(map(str, [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (7, text(5)), (2, "")]))
+
+
 def jaccard(a, b):
     a, b = (set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in (a, b))
     return len(a & b) / len(a | b)
