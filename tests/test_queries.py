@@ -3,9 +3,10 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from panelscope.plans import catalog
+from panelscope.plans import catalog, designs, events, results, rules, scores, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -22,7 +23,7 @@ def duck():
 
 def rows(pdf):
     pdf = pdf[sorted(pdf.columns)]
-    return sorted(tuple("NULL" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in pdf.itertuples(index=False))
+    return sorted(tuple("NULL" if v is None or v is pd.NA or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in pdf.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
