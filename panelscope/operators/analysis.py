@@ -17,17 +17,22 @@ def paired(df: DataFrame, unit: list[str], model: str, a: str, b: str, metric: s
     return g.withColumn("diff", F.col("a") - F.col("b"))
 
 
+#: Chances that a unit is drawn at most 0, 1, 2, ... times when each is drawn once on average.
+_AT_MOST = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751]
+
+
 def bootstrap_mean(units: DataFrame, by: list[str], value: str, unit: str, draws: int, seed: int) -> DataFrame:
     """Percentile interval of the mean of ``value`` over units drawn with replacement within ``by``.
-    A draw's slot picks a unit by hash, so draws are rows of an equi-join, not a loop."""
-    w = Window.partitionBy(*by)
-    u = units.select(*by, F.col(value).alias("_v"), F.row_number().over(w.orderBy(unit)).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
-    slots = u.select(*by, F.col("_i").alias("_slot"), "_n").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("_slot").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n") + 1
-    drawn = slots.withColumn("_i", pick.cast("int")).join(u.drop("_n"), [*by, "_i"])
-    means = drawn.groupBy(*by, "draw").agg(F.avg("_v").alias("m"))
+
+    How often a unit is in a draw is a Poisson number from a hash of both, so that all draws are
+    sums over one pass of the units, combined before the shuffle; units are never paired or indexed.
+    """
+    u = units.select(*by, F.col(value).alias("_v"), F.col(unit).cast("string").alias("_u")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    chance = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("_u"))), 1, 8), 16, 10).cast("double") / 2**32
+    times = sum((chance >= x).cast("int") for x in _AT_MOST)
+    means = u.withColumn("_k", times).groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("_k") * F.col("_v")), F.sum("_k")).alias("m"))
     est = units.groupBy(*by).agg(F.avg(value).alias("estimate"), F.count(F.lit(1)).alias("n_units"))
-    ci = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    ci = means.groupBy(*by).agg(F.percentile(F.round("m", 9), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return est.join(ci, by).select(*by, "n_units", "estimate", F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"))
 
 
@@ -165,7 +170,7 @@ def missing_from_grid(df: DataFrame, keys: list[list[str]]) -> DataFrame:
     """Combinations of the values of each key group that the table lacks; the values are few."""
     grid = df.select(*keys[0]).distinct()
     for k in keys[1:]:
-        grid = grid.crossJoin(F.broadcast(df.select(*k).distinct()))
+        grid = grid.crossJoin(df.select(*k).distinct())  # Spark broadcasts a side only if it is small
     return grid.join(df, [c for k in keys for c in k], "left_anti")
 
 

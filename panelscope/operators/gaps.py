@@ -68,11 +68,14 @@ def block_cells(blocks: DataFrame) -> DataFrame:
 
 
 def anchors(panel: DataFrame, length: int, k: int, seed: int) -> DataFrame:
-    """Up to ``k`` centres per series and season whose whole block is observed, and the shortfall."""
+    """Up to ``k`` centres per series and season whose whole block is observed, and how many the
+    season falls short; a season without any has no row."""
     centre = F.date_add("ts", (length - 1) // 2)
     c = block_starts(panel, length).select(*SERIES, centre.alias("center_date")).withColumn("season", season("center_date"))
-    w = Window.partitionBy(*SERIES, "season").orderBy(hash_rank(F.lit(seed), "entity", "variable", "center_date"))
-    return c.withColumn("anchor_no", F.row_number().over(w)).where(F.col("anchor_no") <= k)
+    of = Window.partitionBy(*SERIES, "season")
+    w = of.orderBy(hash_rank(F.lit(seed), "entity", "variable", "center_date"))
+    short = F.greatest(F.lit(k) - F.count(F.lit(1)).over(of), F.lit(0)).cast("long")
+    return c.withColumns({"anchor_no": F.row_number().over(w), "shortfall": short}).where(F.col("anchor_no") <= k)
 
 
 def hide(panel: DataFrame, cells: DataFrame) -> DataFrame:

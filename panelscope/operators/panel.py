@@ -56,10 +56,14 @@ def qc_fields(df: DataFrame) -> DataFrame:
 
 
 def apply_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Known issues: ``rules`` (entity, variable, first_day, last_day, code, priority), the first in priority wins."""
-    r = rules.select(F.col("entity").alias("_e"), F.col("variable").alias("_v"), "first_day", "last_day", "code", "priority")
-    met = df.join(r, (df["entity"] == r["_e"]) & (df["variable"] == r["_v"]) & df["ts"].between(r["first_day"], r["last_day"]), "left")
-    return met.groupBy(*df.columns).agg(F.min_by("code", "priority").alias("known_issue_code")).withColumn("known_issue_flag", F.col("known_issue_code").isNotNull())
+    """Known issues: ``rules`` (entity, variable, first_day, last_day, code, priority), the first in
+    priority wins. The rules, a handful, become one array that every row is held against: no
+    shuffle, and equal rows stay."""
+    of = F.struct("priority", "code", F.col("entity").alias("e"), F.col("variable").alias("v"), "first_day", "last_day")
+    every = rules.agg(F.array_sort(F.collect_list(of)).alias("_rules"))
+    fits = lambda r: (r["e"] == F.col("entity")) & (r["v"] == F.col("variable")) & F.col("ts").between(r["first_day"], r["last_day"])
+    met = df.crossJoin(F.broadcast(every)).withColumn("known_issue_code", F.get(F.filter("_rules", fits), F.lit(0))["code"])  # one row
+    return met.drop("_rules").withColumn("known_issue_flag", F.col("known_issue_code").isNotNull())
 
 
 def version_values(df: DataFrame, action: str, shift: float = -8.48) -> DataFrame:

@@ -49,10 +49,13 @@ def pivot_models(df: DataFrame, keys: list[str], model: str, names: list[str], m
 
 
 def discretise(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
-    """Quantile bin of each value: how many inner edges lie at or below it."""
+    """Quantile bin of each value: how many distinct edges strictly inside the range lie at or
+    below it. At most ``bins`` distinct values are numbered in their order instead."""
     edges = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)]))
-    e = df.groupBy(*by).agg(F.array_distinct(edges).alias("_e"))
-    return df.join(e, by).withColumn("bin", F.size(F.filter("_e", lambda x: x <= F.col(value))).cast("long")).drop("_e")
+    g = df.groupBy(*by).agg(F.array_distinct(edges).alias("_e"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.countDistinct(value).alias("_d"))
+    met = df.join(g, by).withColumn("_o", F.dense_rank().over(Window.partitionBy(*by).orderBy(value)) - 1)
+    inside = F.size(F.filter("_e", lambda x: (x > F.col("_lo")) & (x < F.col("_hi")) & (x <= F.col(value))))
+    return met.withColumn("bin", F.when(F.col("_d") <= bins, F.col("_o")).otherwise(inside).cast("long")).drop("_e", "_lo", "_hi", "_d", "_o")
 
 
 def transfer_entropy(df: DataFrame, by: list[str], x: str, y: str, order: str, lag: int) -> DataFrame:
@@ -76,14 +79,17 @@ def mann_kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def two_line_break(curve: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """The x that splits a curve into two lines (three points each at least) with the least squared error."""
+    """The x at which two lines that both hold it (two points each at least) have the least squared
+    error, the first of equal ones, with both slopes. One point per x."""
     cand = curve.select(*by, F.col(x).alias("brk")).distinct()
-    m = curve.join(cand, by).withColumn("_right", F.col(x) > F.col("brk"))
-    g = m.groupBy(*by, "brk", "_right").agg(F.count(F.lit(1)).alias("n"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("c"))
-    sse = F.col("n") * (F.col("vy") - F.coalesce(F.try_divide(F.col("c") * F.col("c"), F.col("vx")), F.lit(0.0)))
-    both = g.where("n >= 3").withColumn("sse", sse).groupBy(*by, "brk").agg(F.count(F.lit(1)).alias("k"), F.round(F.sum("sse"), 9).alias("sse")).where("k = 2")
+    sides = F.explode(F.array_compact(F.array(F.when(F.col(x) <= F.col("brk"), "left"), F.when(F.col(x) >= F.col("brk"), "right"))))
+    m = curve.join(cand, by).withColumn("_side", sides)
+    g = m.groupBy(*by, "brk", "_side").agg(F.count(F.lit(1)).alias("n"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("c")).where("n >= 2")
+    g = g.withColumns({"sse": F.col("n") * (F.col("vy") - F.try_divide(F.col("c") * F.col("c"), F.col("vx"))), "slope": F.try_divide("c", "vx")})
+    slope = lambda s: F.max(F.when(F.col("_side") == s, F.col("slope")))
+    both = g.groupBy(*by, "brk").agg(F.count(F.lit(1)).alias("k"), F.round(F.sum("sse"), 9).alias("sse"), slope("left").alias("left_slope"), slope("right").alias("right_slope")).where("k = 2")
     w = Window.partitionBy(*by).orderBy("sse", "brk")
-    return both.withColumn("_i", F.row_number().over(w)).where("_i = 1").select(*by, "brk", "sse")
+    return both.withColumn("_i", F.row_number().over(w)).where("_i = 1").select(*by, "brk", "sse", "left_slope", "right_slope")
 
 
 def raw_first_loss(curve: DataFrame, by: list[str], gap: str, skill: str, threshold: float) -> DataFrame:
@@ -153,13 +159,13 @@ def shift_donors(df: DataFrame, keys: list[str], order: str, value: str, k: int)
 
 
 def permute_blocks(df: DataFrame, keys: list[str], order: str, value: str, size: int, seed: int) -> DataFrame:
-    """Values moved in whole blocks of ``size`` rows, in the order of a hash; the last, shorter
-    block stays in place."""
+    """``permuted``: the mean of the row's day of year plus another row's residual from its own:
+    residuals move in whole blocks of ``size`` rows, laid end to end in the order of a hash."""
     w = Window.partitionBy(*keys)
-    i = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    i = i.withColumn("_b", F.floor(F.col("_i") / size)).withColumn("_full", F.col("_b") < F.floor(F.col("_n") / size))
-    blocks = i.where("_full").select(*keys, "_b").distinct()
+    i = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_s", F.avg(value).over(Window.partitionBy(*keys, F.dayofyear(order))))
+    i = i.withColumn("_b", F.floor(F.col("_i") / size))
+    blocks = i.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, F.col("_b").cast("string")))
-    to = blocks.withColumn("_to", F.row_number().over(w.orderBy(key)) - 1)
-    moved = i.where("_full").join(to, [*keys, "_b"]).select(*keys, (F.col("_to") * size + F.pmod("_i", F.lit(size))).alias("_i"), F.col(value).alias("permuted"))
-    return i.join(moved, [*keys, "_i"], "left").withColumn("permuted", F.when(F.col("_full"), F.col("permuted")).otherwise(F.col(value))).drop("_i", "_n", "_b", "_full")
+    to = blocks.withColumn("_to", F.sum("_n").over(w.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    moved = i.join(to, [*keys, "_b"]).select(*keys, (F.col("_to") + F.pmod("_i", F.lit(size))).alias("_i"), (F.col(value) - F.col("_s")).alias("_r"))
+    return i.join(moved, [*keys, "_i"], "left").withColumn("permuted", F.col("_s") + F.col("_r")).drop("_i", "_b", "_s", "_r")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelscope.functions import sqlfn
 from panelscope.operators import analysis, audit, explore, fillers, gaps, metrics, panel
 from panelscope.sources import adapters
+from panelscope.sources.storage import stored
 
 SEED = 20260815
 
@@ -305,7 +306,7 @@ m AS (SELECT *, sum(far) OVER (PARTITION BY entity, variable ORDER BY start_date
 ep AS (SELECT entity, variable, min(start_date) AS start_date, max(end_date) AS end_date, count(*) AS n_runs, CAST(sum(n_days) AS BIGINT) AS n_days FROM m GROUP BY entity, variable, g)
 SELECT ep.*, {r('max(value)', 'peak')}, first(hot.ts ORDER BY value DESC, hot.ts) AS peak_date FROM ep JOIN hot ON ep.entity = hot.entity AND ep.variable = hot.variable AND hot.ts BETWEEN start_date AND end_date GROUP BY ALL""", dates="start_date end_date peak_date")
 def _(spark, sf_dir):
-    return gaps.episodes(_ship(spark, sf_dir), 0.9, 2, 3)
+    return gaps.episodes(stored(_ship(spark, sf_dir), "panel"), 0.9, 2, 3)
 
 
 _KEY = f"md5(concat_ws('|', '{SEED}', entity, variable, CAST(ts AS VARCHAR)))"
@@ -327,8 +328,8 @@ _HIDDEN = f"{SHIP}, {_STARTS.format(n=29)}, {_BLOCK}, hid AS (SELECT p.*, b.star
 
 
 def _hidden(spark, sf_dir):
-    p = _ship(spark, sf_dir)
-    return gaps.hide(p, gaps.block_cells(gaps.block_gaps(p, 30, SEED)))
+    p = stored(_ship(spark, sf_dir), "panel")
+    return stored(gaps.hide(p, gaps.block_cells(gaps.block_gaps(p, 30, SEED))), "hidden")
 
 
 @_add("g3_block_gaps", f"{SHIP}, {_STARTS.format(n=29)}, {_BLOCK} SELECT * FROM blk", dates="start_date end_date")
@@ -343,7 +344,7 @@ def _(spark, sf_dir):
 
 
 @_add("g9_anchors", f"""{ORDERS}, {_STARTS.format(n=9)}, c AS (SELECT entity, variable, ts + 4 AS ts FROM starts), s AS (SELECT *, {_SEASON} AS season FROM c)
-SELECT entity, variable, ts AS center_date, season, row_number() OVER (PARTITION BY entity, variable, season ORDER BY {_KEY}) AS anchor_no FROM s QUALIFY anchor_no <= 5""", dates="center_date")
+SELECT entity, variable, ts AS center_date, season, row_number() OVER (PARTITION BY entity, variable, season ORDER BY {_KEY}) AS anchor_no, greatest(5 - count(*) OVER (PARTITION BY entity, variable, season), 0) AS shortfall FROM s QUALIFY anchor_no <= 5""", dates="center_date")
 def _(spark, sf_dir):
     return gaps.anchors(_orders(spark, sf_dir), 10, 5, SEED)
 
@@ -438,13 +439,14 @@ def _(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@_add("b1_bootstrap_mean", f"""{EV}, {_PAIR}, u AS (SELECT year, round(diff, 9) AS v, row_number() OVER (PARTITION BY year ORDER BY anchor) AS i, count(*) OVER (PARTITION BY year) AS n FROM pr),
-s AS (SELECT year, i AS slot, n, draw FROM u, (SELECT unnest(range(1, 201)) AS draw)),
-p AS (SELECT s.year, draw, CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', CAST(draw AS VARCHAR), CAST(slot AS VARCHAR))), 1, 8)) AS BIGINT) % n + 1 AS i FROM s),
-m AS (SELECT p.year, draw, avg(v) AS m FROM p JOIN u USING (year, i) GROUP BY ALL), e AS (SELECT year, count(*) AS n_units, avg(v) AS estimate FROM u GROUP BY ALL)
+_TIMES = " + ".join(f"CAST(c >= {x} AS INT)" for x in analysis._AT_MOST)
+
+
+@_add("b1_bootstrap_mean", f"""{EV}, {_PAIR}, u AS (SELECT year, anchor, round(diff, 9) AS v FROM pr), s AS (SELECT year, draw, v, CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', CAST(draw AS VARCHAR), CAST(anchor AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS c FROM u, (SELECT unnest(range(1, 2001)) AS draw)),
+k AS (SELECT year, draw, v, {_TIMES} AS k FROM s), m AS (SELECT year, draw, round(sum(k * v) / nullif(sum(k), 0), 9) AS m FROM k GROUP BY ALL), e AS (SELECT year, count(*) AS n_units, avg(v) AS estimate FROM u GROUP BY ALL)
 SELECT e.year, n_units, {r('estimate')}, {r('quantile_cont(m, 0.025)', 'ci_lower')}, {r('quantile_cont(m, 0.975)', 'ci_upper')} FROM e JOIN m USING (year) GROUP BY e.year, n_units, estimate""")
 def _(spark, sf_dir):
-    return analysis.bootstrap_mean(_pairs(spark, sf_dir).withColumn("diff", F.round("diff", 9)), ["year"], "diff", "anchor", 200, SEED)
+    return analysis.bootstrap_mean(_pairs(spark, sf_dir).withColumn("diff", F.round("diff", 9)), ["year"], "diff", "anchor", 2000, SEED)
 
 
 @_add("b3_signed_rank", f"""{EV}, {_PAIR}, z AS (SELECT year, round(diff, 9) AS diff, abs(round(diff, 9)) AS a FROM pr WHERE round(diff, 9) <> 0), k AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY a) + (count(*) OVER (PARTITION BY year, a) - 1) / 2.0 AS r FROM z),
@@ -576,8 +578,8 @@ def recoverability(spark, sf_dir):
 
 def recoverability_of_points(spark, sf_dir):
     """The flagship: the same with a tenth of each series' days hidden, which any series has."""
-    p = _ship(spark, sf_dir)
-    return _skill(gaps.hide(p, gaps.point_gaps(p, 0.1, SEED)))
+    p = stored(_ship(spark, sf_dir), "panel")
+    return _skill(stored(gaps.hide(p, gaps.point_gaps(p, 0.1, SEED)), "hidden"))
 
 
 _POINTS = f"""{SHIP}, pk AS (SELECT entity, variable, ts FROM panel WHERE observed QUALIFY row_number() OVER (PARTITION BY entity, variable ORDER BY {_KEY}) <= floor(count(*) OVER (PARTITION BY entity, variable) * 0.1 + 0.5)),

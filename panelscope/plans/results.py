@@ -57,7 +57,8 @@ def _(spark, sf_dir):
     return results.pivot_models(_ev(spark, sf_dir), ["anchor", "gap"], "model", ["A", "N", "R"], "mae")
 
 
-_BIN = "m AS (SELECT entity, ts, value, len(list_filter(list_distinct([quantile_cont(value, 0.25) OVER e, quantile_cont(value, 0.5) OVER e, quantile_cont(value, 0.75) OVER e]), lambda x: x <= value)) AS bin FROM obs WINDOW e AS (PARTITION BY entity))"
+_BIN = """m AS (SELECT entity, ts, value, CASE WHEN d <= 4 THEN o - 1 ELSE len(list_filter(list_distinct(list_filter(e, lambda x: x > lo AND x < hi)), lambda x: x <= value)) END AS bin FROM (SELECT *, dense_rank() OVER (PARTITION BY entity ORDER BY value) AS o FROM obs)
+JOIN (SELECT entity, quantile_cont(value, [0.25, 0.5, 0.75]) AS e, min(value) AS lo, max(value) AS hi, count(DISTINCT value) AS d FROM obs GROUP BY entity) USING (entity))"""
 
 
 def _bins(spark, sf_dir):
@@ -90,8 +91,8 @@ def _(spark, sf_dir):
     return results.mann_kendall(_months(spark, sf_dir), ["entity"], "x", "y")
 
 
-@_add("f8_two_line_break", f"""{EV}, {_CURVE}, g AS (SELECT a.anchor, b.gap AS brk, a.gap > b.gap AS rgt, count(*) AS n, var_pop(a.gap) AS vx, var_pop(a.skill) AS vy, covar_pop(a.gap, a.skill) AS c FROM cv a JOIN cv b ON a.anchor = b.anchor GROUP BY ALL),
-s AS (SELECT anchor, brk, round(sum(n * (vy - coalesce(c * c / nullif(vx, 0), 0))), 9) AS sse FROM g WHERE n >= 3 GROUP BY ALL HAVING count(*) = 2) SELECT anchor, brk, {r('sse')} FROM s QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s.sse, brk) = 1""")
+@_add("f8_two_line_break", f"""{EV}, {_CURVE}, j AS (SELECT a.anchor, b.gap AS brk, a.gap AS x, a.skill AS y FROM cv a JOIN cv b ON a.anchor = b.anchor), g AS (SELECT anchor, brk, 'left' AS side, count(*) AS n, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM j WHERE x <= brk GROUP BY ALL UNION ALL SELECT anchor, brk, 'right', count(*), var_pop(x), var_pop(y), covar_pop(x, y) FROM j WHERE x >= brk GROUP BY ALL),
+s AS (SELECT anchor, brk, round(sum(n * (vy - c * c / vx)), 9) AS sse, max(c / vx) FILTER (side = 'left') AS l, max(c / vx) FILTER (side = 'right') AS r FROM g WHERE n >= 2 GROUP BY ALL HAVING count(*) = 2) SELECT anchor, brk, {r('sse')}, {r('l', 'left_slope')}, {r('r', 'right_slope')} FROM s QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s.sse, brk) = 1""")
 def _(spark, sf_dir):
     return results.two_line_break(_curves(spark, sf_dir), ["anchor"], "gap", "skill")
 
@@ -141,8 +142,8 @@ def _(spark, sf_dir):
     return results.shift_donors(adapters.order_panel(spark, sf_dir), ["entity"], "ts", "value", 7).select("entity", "ts", "value", "shifted")
 
 
-@_add("x5_permute_blocks", f"""{ORDERS}, i AS (SELECT entity, ts, value, row_number() OVER (PARTITION BY entity ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM obs), b AS (SELECT *, i // 30 AS b, i // 30 < n // 30 AS full_b FROM i),
-t AS (SELECT entity, b, row_number() OVER (PARTITION BY entity ORDER BY md5(concat_ws('|', '{SEED}', entity, CAST(b AS VARCHAR)))) - 1 AS dest FROM (SELECT DISTINCT entity, b FROM b WHERE full_b)), m AS (SELECT entity, dest * 30 + i % 30 AS i, value AS v FROM b JOIN t USING (entity, b) WHERE full_b)
-SELECT b.entity, b.ts, CASE WHEN full_b THEN m.v ELSE b.value END AS permuted FROM b LEFT JOIN m ON b.entity = m.entity AND b.i = m.i""", dates="ts")
+@_add("x5_permute_blocks", f"""{ORDERS}, i AS (SELECT entity, ts, value, row_number() OVER (PARTITION BY entity ORDER BY ts) - 1 AS i, avg(value) OVER (PARTITION BY entity, dayofyear(ts)) AS s FROM obs), b AS (SELECT *, i // 30 AS b FROM i),
+k AS (SELECT entity, b, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT entity, b, sum(n) OVER (PARTITION BY entity ORDER BY md5(concat_ws('|', '{SEED}', entity, CAST(b AS VARCHAR))) ROWS UNBOUNDED PRECEDING) - n AS dest FROM k), m AS (SELECT entity, dest + i % 30 AS i, value - s AS r FROM b JOIN t USING (entity, b))
+SELECT b.entity, b.ts, {r('b.s + m.r', 'permuted')} FROM b LEFT JOIN m ON b.entity = m.entity AND b.i = m.i""", dates="ts")
 def _(spark, sf_dir):
     return results.permute_blocks(adapters.order_panel(spark, sf_dir), ["entity"], "ts", "value", 30, SEED).select("entity", "ts", "permuted")

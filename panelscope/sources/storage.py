@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{folder.rstrip('/')}/panelscope-{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once as Parquet and read back: for a table that several steps of a query use."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_station_csv(spark: SparkSession, path: str, entity: str, variables: list[str], date: str = "DATE") -> DataFrame:
     """One entity's wide CSV as long rows (entity, variable, ts, raw_text, raw_value, bad): text that
     is there but no number is marked, not dropped."""
