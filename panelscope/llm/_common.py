@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: Text is split on these six characters wherever a contract says ``[^\x20\x09-\x0D]+``;
 #: ``bytes.split()`` splits on exactly them.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -38,7 +38,7 @@ STOPS = ",.!?;:|*#$%&"
 PIECE = re.compile(rf" ?[{_LETTER}]+(?=[ \n{STOPS}]|\Z)|[{STOPS}]+(?=[ \n]|\Z)|\n(?=[{_LETTER}])|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 #: Units of letters and stops, as Arrow's expressions write them.
 _PLAIN, _LETTERS = rf"^\n?[{_LETTER}]+[{STOPS}]*$", rf"^\n?[{_LETTER}]+"
-BLOCK_BYTES, MAX_KNOWN = 8 << 20, 1 << 17
+BLOCK_BYTES, MAX_KNOWN = 4 << 20, 1 << 17
 
 
 def byte_letters() -> dict[int, str]:
