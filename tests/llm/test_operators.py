@@ -551,6 +551,27 @@ def test_sharding(spark, sf):
     assert Counter(map(str, got)) == Counter(map(str, again))
 
 
+def test_shard_and_slot_are_those_of_a_plain_network(spark, sf):
+    path, rows = sf
+    keyed = sorted(((r[0] is not None, r[0] or 0), zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 8, r[0]) for r in rows if r[0] is not None)
+    keyed = [((False, 0), zlib.crc32(r[1].encode()), len(r[1].encode()) + 8, None) for r in rows if r[0] is None] + keyed
+    n, f = len(keyed), sharding.Feistel(len(keyed))
+
+    def walk(x):
+        while True:
+            left, right = x >> f.half, x & (2**f.half - 1)
+            for a, b in f.keys:
+                v = (right * a + b) % (2**31 - 1)
+                left, right = right, left ^ ((v ^ (v >> 13)) & (2**f.half - 1))
+            x = (left << f.half) | right
+            if x < n:
+                return x
+
+    want = Counter((d, size, crc, walk(i) % 24, walk(i) // 24) for i, (_, crc, size, d) in enumerate(keyed))
+    got = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.op9_sharding(spark, path).collect())
+    assert got == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 2**31))
 def test_feistel_is_a_permutation_with_an_inverse(n, key):
