@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,3 +54,16 @@ def rating_curve(wide: DataFrame, x: str, y: str) -> DataFrame:
     d = det(c0, c1, c2)
     solve = {"c0": det(yy, c1, c2), "c1": det(c0, yy, c2), "c2": det(c0, c1, yy)}
     return m.select("entity", "center", *(F.expr(f"try_divide({e}, {d})").alias(k) for k, e in solve.items()))
+
+
+#: Fillers that need a panel only.
+FILLERS = {"climatology": climatology, "linear": linear, "persistence": persistence}
+
+
+def by_name(panel: DataFrame, models: list[str]) -> DataFrame:
+    """The fills of several models, one after the other, named in ``model``; an unknown name is an error."""
+    unknown = sorted(set(models) - set(FILLERS))
+    if unknown:
+        raise ValueError(f"no such fillers: {', '.join(unknown)}")
+    fills = [FILLERS[m](panel).withColumn("model", F.lit(m)) for m in models]
+    return reduce(DataFrame.unionByName, fills)

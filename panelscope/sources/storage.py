@@ -41,12 +41,12 @@ def read_station_csv(spark: SparkSession, path: str, entity: str, variables: lis
     return long.select("entity", "variable", "ts", "raw_text", F.nullif(value, F.lit(float("nan"))).alias("raw_value"), (F.col("raw_text").isNotNull() & value.isNull()).alias("bad"))
 
 
-def parse_date_value_json(df: DataFrame, text: str, parameter: str, fill: float) -> DataFrame:
+def parse_date_value_json(df: DataFrame, text: str, parameter: str, fill: float, *keys: str) -> DataFrame:
     """Provider payloads ``{"properties": {"parameter": {name: {"yyyymmdd": value}}}}`` as rows
-    (ts, value); the fill value is null."""
+    (keys, ts, value); the fill value is null."""
     parsed = F.from_json(text, "properties STRUCT<parameter: MAP<STRING, MAP<STRING, DOUBLE>>>")
-    rows = df.select(F.explode(parsed["properties"]["parameter"][parameter]).alias("k", "v"))
-    return rows.select(F.to_date("k", "yyyyMMdd").alias("ts"), F.when(F.col("v") != fill, F.col("v")).alias("value"))
+    rows = df.select(*keys, F.explode(parsed["properties"]["parameter"][parameter]).alias("k", "v"))
+    return rows.select(*keys, F.to_date("k", "yyyyMMdd").alias("ts"), F.when(F.col("v") != fill, F.col("v")).alias("value"))
 
 
 def parse_missing_codes(c: str):

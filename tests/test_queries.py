@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelscope.plans import catalog, designs, events, results, rules, scores, studies  # noqa: F401
+from panelscope.plans import catalog, designs, events, joins, results, rules, scores, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
