@@ -15,10 +15,11 @@ def climatology_fill(stream: DataFrame, climatology: DataFrame, keys: list[str],
     return stream.join(static, [*keys, day], "left").withColumn("filled", F.coalesce("value", "pred"))
 
 
-def daily_scores(stream: DataFrame, keys: list[str], truth: str, pred: str, delay: str = "1 day") -> DataFrame:
-    """n, sum of |error| and of squares by key and day; rows later than ``delay`` are dropped."""
+def daily_scores(stream: DataFrame, keys: list[str], truth: str, pred: str, delay: str | None = None) -> DataFrame:
+    """n, sum of |error| and of squares by key and day. With ``delay``, for an endless stream that
+    appends closed days, rows later than it are dropped; without, for ``run_to_end``, none is."""
     e = F.col(pred) - F.col(truth)
-    g = stream.withWatermark("ts", delay).groupBy(*keys, F.window("ts", "1 day"))
+    g = (stream.withWatermark("ts", delay) if delay else stream).groupBy(*keys, F.window("ts", "1 day"))
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("abs_error"), F.sum(e * e).alias("sq_error")).select(*keys, F.col("window.start").alias("day"), "n", "abs_error", "sq_error")
 
 
@@ -72,3 +73,17 @@ def stuck_runs(stream: DataFrame, key: str, least: int) -> DataFrame:
 def run_to_table(out: DataFrame, sink: str, checkpoint: str) -> None:
     """Everything available now, into Parquet, once."""
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_end(out: DataFrame, sink: str, checkpoint: str) -> str | None:
+    """An aggregate of everything available now, groups still open included: its last whole state, as
+    Parquet. For sums whose groups (keys by days) are few against the rows; none is ever closed. A
+    batch that is run again writes its own folder anew; the last one's is returned, None if there was none."""
+    done = []
+
+    def write(batch, i):
+        batch.write.mode("overwrite").parquet(f"{sink}/{i}")
+        done.append(i)
+
+    out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return f"{sink}/{done[-1]}" if done else None

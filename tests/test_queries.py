@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelscope.plans import catalog, designs, events, joins, results, rules, scores, studies  # noqa: F401
+from panelscope.plans import catalog, designs, events, joins, results, rules, scores, streams, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = catalog.QUERIES | streams.QUERIES, catalog.SQL | streams.SQL
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -35,9 +36,9 @@ def rows(pdf):
     return sorted(tuple(map(cell, r)) for r in pdf.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_twin(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.SQL[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
