@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.sqlfn import SERIES, avg_rank, doy366, hash_rank, safe_corr
-from panelscope.operators.analysis import _AT_MOST
+from panelscope.operators.analysis import _AT_MOST, bootstrap_mean
 from panelscope.operators.explore import block_starts
 from panelscope.operators.results import transfer_entropy
 
@@ -161,3 +161,9 @@ def evaluated(scored: DataFrame, approved: Column) -> DataFrame:
     """The cells that count in a score: approved, hidden, with a finite truth and prediction."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     return scored.where(approved & F.col("hidden") & finite("truth") & finite("pred"))
+
+
+def result_summary(units: DataFrame, by: list[str], value: str, unit: str, draws: int, seed: int) -> DataFrame:
+    """Number of units, mean, median, standard deviation and the mean's bootstrap interval by group."""
+    plain = units.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"))
+    return bootstrap_mean(units, by, value, unit, draws, seed).withColumnRenamed("estimate", "mean").join(plain, by).select(*by, "n_units", "mean", "median", "std", "ci_lower", "ci_upper")

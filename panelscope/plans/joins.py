@@ -231,3 +231,35 @@ SELECT model, entity, variable, count(*) AS n, {r('avg(abs(pred - truth))', 'mae
 def _(spark, sf_dir):
     every = fillers.by_name(_hidden(spark, sf_dir), ["climatology", "linear", "persistence"])
     return metrics.basic(every.where("hidden"), ["model", "entity", "variable"]).select("model", "entity", "variable", "n", "mae", "bias")
+
+
+# whole tables of a run
+
+
+@_add("s13_version_manifest", f"{_FLAGGED}, v AS (SELECT 'published' AS data_version, * FROM flagged UNION ALL SELECT 'exclude', * REPLACE (CASE WHEN code IS NULL THEN value END AS value) FROM flagged) SELECT data_version, split, count(*) AS n_rows, count(DISTINCT ts) AS n_days, count(DISTINCT entity) AS n_entities, count(value) AS n_values, count(code) AS n_flagged FROM v GROUP BY ALL")
+def _(spark, sf_dir):
+    f, path = storage.stored(_flagged(spark, sf_dir), "flagged"), storage.scratch(spark, "versions")
+    for name in ("published", "exclude"):  # each run replaces its own version's folders only
+        storage.write_versioned(panel.version_values(f, name).withColumn("data_version", F.lit(name)), path, "data_version", "split")
+    g = spark.read.parquet(path).groupBy("data_version", "split")
+    return g.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ts").alias("n_days"), F.countDistinct("entity").alias("n_entities"), F.count("value").alias("n_values"), F.count("known_issue_code").alias("n_flagged"))
+
+
+def _lib(n: int) -> str:
+    return f"SELECT CAST({n} AS BIGINT) AS length, b.entity, b.variable, b.ts + CAST(k AS INT) AS ts FROM (SELECT entity, variable, ts FROM (SELECT *, sum(CAST(observed AS INT)) OVER ({_W} ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS k FROM panel) WHERE k = {n} QUALIFY row_number() OVER (PARTITION BY entity, variable ORDER BY {_KEY}) = 1) b, (SELECT unnest(range(0, {n})) AS k)"
+
+
+@_add("g16_gap_library", f"{SHIP} {_lib(10)} UNION ALL {_lib(30)}", dates="ts")
+def _(spark, sf_dir):
+    p = storage.stored(_ship(spark, sf_dir), "panel")
+    cells = lambda n: gaps.block_cells(gaps.block_gaps(p, n, SEED)).select(F.lit(n).cast("long").alias("length"), "entity", "variable", "ts")
+    return cells(10).unionByName(cells(30))
+
+
+@_add("a16_result_summary", f"""{EV}, w AS (SELECT model, 'mae' AS metric, anchor, avg(mae) AS v FROM ev GROUP BY ALL UNION ALL SELECT model, 'mae_clim', anchor, avg(mae_clim) FROM ev GROUP BY ALL), u AS (SELECT model, metric, anchor, round(v, 9) AS v FROM w), s AS (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', CAST(draw AS VARCHAR), CAST(anchor AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS c FROM u, (SELECT unnest(range(1, 501)) AS draw)),
+k AS (SELECT model, metric, draw, v, {_TIMES} AS k FROM s), m AS (SELECT model, metric, draw, round(sum(k * v) / nullif(sum(k), 0), 9) AS m FROM k GROUP BY ALL), e AS (SELECT model, metric, count(*) AS n_units, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_samp(v) AS std FROM u GROUP BY ALL)
+SELECT model, metric, n_units, {r('mean')}, {r('median')}, {r('std')}, {r('quantile_cont(m, 0.025)', 'ci_lower')}, {r('quantile_cont(m, 0.975)', 'ci_upper')} FROM e JOIN m USING (model, metric) GROUP BY ALL""")
+def _(spark, sf_dir):
+    u = _ev(spark, sf_dir).groupBy("model", "anchor").agg(F.avg("mae").alias("mae"), F.avg("mae_clim").alias("mae_clim"))
+    u = u.unpivot(["model", "anchor"], ["mae", "mae_clim"], "metric", "v").withColumn("v", F.round("v", 9))
+    return joins.result_summary(u, ["model", "metric"], "v", "anchor", 500, SEED)
