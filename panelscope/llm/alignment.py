@@ -5,11 +5,11 @@ model with byte fallback; both cut the same bytes, a space and then the text. Cu
 ends go into one end-to-index dictionary a side; the ends in both, sorted, slice both id lists
 into groups, and each slice is expanded into the links of tokens whose byte ranges overlap.
 
-Neither tokenizer joins text across the start of a run of white space that begins with a space
-or newline after something else, so such a start is an end of both. Texts are cut there into
-units (``UNIT``), each distinct unit is aligned once, and a document's groups are those of its
-units in order; tests compare this with the alignment of whole texts. Memory is that of one
-block of text (``BLOCK_BYTES``, or one longer text) and of ``MAX_UNITS`` aligned units.
+Neither tokenizer joins text across the cuts of ``PIECE``, so these are ends of both. The new
+distinct pieces of a block of texts are laid end to end and aligned together, and a document's
+groups are those of its pieces in order; tests compare this with the alignment of whole texts.
+Memory is that of one block (``BLOCK_BYTES`` of text, or one longer text) and of ``MAX_PIECES``
+aligned pieces that a worker keeps for its next blocks.
 
 How many documents hold a pair linked is counted over all documents. Pairs with at least
 1/``HEAD`` of all (document, pair) rows, so at most ``HEAD`` of them, go to the executors with
@@ -23,8 +23,7 @@ are not read.
 
 from __future__ import annotations
 
-import os
-import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.llm._common import discard, materialize, table
-from panelscope.llm._tokenize import in_blocks
+from panelscope.llm._tokenize import PIECE, Encoder, in_blocks
 from panelscope.llm.records import vocabulary_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: White space and what follows it, up to a space or newline after something else.
-UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-HEAD, MAX_UNITS = 1 << 18, 1 << 17
+HEAD, MAX_PIECES = 1 << 18, 1 << 17
 SUMS = ["n_a", "n_b", "n_groups", "n_links"]
 _COLUMNS = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, times binary"
 
@@ -52,29 +49,25 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(256 + odd.index(b)) if b in odd else chr(b): b for b in range(256)}
 
 
-def ends(tokens: list[bytes]) -> list[int]:
-    return np.cumsum([len(t) for t in tokens]).tolist()
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ends in both lists, sorted, and behind which index of each list they lie: group g
+    holds the tokens from those of end g - 1 to those of end g."""
+    a_at, b_at = (dict(zip(e.tolist(), range(1, len(e) + 1), strict=True)) for e in (a_ends, b_ends))
+    common = sorted(a_at.keys() & b_at.keys())
+    return tuple(np.array(x, np.int64) for x in (common, list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))))
 
 
-def slices(a_ends: list[int], b_ends: list[int]):
-    """Index ranges (a from, a to, b from, b to) of the groups: between neighbouring common ends."""
-    a_at, b_at = {e: i + 1 for i, e in enumerate(a_ends)}, {e: i + 1 for i, e in enumerate(b_ends)}
-    a = b = 0
-    for e in sorted(a_at.keys() & b_at.keys()):
-        yield a, a_at[e], b, b_at[e]
-        a, b = a_at[e], b_at[e]
-
-
-def links(a_ends: list[int], b_ends: list[int], a: int, a_to: int, b: int, b_to: int):
-    """Pairs of indexes in one slice whose byte ranges overlap: the one that ends first moves on."""
-    while a < a_to and b < b_to:
-        yield a, b
-        x, y = a_ends[a], b_ends[b]
-        a, b = a + (x <= y), b + (y <= x)
+def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of all token pairs whose byte ranges overlap. No token passes a common end, so
+    the run of B tokens over each A token lies in its slice."""
+    first = np.searchsorted(b_ends, np.concatenate(([0], a_ends[:-1])), "right")
+    n = np.searchsorted(b_ends, a_ends, "left") - first + 1
+    a = np.repeat(np.arange(len(a_ends)), n)
+    return a, np.arange(len(a)) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
 class Aligner:
-    """Groups and links of units, remembered from block to block."""
+    """Groups and links of pieces, remembered from block to block."""
 
     _made: dict[tuple[str, str], "Aligner"] = {}
 
@@ -87,74 +80,114 @@ class Aligner:
         return cls._made[a_path, b_path]
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
-        if max(self.a.get_vocab_size(), self.b.get_piece_size()) > 1 << 16:
-            raise ValueError("ids of these vocabularies need more than 16 bits")
+        self.a, self.b = Encoder(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a.tokenizer.encode_special_tokens = True
+        if self.b.get_piece_size() > 1 << 16:
+            raise ValueError("ids of this model need more than 16 bits")
         letter = byte_of_letter()
-        self.a_bytes = {i: bytes(map(letter.get, t)) if all(c in letter for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        spelled = self.a.tokenizer.get_vocab()
+        self.a_bytes = [b""] * (max(spelled.values()) + 1)
+        for t, i in spelled.items():
+            self.a_bytes[i] = bytes(map(letter.get, t)) if all(c in letter for c in t) else t.encode()
         spelled = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(spelled)]
-        self.before = self.b.encode("\n")  # what B makes of a newline before the unit
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(spelled)]
+        self.sizes = [np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes)]
+        self.digits = [str(i) for i in range(max(map(len, self.sizes)))]
+        self.before = len(self.b.encode("\n"))
         self.known: dict[str, tuple] = {}
 
-    def ids(self, unit: str) -> tuple[list[int], list[int]]:
-        """Of a unit. B puts a space of its own first, so a newline, which it never joins to anything, parts that from the unit."""
-        return self.a.encode(unit, add_special_tokens=False).ids, self.b.encode("\n" + unit)[len(self.before) :]
-
-    def one(self, unit: str) -> tuple:
-        """Numbers of A tokens, B tokens, groups and links, whether both spell the unit, groups as text, linked pairs (a * 65536 + b)."""
-        a, b = self.ids(unit)
-        a_tokens, b_tokens, want = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], unit.encode()
-        if b"".join(a_tokens) != want or b"".join(b_tokens) != want:
-            return 0, 0, 0, 0, False, "", b""
-        a_ends, b_ends = ends(a_tokens), ends(b_tokens)
-        groups = list(slices(a_ends, b_ends))
-        pairs = [a[x] << 16 | b[y] for g in groups for x, y in links(a_ends, b_ends, *g)]
-        text = ";".join(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in groups)
-        return len(a), len(b), len(groups), len(pairs), True, text, np.array(pairs, np.uint32).tobytes()
-
-    def units(self, distinct) -> list[tuple]:
-        out, room = [], MAX_UNITS - len(self.known)
-        for u in distinct:
-            if (got := self.known.get(u)) is None:
-                got = self.one(u)
-                if room > 0:
-                    self.known[u], room = got, room - 1
-            out.append(got)
+    def ids(self, pieces: list[str]) -> list[list]:
+        """Both sides' ids of each piece. B puts a space of its own first, so a newline, which it never joins to anything, parts that from the piece."""
+        return [[np.frombuffer(self.a.one(p), np.uint16) for p in pieces], [x[self.before :] for x in self.b.encode(["\n" + p for p in pieces])]]
+
+    def align(self, pieces: list[str]) -> list[tuple]:
+        """Of each piece: numbers of A tokens, B tokens, groups and links, whether both spell it,
+        groups as text, linked pairs (a * 65536 + b). All pieces are laid end to end."""
+        if not pieces:
+            return []
+        cut, want = self.ids(pieces), [p.encode() for p in pieces]
+        a, b = (np.fromiter(chain.from_iterable(each), np.int64) for each in cut)
+        good = [True] * len(pieces)
+        if not all(b"".join(map(of.__getitem__, x.tolist())) == b"".join(want) for of, x in ((self.a_bytes, a), (self.b_bytes, b))):
+            good = [all(b"".join(of[i] for i in x) == w for of, x in ((self.a_bytes, x), (self.b_bytes, y))) for x, y, w in zip(*cut, want, strict=True)]
+            cut = [[x if ok else [] for x, ok in zip(each, good, strict=True)] for each in cut]
+            a, b = (np.fromiter(chain.from_iterable(each), np.int64) for each in cut)
+        n = [np.fromiter(map(len, each), np.int64, len(each)) for each in cut]
+        a_ends, b_ends = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        common, a_to, b_to = common_ends(a_ends, b_ends)
+        la, lb = links(a_ends, b_ends)
+        pairs = (a[la] << 16 | b[lb]).astype(np.uint32)
+
+        a_said, b_said = ([*map(self.digits.__getitem__, x.tolist())] for x in (a, b))
+        said, i, k = [], 0, 0
+        for j, m in zip(a_to.tolist(), b_to.tolist(), strict=True):
+            said.append(f"{a_said[i]}|{b_said[k]}" if j == i + 1 and m == k + 1 else f"{','.join(a_said[i:j])}|{','.join(b_said[k:m])}")
+            i, k = j, m
+        tokens = np.cumsum(n[0])
+        groups, linked = np.searchsorted(a_to, tokens, "right"), np.searchsorted(la, tokens, "left")
+        from_group, from_link = np.concatenate(([0], groups[:-1])), np.concatenate(([0], linked[:-1]))
+        each = zip(*(x.tolist() for x in (*n, from_group, groups, from_link, linked)), good, strict=True)
+        data = pairs.tobytes()
+        return [(x, y, h - g, q - p, ok, ";".join(said[g:h]), data[4 * p : 4 * q]) for x, y, g, h, p, q, ok in each]
+
+    def of_pieces(self, distinct: list[str]) -> list[tuple]:
+        known = self.known
+        new = [p for p in distinct if p not in known]
+        got = dict(zip(new, self.align(new), strict=True))
+        out = [got[p] if p in got else known[p] for p in distinct]
+        for p in new[: max(0, MAX_PIECES - len(known))]:
+            known[p] = got[p]
         return out
 
-    def block(self, texts: list[str]) -> list[pa.Array]:
-        """The arrays of ``_COLUMNS`` for a block of texts."""
-        cut = [UNIT.findall(" " + t) if t else [] for t in texts]
-        index = {u: i for i, u in enumerate(dict.fromkeys(u for us in cut for u in us))}
-        got = self.units(index)
-        codes = np.fromiter((index[u] for us in cut for u in us), np.int64)
-        to = np.cumsum([len(us) for us in cut])
-        at = to - [len(us) for us in cut]
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The texts' pieces, each text after a space: numbers of pieces, one text after the other;
+        each text's count of them; and the distinct pieces. Arrow cuts at spaces and newlines."""
+        units = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        per_text = pc.list_value_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = units.flatten().dictionary_encode()
+        kind, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        bad = np.array([not u or u[-1].isspace() for u in distinct], bool)  # such white space doesn't cut
+        index: dict[str, int] = {}
+        parts = [[index.setdefault(p, len(index)) for p in PIECE.findall(u if u[0] == "\n" else " " + u)] if ok else [] for u, ok in zip(distinct, ~bad, strict=True)]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(chain.from_iterable(parts), np.int64)
+        n = size[kind]
+        codes = flat[np.repeat((np.cumsum(size) - size)[kind] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        unit_ends, run = np.cumsum(per_text), np.concatenate(([0], np.cumsum(n)))
+        count = run[unit_ends] - run[unit_ends - per_text]
+        again = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(bad[kind])))[np.concatenate(([0], unit_ends))]))
+        out, at, ends = [], 0, np.cumsum(count)
+        for i, t in zip(again.tolist(), texts.take(pa.array(again)).to_pylist(), strict=True):
+            out += [codes[at : ends[i] - count[i]], np.array([index.setdefault(p, len(index)) for p in PIECE.findall(" " + t)] if t else [], np.int64)]
+            at, count[i] = ends[i], len(out[-1])
+        return np.concatenate([*out, codes[at:]]), count, [*index]
+
+    def block(self, texts: pa.Array) -> list[pa.Array]:
+        """The arrays of ``_COLUMNS`` for a block of texts (strings without nulls)."""
+        codes, n, distinct = self.cut(texts)
+        got = self.of_pieces(distinct)
+        to = np.cumsum(n)
+        at = to - n
 
         def summed(values: np.ndarray) -> np.ndarray:
-            run = np.concatenate(([0], np.cumsum(values[codes]))) if len(codes) else np.zeros(1, np.int64)
+            run = np.concatenate(([0], np.cumsum(values[codes])))
             return run[to] - run[at]
 
         good = summed(np.array([not g[4] for g in got], np.int64)) == 0
-        sums = [np.where(good, summed(np.array([g[k] for g in got], np.int64)), 0) for k in range(len(SUMS))]
+        size = [np.array([g[k] for g in got], np.int64) for k in range(len(SUMS))]
         said = [g[5] for g in got]
         groups = [";".join(map(said.__getitem__, codes[i:j].tolist())) if ok else "" for i, j, ok in zip(at, to, good, strict=True)]
 
-        doc = np.repeat(np.arange(len(texts)), to - at)
-        codes, doc = codes[good[doc]], doc[good[doc]]
-        size = np.array([g[3] for g in got], np.int64)
-        n = size[codes] if len(codes) else np.zeros(0, np.int64)
-        jump = (np.cumsum(size) - size)[codes] - (np.cumsum(n) - n) if len(codes) else n
-        pairs = np.frombuffer(b"".join(g[6] for g in got), np.uint32)[np.repeat(jump, n) + np.arange(n.sum())]
-        keys, times = np.unique(np.repeat(doc, n) << 32 | pairs, return_counts=True)
+        doc = np.repeat(np.arange(len(texts)), n)
+        codes_of_good = codes[good[doc]]
+        m = size[3][codes_of_good]
+        start = (np.cumsum(size[3]) - size[3])[codes_of_good] - (np.cumsum(m) - m)
+        pairs = np.frombuffer(b"".join(g[6] for g in got), np.uint32)[np.repeat(start, m) + np.arange(m.sum())]
+        keys, times = np.unique(np.repeat(doc[good[doc]], m) << 32 | pairs, return_counts=True)
         parts = np.searchsorted(keys >> 32, np.arange(len(texts) + 1))
-        return [*map(pa.array, sums), pa.array(groups, pa.string()), packed(keys & 0xFFFFFFFF, parts), packed(times, parts)]
+        return [*(pa.array(np.where(good, summed(s), 0)) for s in size), pa.array(groups, pa.string()), packed(keys & 0xFFFFFFFF, parts), packed(times, parts)]
 
 
 def packed(values: np.ndarray, parts: np.ndarray) -> pa.Array:
@@ -180,7 +213,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, text_col: str = "tex
             texts = pc.fill_null(b.column(text_col), "")
             for i, j in in_blocks(texts):
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *aligner.block(texts[i:j].to_pylist())], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *aligner.block(texts[i:j])], names=names)
 
     return docs.mapInArrow(run, fields)
 

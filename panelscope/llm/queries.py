@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from panelscope.llm import decontamination, hmm, packing, quality_cnn, quality_rules, records, sharding, simhash, toxicity, urls
+from panelscope.llm import alignment, decontamination, hmm, packing, quality_cnn, quality_rules, records, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality_cnn.op10_quality,
+    "op11_alignment": alignment.op11_alignment,
 }
 #: The others learn, hash, permute or tokenise in ways SQL can't; tests hold them against brute force.
 ORACLE_SQL = {"op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL}

@@ -27,12 +27,16 @@ def brute_ids(text):
     al = alignment.Aligner.of(A, B)
     if not text:
         return [], [], [], []
-    a, b = al.a.encode(" " + text, add_special_tokens=False).ids, al.b.encode(text)
+    a, b = al.a.tokenizer.encode(" " + text, add_special_tokens=False).ids, al.b.encode(text)
     x, y = [al.a_bytes[i] for i in a], [al.b_bytes[i] for i in b]
     want = (" " + text).encode()
     return (a, x, b, y) if b"".join(x) == b"".join(y) == want else ([], [], [], [])
 
 
+def ends(tokens):
+    return np.cumsum([len(t) for t in tokens], dtype=int).tolist()
+
+
 def brute_links(x, y):
     """Overlapping (i, j) of two cuts of the same bytes, by the tokens over each byte."""
     over = zip([i for i, t in enumerate(x) for _ in t], [j for j, t in enumerate(y) for _ in t], strict=True)
@@ -45,7 +49,7 @@ def brute_alignment(rows):
         a, x, b, y = brute_ids(text)
         pairs = [(a[i], b[j]) for i, j in brute_links(x, y)]
         docs_of.update(set(pairs))
-        ea, eb, groups, i, j = alignment.ends(x), alignment.ends(y), [], 0, 0
+        ea, eb, groups, i, j = ends(x), ends(y), [], 0, 0
         for e in ea:
             if e in eb:
                 p, q = ea.index(e) + 1, eb.index(e) + 1
@@ -85,6 +89,8 @@ def test_slices_and_links_of_any_two_cuts(sizes, rand):
     total = sum(sizes)
     cuts = sorted(rand.sample(range(1, total), rand.randint(0, total - 1))) + [total]
     x, y = [b"." * n for n in sizes], [b"." * (j - i) for i, j in zip([0, *cuts], cuts, strict=False)]
-    ea, eb = alignment.ends(x), alignment.ends(y)
-    got = [p for s in alignment.slices(ea, eb) for p in alignment.links(ea, eb, *s)]
-    assert got == brute_links(x, y)
+    ea, eb = np.array(ends(x)), np.array(ends(y))
+    assert list(zip(*alignment.links(ea, eb), strict=True)) == brute_links(x, y)
+    common, a_to, b_to = alignment.common_ends(ea, eb)
+    assert common.tolist() == sorted(set(ea.tolist()) & set(eb.tolist()))
+    assert (ea[a_to - 1] == common).all() and (eb[b_to - 1] == common).all()
