@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from panelscope.llm import alignment, decontamination, hmm, packing, quality_cnn, quality_rules, records, sharding, simhash, toxicity, urls
+from panelscope.llm import alignment, decontamination, exact_search, hmm, packing, quality_cnn, quality_rules, records, sharding, simhash, toxicity, urls, vector_codes
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality_cnn.op10_quality,
     "op11_alignment": alignment.op11_alignment,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_exact_search": exact_search.op13_exact_search,
 }
 #: The others learn, hash, permute or tokenise in ways SQL can't; tests hold them against brute force.
-ORACLE_SQL = {"op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL}
+ORACLE_SQL = {"op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL, "op12_vector_codes": vector_codes.SQL, "op13_exact_search": exact_search.SQL}

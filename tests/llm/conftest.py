@@ -15,6 +15,7 @@ DOCS = T.StructType(
     ]
 )
 LABELS = "doc_id long, quality int, toxic int"
+EMBEDDINGS = "vec_id long, embedding array<float>, label int, code string"
 BENCH = "item_id long, text string, n_hit string"
 INSULTS = ["blockhead", "vermin", "imbecile"]
 
@@ -43,6 +44,7 @@ def make_docs(seed: int = 3):
 def sf(spark, tmp_path_factory):
     """A folder of small tables with every awkward case, and the rows themselves."""
     rows, item = make_docs()
+    r2 = random.Random(4)
     path = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{path}/documents.parquet")
     bench = [(1, item, "z"), (1, item, "z"), (10, item.upper() + "!", None), (2, "two WORDS", None), (3, None, None), (4, "", None), (5, "?!", None)]
@@ -52,12 +54,16 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame(labels, LABELS).write.parquet(f"{path}/labels.parquet")
     pages = [(i, u, "<p>") for i, u in enumerate([None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://com/en/", "x://com/en", "x://acom/en/1", "x://b.net/de/8", "x://example.net/de/81", "x://a.example.net#/de/8", "x://org/es/", "x://h/x.com/en/", "x://é.org/es/ß?x", "x://" + "a." * 3000 + "com/en/" + "y" * 5000, "x://com/en/", "x://com://com/en/"])]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    vectors = [(i, [r2.choice([0.0, 0.25, -0.5, 1.0, 0.3]) for _ in range(32)], i % 3 if i % 4 else None, "z") for i in range(150)]
+    vectors += [(i, vectors[100][1], 9, None) for i in range(150, 420)]  # copies, more than an annulus holds
+    vectors += [(420, None, 1, None), (421, [None] * 32, 1, None), (422, [float("nan")] + [0.0] * 31, 1, None), (423, [float("inf")] * 32, 1, None), (None, vectors[3][1], 1, None), (200, vectors[5][1], 1, None), (200, vectors[150][1], 9, None), (500, [], 2, None), (501, [0.5] * 20, 2, None)]
+    spark.createDataFrame(vectors, EMBEDDINGS).repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return str(path), rows
 
 
 @pytest.fixture(scope="session")
 def empty_sf(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name, schema in (("documents", DOCS), ("benchmark", BENCH), ("labels", LABELS), ("pages", "page_id long, url string, html string")):
+    for name, schema in (("documents", DOCS), ("benchmark", BENCH), ("labels", LABELS), ("pages", "page_id long, url string, html string"), ("embeddings", EMBEDDINGS)):
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     return str(path)
