@@ -25,7 +25,7 @@ def local_threshold(panel: DataFrame, quantile: float, mean_half: int = 7, half:
     mean = spread(t, mean_half).groupBy(*SERIES, "doy").agg(F.avg("value").alias("mean"))
     anomaly = t.join(mean.withColumnRenamed("doy", "d"), [*SERIES, "d"]).select(*SERIES, "d", (F.col("value") - F.col("mean")).alias("a"))
     q = spread(anomaly, half).groupBy(*SERIES, "doy").agg(F.count(F.lit(1)).alias("n"), F.percentile("a", quantile).alias("q"))
-    return q.where(F.col("n") >= least).join(mean, [*SERIES, "doy"]).select(*SERIES, "doy", "n", "mean", (F.col("mean") + F.col("q")).alias("threshold"))
+    return q.where(F.col("n") >= least).join(mean, [*SERIES, "doy"]).select(*SERIES, "doy", "n", "mean", "q", (F.col("mean") + F.col("q")).alias("threshold"))
 
 
 def code_counts(df: DataFrame, by: list[str], value: str, codes: list[float]) -> DataFrame:

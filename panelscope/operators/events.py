@@ -46,10 +46,12 @@ def context(episodes: DataFrame, panel: DataFrame, days: int) -> DataFrame:
     sums at four borders of each episode; and the reasons why not, joined by semicolons."""
     w = Window.partitionBy(*SERIES).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     run = panel.select(*SERIES, F.col("ts").alias("_day"), F.sum(F.col("observed").cast("int")).over(w).alias("_c"))
-    out = episodes
     borders = {"a": F.date_sub("start_date", days + 1), "b": F.date_sub("start_date", 1), "c": F.col("end_date"), "d": F.date_add("end_date", days)}
-    for k, at in borders.items():
-        out = out.withColumn("_day", at).join(run.withColumnRenamed("_c", f"_{k}"), [*SERIES, "_day"], "left").drop("_day")
+    own = [*SERIES, "start_date", "end_date"]
+    asked = episodes.select(*own, F.explode(F.array(*(F.struct(F.lit(k).alias("k"), at.alias("d")) for k, at in borders.items()))).alias("_b"))
+    met = asked.select(*own, "_b.k", F.col("_b.d").alias("_day")).join(run, [*SERIES, "_day"], "left")
+    at = met.groupBy(*own).agg(*(F.max(F.when(F.col("k") == k, F.col("_c"))).alias(f"_{k}") for k in borders))
+    out = episodes.join(at, own, "left")
     span = F.datediff("end_date", "start_date") + 1
     out = out.fillna(0, ["_a", "_b"])  # nothing lies before the first day
     full = {"window": F.col("_c") - F.col("_b") == span, "left": F.col("_b") - F.col("_a") == days, "right": F.col("_d") - F.col("_c") == days}

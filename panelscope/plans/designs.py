@@ -19,7 +19,7 @@ a AS (SELECT t.entity, t.variable, t.d, value - mean AS a FROM t JOIN m ON t.ent
 q AS (SELECT entity, variable, ((d - 1 + o + 366) % 366) + 1 AS doy, count(*) AS n, quantile_cont(a, 0.9) AS q FROM a, (SELECT unnest(range(-15, 16)) AS o) GROUP BY ALL HAVING count(*) >= 30)
 SELECT entity, variable, doy, n, {r('mean')}, {r('m.mean + q', 'threshold')} FROM q JOIN m USING (entity, variable, doy)""")
 def _(spark, sf_dir):
-    return design.local_threshold(_orders(spark, sf_dir), 0.9)
+    return design.local_threshold(_orders(spark, sf_dir), 0.9).drop("q")
 
 
 @_add("a2_code_counts", f"{ORDERS} SELECT entity, CAST(c AS DOUBLE) AS code, count(*) FILTER (abs(value - c) <= 1e-9) AS n FROM obs, (VALUES (1), (2), (99)) v(c) GROUP BY ALL")
