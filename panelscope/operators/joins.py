@@ -103,8 +103,8 @@ def shift_null(df: DataFrame, by: list[str], x: str, y: str, order: str, lag: in
     moved = i.select(*by, "_draw", F.col("_from").alias("_i"), F.col(x).alias("_x"))
     t = transfer_entropy(i.drop("_from").join(moved, [*by, "_draw", "_i"]), [*by, "_draw"], "_x", y, order, lag).withColumn("te", F.round("te", 9))
     own = F.max(F.when(F.col("_draw") == 0, F.col("te"))).over(w)
-    g = t.withColumn("_own", own).where("_draw > 0").groupBy(*by).agg(F.first("_own").alias("te"), F.avg("te").alias("null_mean"), F.count_if(F.col("te") >= F.col("_own")).alias("at_least"))
-    return g.withColumn("p_value", (1 + F.col("at_least")) / (draws + 1))
+    g = t.withColumn("_own", own).where("_draw > 0").groupBy(*by).agg(F.first("_own").alias("te"), F.avg("te").alias("null_mean"), F.stddev_pop("te").alias("null_std"), F.count_if(F.col("te") >= F.col("_own")).alias("at_least"))
+    return g.withColumn("z", F.when(F.col("null_std") > 1e-12, (F.col("te") - F.col("null_mean")) / F.col("null_std"))).withColumn("p_value", (1 + F.col("at_least")) / (draws + 1))
 
 
 def anchor_cells(anchors: DataFrame, length: int) -> DataFrame:

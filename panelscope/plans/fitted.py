@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelscope.functions.sqlfn import SERIES
-from panelscope.operators import regression
+from panelscope.operators import regression, trees
 from panelscope.operators.regression import Design
 from panelscope.plans.catalog import SHIP, _add, _ship
 from panelscope.sources.storage import stored
@@ -105,3 +105,18 @@ SELECT held AS entity, part[6:] AS split, alpha, count(*) AS days, count(y) AS n
 def _(spark, sf_dir):
     got = regression.pooled_leave_one_out(_wide(spark, sf_dir), "T", Design(("F", "L")))
     return scores(got, "T", "alpha")
+
+
+# Learners with draws of their own have no twin: tests hold them against plainer fillers on held-out days.
+
+
+@_add("i7_random_forest", None, 3)
+def _(spark, sf_dir):
+    wide, design = _wide(spark, sf_dir), Design(("F", "L"))
+    return scores(trees.predict(wide, trees.fit(wide, "T", design, trees.forest()), design), "T")
+
+
+@_add("i8_boosted_trees", None, 3)
+def _(spark, sf_dir):
+    wide, design = _wide(spark, sf_dir), Design(("F", "L"))
+    return scores(trees.predict(wide, trees.fit(wide, "T", design, trees.boosting()), design), "T")

@@ -168,13 +168,13 @@ def _(spark, sf_dir):
     return joins.permuted_donors(o, "entity", SEED).join(given, ["donor", "ts"], "left").select("entity", "donor", "ts", "value", "donor_value")
 
 
-@_add("v10_shift_null", f"""{ORDERS}, {_BIN}, i AS (SELECT entity, ts, bin, CAST(dayofweek(ts) AS BIGINT) + 1 AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM m), a AS (SELECT *, CASE WHEN draw = 0 THEN 0 ELSE 1 + CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', entity, CAST(draw AS VARCHAR))), 1, 8)) AS BIGINT) % greatest(n - 1, 1) END AS shift FROM i, (SELECT unnest(range(0, 20)) AS draw)),
+@_add("v10_shift_null", f"""{ORDERS}, {_BIN}, i AS (SELECT entity, ts, bin, CAST(dayofweek(ts) AS BIGINT) + 1 AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM m), a AS (SELECT *, CASE WHEN draw = 0 THEN 0 ELSE 1 + CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', entity, CAST(draw AS VARCHAR))), 1, 8)) AS BIGINT) % greatest(n - 1, 1) END AS shift FROM i, (SELECT unnest(range(0, 200)) AS draw)),
 j AS (SELECT a.entity, a.draw, a.ts, a.bin, b.x FROM a JOIN a b ON a.entity = b.entity AND a.draw = b.draw AND a.i = (b.i + b.shift) % b.n), t AS (SELECT entity, draw, bin AS y, lag(bin) OVER w AS p, lag(x, 2) OVER w AS s FROM j WINDOW w AS (PARTITION BY entity, draw ORDER BY ts)), c AS (SELECT entity, draw, y, p, s, count(*) AS n FROM t WHERE p IS NOT NULL AND s IS NOT NULL GROUP BY ALL),
 q AS (SELECT *, sum(n) OVER (PARTITION BY entity, draw, p, s) AS ps, sum(n) OVER (PARTITION BY entity, draw, y, p) AS yp, sum(n) OVER (PARTITION BY entity, draw, p) AS pp, sum(n) OVER (PARTITION BY entity, draw) AS total FROM c), e AS (SELECT entity, draw, round(greatest(sum(n / total * ln(n * pp / (ps * yp))), 0), 9) AS te FROM q GROUP BY ALL), o AS (SELECT *, max(te) FILTER (draw = 0) OVER (PARTITION BY entity) AS own FROM e)
-SELECT entity, {r('first(own)', 'te')}, {r('avg(te)', 'null_mean')}, count(*) FILTER (te >= own) AS at_least, {r('(1 + count(*) FILTER (te >= own)) / 20', 'p_value')} FROM o WHERE draw > 0 GROUP BY entity""")
+SELECT entity, {r('first(own)', 'te')}, {r('avg(te)', 'null_mean')}, count(*) FILTER (te >= own) AS at_least, {r('CASE WHEN stddev_pop(te) > 1e-12 THEN (first(own) - avg(te)) / stddev_pop(te) END', 'z')}, {r('stddev_pop(te)', 'null_std')}, {r('(1 + count(*) FILTER (te >= own)) / 200', 'p_value')} FROM o WHERE draw > 0 GROUP BY entity""")
 def _(spark, sf_dir):
     b = _bins(spark, sf_dir).withColumn("dow", F.dayofweek("ts"))
-    return joins.shift_null(b, ["entity"], "dow", "bin", "ts", 2, 19, SEED)
+    return joins.shift_null(b, ["entity"], "dow", "bin", "ts", 2, 199, SEED)
 
 
 # anchors and events
