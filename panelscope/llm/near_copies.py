@@ -12,6 +12,12 @@ all pairs that still lead from one component to another. Only the texts that hav
 are searched again, and the many pairs inside a component, which could join nothing, are never
 made. FAR holds 99.5 % of the pairs at exactly 0.8, CLOSE about six in ten.
 
+Where a cell holds more than a text and its NEAR neighbours (pages of one template), pairs may
+be crowded out of it. All texts of cells that hold so many, of several components, are therefore
+held against each other once more, exactly (``by_rare_shingles``): two sets so similar share one
+of their rarest shingles, near the front of both in the order of rarity. What such texts have
+in common is not rare among them, so this makes few pairs, and none inside a component.
+
 A null or empty text has no shingles and is a copy of its like only; under five words all
 words are one shingle. Repeated rows share a text and weigh nothing in the search.
 """
@@ -36,7 +42,7 @@ _BLOCK = 1 << 13
 
 def plan(n: int) -> tuple[int, int]:
     """(hashes, bits of each) for ``n`` documents."""
-    bits = min(32, max(24, ceil(log2(max(n, 2))) + 6))
+    bits = max(24, ceil(log2(max(n, 2))) + 6)
     p = acos(2 * JACCARD / (1 + JACCARD)) / pi  # chance that a bit differs, sets of one size
     meet = sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     return ceil(np.log(1 - RECALL) / np.log(1 - meet)), bits
@@ -87,25 +93,47 @@ def key_udf():
 
 
 def candidates(texts: DataFrame, bits: int, known: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b, d) of keys that meet in a cell, ``d`` bits of the fingerprint apart; repeats
-    included. With ``known`` (node, root), only pairs of two components."""
+    """(key, o, crowded): for a text in a cell the neighbours (key, d) it is paired with, ``d`` bits
+    of the fingerprint away, and whether the cell holds more than that; repeats included. With
+    ``known`` (node, root), only pairs of two components, and only cells that hold several."""
     masks = [sum(1 << i for i in c) for k in range(2) for c in combinations(range(bits), k)]
-    cell = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("value").bitwiseXOR(F.col("m")))
     if known is not None:
         texts = texts.join(known, F.col("key") == F.col("node"), "left").select("key", "fp", "short", F.coalesce("root", "key").alias("root"))
     own = [c for c in texts.columns if c != "short"]
-    rows = texts.select(*own, F.posexplode("short").alias("band", "value")).select("*", F.explode(F.lit(masks).cast("array<long>")).alias("m")).select(cell.alias("cell"), *own)
-    w, steps = Window.partitionBy("cell").orderBy("fp", "key"), range(1, NEAR + 1)
+    rows = texts.select(*own, F.posexplode("short").alias("band", "value")).select("*", F.explode(F.lit(masks).cast("array<long>")).alias("m")).select("band", F.col("value").bitwiseXOR(F.col("m")).alias("cell"), *own)
+    whole = Window.partitionBy("band", "cell")
+    w, steps = whole.orderBy("fp", "key"), range(1, NEAR + 1)
+    crowded = F.count(F.lit(1)).over(whole) > NEAR + 1
+    if known is not None:
+        crowded &= F.min("root").over(whole) != F.max("root").over(whole)
+    rows = rows.withColumn("crowded", crowded)
     for i in steps:
         rows = rows.withColumns({f"{c}{i}": F.lag(c, i).over(w) for c in own})
     d = {i: F.bit_count(F.col("fp").bitwiseXOR(F.col(f"fp{i}"))) for i in steps}
     if known is not None:
         d = {i: F.when(F.col("root") != F.col(f"root{i}"), x) for i, x in d.items()}
-    met = rows.where(F.least(*d.values()) <= FAR)  # nulls are passed over
     of = F.array(*[F.struct(F.col(f"key{i}").alias("key"), d[i].alias("d")) for i in steps])
-    pairs = met.select("key", F.explode(of).alias("o")).where(F.col("o.d") <= FAR)
-    ends = [F.greatest("key", "o.key").alias("a"), F.least("key", "o.key").alias("b"), F.col("o.d").alias("d")]
-    return pairs.select(*ends)
+    # nulls are passed over
+    return rows.where((F.least(*d.values()) <= FAR) | F.col("crowded")).select("key", F.filter(of, lambda o: o["d"] <= FAR).alias("o"), "crowded")
+
+
+def by_rare_shingles(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of two roots among ``sets`` (key, root, set) that can reach JACCARD, all that do
+    among them. Shingles are ordered by how many of the sets hold them; a pair of enough overlap
+    meets at its first common shingle, which is so early in both that enough can follow."""
+    least = lambda share, n: F.ceil(share * n - 1e-9)
+    each = sets.where(F.size("set") > 0).select("key", "root", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = each.join(often, "shingle")
+    text = Window.partitionBy("key")
+    at = F.col("n") - F.count(F.lit(1)).over(text) + F.row_number().over(text.orderBy("c", "shingle"))  # those of one set come first
+    front = shared.withColumn("at", at).where(F.col("at") <= F.col("n") - least(JACCARD, F.col("n")) + 1)
+    short = front.where(F.col("at") <= F.col("n") - least(2 * JACCARD / (1 + JACCARD), F.col("n")) + 1)
+    x, y = (df.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "root", "n", "at"))) for df, s in ((front, "x"), (short, "y")))
+    order = F.struct(F.col("n_y"), F.col("key_y")) < F.struct(F.col("n_x"), F.col("key_x"))
+    room = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= least(JACCARD / (1 + JACCARD), F.col("n_x") + F.col("n_y"))
+    met = x.join(y, "shingle").where((F.col("root_x") != F.col("root_y")) & order & (F.col("n_y") >= least(JACCARD, F.col("n_x"))) & room)
+    return met.select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -121,20 +149,34 @@ def classes(docs: DataFrame) -> DataFrame:
     hashes, bits = plan(docs.count())
     every = materialize(docs.select("doc_id", _prints_udf(hashes, bits)("text").alias("p")).select("doc_id", "p.*"), "prints")
     texts = materialize(every.groupBy("key").agg(F.first("fp").alias("fp"), F.first("short").alias("short")), "texts")
-    ways = F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("o")), F.struct(F.col("b").alias("key"), F.col("a").alias("o"))))
-    close = F.when(F.col("d") <= CLOSE, F.col("w.o"))
-    near = candidates(texts, bits).select("d", ways.alias("w")).groupBy("w.key").agg(F.min_by("w.o", F.struct("d", "w.o")).alias("other"), F.min(close).alias("least"))
+    met = candidates(texts, bits)
+    pair = F.struct(F.col("key").alias("a"), F.col("x.key").alias("b"), F.col("x.d").alias("d"))
+    ways = F.explode(F.array(F.struct("a", "b", "d"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "d")))
+    close = F.when(F.col("w.d") <= CLOSE, F.col("w.b"))
+    both = met.select("key", F.explode_outer("o").alias("x")).select(pair.alias("p")).select("p.*")
+    # a text of a crowded cell counts as having neighbours even if those beside it are too far
+    near = both.select(ways.alias("w")).where("w.a is not null").groupBy(F.col("w.a").alias("key")).agg(F.min_by("w.b", F.when(F.col("w.b").isNotNull(), F.struct("w.d", "w.b"))).alias("other"), F.min(close).alias("least"))
     near = materialize(near, "near")
     keyed = docs.select(key_udf()("text").alias("key"), "text")
-    met = keyed.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = materialize(met.select("key", F.pandas_udf("array<long>")(lambda s: s.map(lambda t: shingles(t).view(np.int64)))("text").alias("set")), "sets")
+    had = keyed.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = materialize(had.select("key", F.pandas_udf("array<long>")(lambda s: s.map(lambda t: shingles(t).view(np.int64)))("text").alias("set")), "sets")
     to = F.explode(F.array_compact(F.array("other", "least")))
     closest = near.select("key", to.alias("other")).select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
     first = materialize(verified(closest, sets), "links")
-    crossing = candidates(texts.join(near.select("key"), "key", "left_semi"), bits, components(first)).select("a", "b").distinct()
-    links = materialize(first.unionByName(verified(crossing, sets)), "links")
-    for done in (texts, near, sets, first):
-        discard(done)
+    again = materialize(candidates(texts.join(near.select("key"), "key", "left_semi"), bits, components(first)).distinct(), "again")
+    crossing = again.select("key", F.explode("o").alias("x")).select(F.greatest("key", "x.key").alias("a"), F.least("key", "x.key").alias("b")).distinct()
+    second = materialize(first.unionByName(verified(crossing, sets)), "links")
+    crowd = again.where("crowded").select("key").distinct()
+    done = [texts, near, first]
+    if crowd.isEmpty():
+        links = second
+    else:
+        roots = components(second)
+        ranked = crowd.join(sets, "key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "set")
+        links = materialize(second.unionByName(verified(by_rare_shingles(ranked), sets)), "links")
+        done.append(second)
+    for table in (*done, sets, again):
+        discard(table)
     of = components(links)
     return every.select("doc_id", "key").join(of, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 

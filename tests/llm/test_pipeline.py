@@ -83,3 +83,21 @@ def test_near_duplicates_find_edited_copies(spark):
         print(at, found)
         assert found >= least, (at, found)
     assert near_copies.plan(200_000) == (10, 24)
+
+
+def template_pages(n, seed=8):
+    """Pages that share a template (about 0.70 between strangers), each with one edited copy at 0.85 to 0.9."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(330)]
+    rows = []
+    for i in range(n):
+        words = [*template, *(f"u{i}x{j}" for j in range(70))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, edited(r, words, r.uniform(0.85, 0.9)))]
+    return rows
+
+
+def test_near_duplicates_find_copies_among_pages_of_one_template(spark):
+    rows = template_pages(1500)
+    kept = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "").collect()]
+    assert sum(i % 2 == 0 for i in kept) == 1500  # no two strangers are joined
+    assert sum(i % 2 for i in kept) <= 15  # nearly every copy goes
