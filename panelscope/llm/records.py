@@ -117,7 +117,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, fil
     placed = encoded(rows, vocabulary, end_id, file_of, "file int")
     ordered = placed.repartitionById(len(first) + 1, "file").sortWithinPartitions("doc_id", "h")
     records = ordered.select(F.col("doc_id").cast("string").alias("id"), "ids").mapInArrow(run, "r binary")
-    records.select(F.col("r").cast("string")).write.option("lineSep", "\n").text(path)
+    records.select(F.col("r").cast("string")).write.options(lineSep="\n", maxRecordsPerFile=0).text(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

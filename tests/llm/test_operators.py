@@ -377,9 +377,12 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_records(spark, sf):
+@pytest.mark.parametrize("per_file", ["0", "5"])
+def test_records(spark, sf, per_file):
     path, rows = sf
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", per_file)  # of the session; the files are not to follow it
     got = sorted(records.op6_token_records(spark, path).collect(), key=lambda r: r["start"])
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     ids = {(r[0], crc(x)): len(x) for r in rows for x in [brute_ids(records.VOCABULARY, r[1], 2)]}
     at = 0
     for r in got:
