@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.sqlfn import avg_rank
+from panelscope.operators.resampling import monotone
 
 
 def paired(df: DataFrame, unit: list[str], model: str, a: str, b: str, metric: str) -> DataFrame:
@@ -17,25 +18,6 @@ def paired(df: DataFrame, unit: list[str], model: str, a: str, b: str, metric: s
     return g.withColumn("diff", F.col("a") - F.col("b"))
 
 
-#: Chances that a unit is drawn at most 0, 1, 2, ... times when each is drawn once on average.
-_AT_MOST = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751]
-
-
-def bootstrap_mean(units: DataFrame, by: list[str], value: str, unit: str, draws: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean of ``value`` over units drawn with replacement within ``by``.
-
-    How often a unit is in a draw is a Poisson number from a hash of both, so that all draws are
-    sums over one pass of the units, combined before the shuffle; units are never paired or indexed.
-    """
-    u = units.select(*by, F.col(value).alias("_v"), F.col(unit).cast("string").alias("_u")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    chance = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("_u"))), 1, 8), 16, 10).cast("double") / 2**32
-    times = sum((chance >= x).cast("int") for x in _AT_MOST)
-    means = u.withColumn("_k", times).groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("_k") * F.col("_v")), F.sum("_k")).alias("m"))
-    est = units.groupBy(*by).agg(F.avg(value).alias("estimate"), F.count(F.lit(1)).alias("n_units"))
-    ci = means.groupBy(*by).agg(F.percentile(F.round("m", 9), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return est.join(ci, by).select(*by, "n_units", "estimate", F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"))
-
-
 def signed_rank(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Wilcoxon signed-rank sums of ``diff`` with average ranks, zeros dropped, and the z value
     with the tie-corrected variance."""
@@ -94,16 +76,12 @@ def first_loss(curve: DataFrame, by: list[str], gap: str, skill: str, threshold:
 
 
 def pava(curve: DataFrame, by: list[str], x: str, y: str, weight: str) -> DataFrame:
-    """Weighted non-increasing fit by the min-max formula over prefix sums; curves are short."""
-    w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    p = curve.withColumn("_w", F.sum(weight).over(w)).withColumn("_s", F.sum(F.col(weight) * F.col(y)).over(w))
-    p = p.select(*by, x, y, weight, "_w", "_s", (F.col("_w") - F.col(weight)).alias("_w0"), (F.col("_s") - F.col(weight) * F.col(y)).alias("_s0"))
-    here = p.select(*by, F.col(x).alias("i"))
-    s = p.select(*by, F.col(x).alias("s"), "_w0", "_s0")
-    t = p.select(*by, F.col(x).alias("t"), "_w", "_s")
-    m = here.join(s, by).where("s <= i").join(t, by).where("t >= i").withColumn("m", (F.col("_s") - F.col("_s0")) / (F.col("_w") - F.col("_w0")))
-    fit = m.groupBy(*by, "i", "s").agg(F.max("m").alias("m")).groupBy(*by, F.col("i").alias(x)).agg(F.min("m").alias("fit"))
-    return curve.join(fit, [*by, x])
+    """``curve`` with ``fit``, its weighted non-increasing fit, and the number of the ``block`` of
+    gaps that share one. A curve is an array: its gaps are few."""
+    lines = curve.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(x, F.col(y).cast("double").alias("v"), F.col(weight).cast("double").alias("w")))).alias("_c"))
+    lines = lines.withColumns({"_v": F.transform("_c", lambda c: c["v"]), "_w": F.transform("_c", lambda c: c["w"])})
+    fit = lines.select(*by, F.explode(F.arrays_zip("_c", monotone("_v", "_w").alias("_f"))).alias("z"))
+    return curve.join(fit.select(*by, F.col(f"z._c.{x}").alias(x), F.col("z._f.fit").alias("fit"), F.col("z._f.block").cast("long").alias("block")), [*by, x])
 
 
 def shapley(values: DataFrame, by: list[str], mask: str, value: str, players: int) -> DataFrame:

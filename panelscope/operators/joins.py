@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.sqlfn import SERIES, avg_rank, doy366, hash_rank, safe_corr
-from panelscope.operators.analysis import _AT_MOST, bootstrap_mean
 from panelscope.operators.explore import block_starts
+from panelscope.operators.resampling import bootstrap_mean
 from panelscope.operators.results import transfer_entropy
 
 
@@ -45,20 +45,6 @@ def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr("_x", "_y").alias("spearman"))
 
 
-def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, draws: int, seed: int) -> DataFrame:
-    """Percentile interval of a mean when whole clusters are drawn: each draw is the ratio of two
-    sums over clusters, whose times drawn are Poisson numbers from a hash. Rows meet their cluster
-    before anything is multiplied."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    u = c.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    chance = F.conv(F.substring(hash_rank(F.lit(str(seed)), "draw", cluster), 1, 8), 16, 10).cast("double") / 2**32
-    d = u.withColumn("_k", sum((chance >= x).cast("int") for x in _AT_MOST)).groupBy(*by, "draw")
-    means = d.agg(F.round(F.try_divide(F.sum(F.col("_k") * F.col("_s")), F.sum(F.col("_k") * F.col("_n"))), 9).alias("m"))
-    ci = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    est = c.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clusters"), F.try_divide(F.sum("_s"), F.sum("_n")).alias("estimate"))
-    return est.join(ci, by).select(*by, "n_clusters", "estimate", F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"))
-
-
 def one_hinge(curve: DataFrame, by: list[str], x: str, y: str, w: str) -> DataFrame:
     """Continuous weighted line with one bend: the candidate bend (two points or more on each side)
     of least squared error, the slope before it and the change of slope at it. Ties: the earlier bend."""
@@ -166,4 +152,5 @@ def evaluated(scored: DataFrame, approved: Column) -> DataFrame:
 def result_summary(units: DataFrame, by: list[str], value: str, unit: str, draws: int, seed: int) -> DataFrame:
     """Number of units, mean, median, standard deviation and the mean's bootstrap interval by group."""
     plain = units.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"))
-    return bootstrap_mean(units, by, value, unit, draws, seed).withColumnRenamed("estimate", "mean").join(plain, by).select(*by, "n_units", "mean", "median", "std", "ci_lower", "ci_upper")
+    drawn = bootstrap_mean(units, by, unit, value, draws, seed).withColumnsRenamed({"estimate": "mean", "n_clusters": "n_units"})
+    return drawn.join(plain, by).select(*by, "n_units", "mean", "median", "std", "ci_lower", "ci_upper")

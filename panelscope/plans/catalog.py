@@ -439,14 +439,6 @@ def _(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-_TIMES = " + ".join(f"CAST(c >= {x} AS INT)" for x in analysis._AT_MOST)
-
-
-@_add("b1_bootstrap_mean", f"""{EV}, {_PAIR}, u AS (SELECT year, anchor, round(diff, 9) AS v FROM pr), s AS (SELECT year, draw, v, CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', CAST(draw AS VARCHAR), CAST(anchor AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS c FROM u, (SELECT unnest(range(1, 2001)) AS draw)),
-k AS (SELECT year, draw, v, {_TIMES} AS k FROM s), m AS (SELECT year, draw, round(sum(k * v) / nullif(sum(k), 0), 9) AS m FROM k GROUP BY ALL), e AS (SELECT year, count(*) AS n_units, avg(v) AS estimate FROM u GROUP BY ALL)
-SELECT e.year, n_units, {r('estimate')}, {r('quantile_cont(m, 0.025)', 'ci_lower')}, {r('quantile_cont(m, 0.975)', 'ci_upper')} FROM e JOIN m USING (year) GROUP BY e.year, n_units, estimate""")
-def _(spark, sf_dir):
-    return analysis.bootstrap_mean(_pairs(spark, sf_dir).withColumn("diff", F.round("diff", 9)), ["year"], "diff", "anchor", 2000, SEED)
 
 
 @_add("b3_signed_rank", f"""{EV}, {_PAIR}, z AS (SELECT year, round(diff, 9) AS diff, abs(round(diff, 9)) AS a FROM pr WHERE round(diff, 9) <> 0), k AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY a) + (count(*) OVER (PARTITION BY year, a) - 1) / 2.0 AS r FROM z),
@@ -503,7 +495,7 @@ def _(spark, sf_dir):
 
 @_add("f4_pava", f"""{EV}, {_CURVE}, q AS (SELECT *, sum(n) OVER w AS cw, sum(n * skill) OVER w AS cs FROM cv WINDOW w AS (PARTITION BY anchor ORDER BY gap)),
 m AS (SELECT i.anchor, i.gap, s.gap AS s, max((t.cs - s.cs + s.n * s.skill) / (t.cw - s.cw + s.n)) AS m FROM q i JOIN q s ON i.anchor = s.anchor AND s.gap <= i.gap JOIN q t ON i.anchor = t.anchor AND t.gap >= i.gap GROUP BY ALL)
-SELECT anchor, gap, {r('any_value(skill)', 'skill')}, any_value(n) AS n, {r('min(m)', 'fit')} FROM m JOIN cv USING (anchor, gap) GROUP BY ALL""")
+SELECT anchor, gap, {r('any_value(skill)', 'skill')}, any_value(n) AS n, {r('min(m)', 'fit')}, dense_rank() OVER (PARTITION BY anchor ORDER BY round(min(m), 9) DESC) - 1 AS block FROM m JOIN cv USING (anchor, gap) GROUP BY anchor, gap""")
 def _(spark, sf_dir):
     return analysis.pava(_curves(spark, sf_dir), ["anchor"], "gap", "skill", "n")
 

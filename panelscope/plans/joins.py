@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.sqlfn import season
 from panelscope.operators import fillers, gaps, joins, metrics, panel, results
-from panelscope.plans.catalog import _CLIM, _FLAGGED, _HIDDEN, _KEY, _SEASON, _STARTS, _TIMES, _W, EV, ORDERS, SEED, SHIP, SQL, _add, _flagged, _hidden, _line, _orders, _ship, r
+from panelscope.plans.catalog import _CLIM, _FLAGGED, _HIDDEN, _KEY, _SEASON, _STARTS, _W, EV, ORDERS, SEED, SHIP, SQL, _add, _flagged, _hidden, _line, _orders, _ship, r
 from panelscope.plans.results import _BIN, _bins
 from panelscope.sources import adapters, storage
 
@@ -140,13 +140,6 @@ def _(spark, sf_dir):
 # resampling and fits
 
 
-@_add("b7_cluster_bootstrap", f"""{EV}, c AS (SELECT model, anchor, sum(mae) AS s, count(*) AS n FROM ev GROUP BY ALL), u AS (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', CAST(draw AS VARCHAR), CAST(anchor AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS c FROM c, (SELECT unnest(range(1, 501)) AS draw)),
-k AS (SELECT model, draw, s, n, {_TIMES} AS k FROM u), m AS (SELECT model, draw, round(sum(k * s) / nullif(sum(k * n), 0), 9) AS m FROM k GROUP BY ALL), e AS (SELECT model, count(*) AS n_clusters, sum(s) / sum(n) AS estimate FROM c GROUP BY ALL)
-SELECT e.model, n_clusters, {r('estimate')}, {r('quantile_cont(m, 0.025)', 'ci_lower')}, {r('quantile_cont(m, 0.975)', 'ci_upper')} FROM e JOIN m USING (model) GROUP BY e.model, n_clusters, estimate""")
-def _(spark, sf_dir):
-    return joins.cluster_bootstrap(_ev(spark, sf_dir), ["model"], "anchor", "mae", 500, SEED)
-
-
 _MOMENTS = ", ".join(f"{e} AS {k}" for k, e in joins.HINGE_MOMENTS.items())
 
 
@@ -254,12 +247,3 @@ def _(spark, sf_dir):
     p = storage.stored(_ship(spark, sf_dir), "panel")
     cells = lambda n: gaps.block_cells(gaps.block_gaps(p, n, SEED)).select(F.lit(n).cast("long").alias("length"), "entity", "variable", "ts")
     return cells(10).unionByName(cells(30))
-
-
-@_add("a16_result_summary", f"""{EV}, w AS (SELECT model, 'mae' AS metric, anchor, avg(mae) AS v FROM ev GROUP BY ALL UNION ALL SELECT model, 'mae_clim', anchor, avg(mae_clim) FROM ev GROUP BY ALL), u AS (SELECT model, metric, anchor, round(v, 9) AS v FROM w), s AS (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', '{SEED}', CAST(draw AS VARCHAR), CAST(anchor AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS c FROM u, (SELECT unnest(range(1, 501)) AS draw)),
-k AS (SELECT model, metric, draw, v, {_TIMES} AS k FROM s), m AS (SELECT model, metric, draw, round(sum(k * v) / nullif(sum(k), 0), 9) AS m FROM k GROUP BY ALL), e AS (SELECT model, metric, count(*) AS n_units, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_samp(v) AS std FROM u GROUP BY ALL)
-SELECT model, metric, n_units, {r('mean')}, {r('median')}, {r('std')}, {r('quantile_cont(m, 0.025)', 'ci_lower')}, {r('quantile_cont(m, 0.975)', 'ci_upper')} FROM e JOIN m USING (model, metric) GROUP BY ALL""")
-def _(spark, sf_dir):
-    u = _ev(spark, sf_dir).groupBy("model", "anchor").agg(F.avg("mae").alias("mae"), F.avg("mae_clim").alias("mae_clim"))
-    u = u.unpivot(["model", "anchor"], ["mae", "mae_clim"], "metric", "v").withColumn("v", F.round("v", 9))
-    return joins.result_summary(u, ["model", "metric"], "v", "anchor", 500, SEED)

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from panelscope.operators import fillers, joins
+from panelscope.operators import fillers, joins, resampling
 
 DAY = dt.date(1998, 1, 1)
 
@@ -30,7 +30,7 @@ def test_permuted_donors_give_every_entity_another(spark):
 
 def test_cluster_bootstrap_of_equal_values_has_no_width(spark):
     df = spark.createDataFrame([("a", c, 5.0) for c in range(9) for _ in range(c + 1)] + [("a", 3, None)], "g string, c int, v double")
-    r = joins.cluster_bootstrap(df, ["g"], "c", "v", 50, 7).first()
+    r = resampling.bootstrap_mean(df, ["g"], "c", "v", 50, 7).first()
     assert (r["n_clusters"], r["estimate"], r["ci_lower"], r["ci_upper"]) == (9, 5.0, 5.0, 5.0)
 
 
