@@ -10,11 +10,12 @@ Pairs within FAR bits of a 64-bit SimHash are verified by exact Jaccard. First e
 closest neighbour, and the least of those within CLOSE bits, which draws groups together; then
 all pairs that still lead from one component to another. Only the texts that have any neighbour
 are searched again, and the many pairs inside a component, which could join nothing, are never
-made. FAR holds 99.5 % of the pairs at exactly 0.8, CLOSE about six in ten.
+made; here a text meets WIDE neighbours. FAR holds 99.5 % of the pairs at exactly 0.8, CLOSE about
+six in ten.
 
-Where a cell holds more than a text and its NEAR neighbours (pages of one template), pairs may
-be crowded out of it. All texts of cells that hold so many, of several components, are therefore
-held against each other once more, exactly (``by_rare_shingles``): two sets so similar share one
+Where a cell holds more than a text and its neighbours, pairs may be crowded out of it. Texts of
+cells too full for the first search take part in the second; those of cells too full for that
+as well (pages of one template), of several components, are held against each other once more, exactly (``by_rare_shingles``): two sets so similar share one
 of their rarest shingles, near the front of both in the order of rarity. What such texts have
 in common is not rare among them, so this makes few pairs, and none inside a component.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from panelscope.llm._common import discard, materialize, words_of
 from panelscope.llm.simhash import SEED, components
 
-SHINGLE, JACCARD, RECALL, NEAR, FAR, CLOSE = 5, 0.8, 0.95, 3, 17, 10
+SHINGLE, JACCARD, RECALL, NEAR, WIDE, FAR, CLOSE = 5, 0.8, 0.95, 3, 8, 17, 10
 _BLOCK = 1 << 13
 
 
@@ -102,8 +103,8 @@ def candidates(texts: DataFrame, bits: int, known: DataFrame | None = None) -> D
     own = [c for c in texts.columns if c != "short"]
     rows = texts.select(*own, F.posexplode("short").alias("band", "value")).select("*", F.explode(F.lit(masks).cast("array<long>")).alias("m")).select("band", F.col("value").bitwiseXOR(F.col("m")).alias("cell"), *own)
     whole = Window.partitionBy("band", "cell")
-    w, steps = whole.orderBy("fp", "key"), range(1, NEAR + 1)
-    crowded = F.count(F.lit(1)).over(whole) > NEAR + 1
+    w, steps = whole.orderBy("fp", "key"), range(1, (NEAR if known is None else WIDE) + 1)
+    crowded = F.count(F.lit(1)).over(whole) > len(steps) + 1
     if known is not None:
         crowded &= F.min("root").over(whole) != F.max("root").over(whole)
     rows = rows.withColumn("crowded", crowded)
