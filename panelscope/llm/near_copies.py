@@ -15,9 +15,10 @@ six in ten.
 
 Where a cell holds more than a text and its neighbours, pairs may be crowded out of it. Texts of
 cells too full for the first search take part in the second; those of cells too full for that
-as well (pages of one template), of several components, are held against each other once more, exactly (``by_rare_shingles``): two sets so similar share one
-of their rarest shingles, near the front of both in the order of rarity. What such texts have
-in common is not rare among them, so this makes few pairs, and none inside a component.
+as well (pages of one template), of several components, are held against each other once more,
+exactly (``by_rare_shingles``): two sets so similar share one of their rarest shingles, near the
+front of both in the order of rarity. What such texts have in common is not rare among them, so
+this makes few pairs, and none inside a component.
 
 A null or empty text has no shingles and is a copy of its like only; under five words all
 words are one shingle. Repeated rows share a text and weigh nothing in the search.
