@@ -13,7 +13,7 @@ from panelscope.operators import events
 from panelscope.operators.design import local_threshold
 from panelscope.operators.explore import merge_runs
 from panelscope.operators.results import stable_id
-from panelscope.operators.rules import circular_distance
+from panelscope.operators.rules import circular_distance, overlap_class
 from panelscope.sources.storage import stored
 
 
@@ -187,3 +187,95 @@ def audit_catalogue(stored_rows: DataFrame, panel: DataFrame, kinds: tuple[Kind,
     }
     counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("check"), "rows") for k, df in checks.items()]
     return reduce(DataFrame.unionByName, counts)
+
+
+def overlap_clusters(rows: DataFrame, keys: list[str], item: str, out: str) -> DataFrame:
+    """``rows`` with ``out`` and ``out_size``: groups of windows linked by shared days, within keys
+    or, without any, over all. Days covered by any window form islands, and two windows are linked,
+    directly or through others, just if they lie on one island: nothing is paired. A group is
+    named by its keys and first day."""
+    covered = rows.select(*keys, F.explode(F.sequence("window_start", "window_end")).alias("ts")).distinct()
+    if keys:
+        lands = true_runs(covered, keys, "ts", "true")
+    else:  # one row a day of the calendar, whatever the number of windows
+        lands = true_runs(covered.withColumn("_k", F.lit(1)), ["_k"], "ts", "true").drop("_k")
+    days = lands.select(*keys, F.col("start_date").alias("_from"), F.explode(F.sequence("start_date", "end_date")).alias("_day"))
+    met = rows.withColumn("_day", F.col("window_start")).join(days, [*keys, "_day"]).drop("_day")
+    name = F.concat_ws("|", *keys, F.col("_from").cast("string"))
+    size = F.count(F.lit(1)).over(Window.partitionBy(out))
+    return met.withColumn(out, name).drop("_from").withColumn(f"{out}_size", size)
+
+
+def with_clusters(catalogue: DataFrame) -> DataFrame:
+    """The catalogue with its overlap clusters at three grains: all, entity, entity and kind."""
+    for keys, out in (([], "cluster"), (["entity"], "entity_cluster"), (KEYS, "kind_cluster")):
+        catalogue = overlap_clusters(catalogue, keys, "event_id", out)
+    return catalogue
+
+
+def overlap_graph(rows: DataFrame, bin_days: int = 32) -> DataFrame:
+    """(left_id, right_id, overlap_days, jaccard, overlap_class) for every two windows that share a
+    day; they meet in the bin of days in which the later one starts."""
+    w = rows.select("event_id", "entity", "event_type", "window_start", "window_end")
+    at = lambda c: F.floor(F.unix_date(c) / bin_days)
+    spread = w.select("*", F.explode(F.sequence(at("window_start"), at("window_end"))).alias("bin"))
+    a, b = (spread.select("bin", *(F.col(c).alias(f"{s}_{c}") for c in w.columns)) for s in "ab")
+    first = F.greatest("a_window_start", "b_window_start")
+    met = a.join(b, "bin").where((F.col("a_event_id") < F.col("b_event_id")) & (first <= F.least("a_window_end", "b_window_end")) & (at(first) == F.col("bin")))
+    days = lambda x, y: F.datediff(y, x) + 1
+    shared = days(first, F.least("a_window_end", "b_window_end"))
+    union = days("a_window_start", "a_window_end") + days("b_window_start", "b_window_end") - shared
+    kind = overlap_class(F.col("a_entity") == F.col("b_entity"), F.col("a_event_type") == F.col("b_event_type"), F.col("a_event_type"))
+    return met.select(F.col("a_event_id").alias("left_id"), F.col("b_event_id").alias("right_id"), shared.cast("long").alias("overlap_days"), (shared / union).alias("jaccard"), kind.alias("overlap_class"))
+
+
+#: Strata of fewer pairs are described, not tested.
+LEAST_PAIRS = 5
+
+
+def matching_balance(catalogue: DataFrame, panel: DataFrame) -> DataFrame:
+    """Events against their controls overall, by entity, kind and season, and by length within that
+    (absent keys are null): numbers, whether matched one to one, distances in years and in the time
+    of year, controls that abut their event, and the standardised difference of the variable's
+    window means."""
+    c = catalogue.withColumn("control_center", F.expr("date_add(control_start, cast((window_length - 1) div 2 as int))"))
+    gap = F.when(F.col("window_end") < F.col("control_start"), F.datediff("control_start", "window_end") - 1).when(F.col("control_end") < F.col("window_start"), F.datediff("window_start", "control_end") - 1).otherwise(-1)
+    c = c.withColumns({"_years": F.abs(F.year("center") - F.year("control_center")), "_days": circular_distance(doy366("center"), doy366("control_center")), "_abut": F.when(F.col("control_start").isNotNull(), gap == 0)})
+    values = panel.where("value is not null").select("entity", "variable", "ts", "value")
+    spans = c.where("control_start is not null").select("event_id", "entity", "variable", F.explode(F.array(F.struct(F.lit("event").alias("role"), F.col("window_start").alias("a"), F.col("window_end").alias("z")), F.struct(F.lit("control").alias("role"), F.col("control_start").alias("a"), F.col("control_end").alias("z")))).alias("s"))
+    mean = lambda role: F.avg(F.when(F.col("role") == role, F.col("value")))
+    means = spans.select("event_id", "entity", "variable", "s.role", F.explode(F.sequence("s.a", "s.z")).alias("ts")).join(values, ["entity", "variable", "ts"]).groupBy("event_id").agg(mean("event").alias("_e"), mean("control").alias("_c"))
+    c = c.join(means, "event_id", "left").withColumn("_ok", F.col("_e").isNotNull() & F.col("_c").isNotNull())
+    e, k = (F.when(F.col("_ok"), F.col(x)) for x in ("_e", "_c"))
+    spread = F.sqrt((F.var_samp(e) + F.var_samp(k)) / 2)
+    grains = [[], ["entity", "event_type", "season"], ["entity", "event_type", "season", "window_length"]]
+    by = grains[-1]
+    long = c.select("*", F.explode(F.array(*(F.struct(*(F.col(b).alias(b) if b in g else F.lit(None).cast(dict(c.dtypes)[b]).alias(b) for b in by), F.lit(i).alias("grain")) for i, g in enumerate(grains)))).alias("_g")).drop(*by).select("*", "_g.*")
+    g = long.groupBy("grain", *by).agg(
+        F.countDistinct("event_id").alias("n_events"), F.countDistinct("pair_id").alias("n_controls"), F.count(F.lit(1)).alias("n_pairs"), F.count_if("eligible").alias("n_eligible"), F.avg("_years").alias("mean_year_distance"), F.avg("_days").alias("mean_day_distance"), F.max("_days").cast("long").alias("max_day_distance"),
+        F.count_if("_abut").alias("abutting"), F.when((F.count(e) >= 2) & (spread > 0), (F.avg(e) - F.avg(k)) / spread).alias("smd"),
+    )
+    one = (F.col("n_events") == F.col("n_pairs")) & (F.col("n_controls") == F.col("n_pairs"))
+    return g.withColumns({"matched_one_to_one": one, "status": F.when(F.col("n_eligible") < LEAST_PAIRS, "descriptive_only").otherwise("testable")}).withColumn("grain", F.col("grain").cast("long"))
+
+
+def effective_sizes(clustered: DataFrame) -> DataFrame:
+    """By scope (all, entity, entity and kind; absent keys null): episodes, clusters, which are the
+    effective number, clusters of several, the largest, and days covered."""
+    out = []
+    for i, (keys, c) in enumerate((([], "cluster"), (["entity"], "entity_cluster"), (KEYS, "kind_cluster"))):
+        days = clustered.select(*keys, F.explode(F.sequence("window_start", "window_end")).alias("ts")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("days"))
+        each = clustered.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
+        g = each.groupBy(*keys).agg(F.sum("_n").alias("episodes"), F.count(F.lit(1)).alias("effective_n"), F.count_if(F.col("_n") > 1).alias("several"), F.max("_n").alias("largest"))
+        g = g.join(days, keys) if keys else g.crossJoin(F.broadcast(days))  # one row each
+        out.append(g.select(F.lit(i).cast("long").alias("scope"), *(F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in KEYS), "episodes", "effective_n", "several", "largest", "days"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def strata_coverage(catalogue: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
+    """Every entity with every kind and season: pairs, eligible ones, and whether the stratum is
+    missing, too small to test, or testable."""
+    grid = catalogue.select("entity").distinct().withColumn("event_type", F.explode(F.lit([k.name for k in kinds]))).withColumn("season", F.explode(F.lit(["DJF", "MAM", "JJA", "SON"])))
+    n = catalogue.groupBy(*KEYS, "season").agg(F.count(F.lit(1)).alias("_n"), F.count_if("eligible").alias("_e"))
+    g = grid.join(n, [*KEYS, "season"], "left").withColumns({"n_pairs": F.coalesce("_n", F.lit(0)), "n_eligible": F.coalesce("_e", F.lit(0))}).drop("_n", "_e")
+    return g.withColumn("status", F.when(F.col("n_pairs") == 0, "missing").when(F.col("n_eligible") < LEAST_PAIRS, "descriptive_only").otherwise("testable"))

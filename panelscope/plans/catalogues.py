@@ -94,3 +94,52 @@ def _(spark, sf_dir):
     moved = made.where((day % 5 == 0) & (day != 10)).withColumns({c: F.date_add(c, 1) for c in ("control_start", "control_end")})
     spoilt = moved.unionByName(made.where(day % 5 != 0)).unionByName(made.where(day == 7))
     return catalogue.audit_catalogue(spoilt, p, KINDS, "test")
+
+
+def _stored_catalogue(spark, sf_dir):
+    return stored(_made(spark, sf_dir), "catalogue")
+
+
+def _islands(keys: str, out: str) -> str:
+    """CTE ``out`` (event_id, c): overlap groups by a running maximum of the ends."""
+    part = f"PARTITION BY {keys} " if keys else ""
+    name = " || '|' || ".join([*(k.strip() for k in keys.split(",") if k), "CAST(min(window_start) OVER (PARTITION BY {g}) AS VARCHAR)"]).replace("{g}", ", ".join(x for x in (keys, "g") if x))
+    return f"{out}0 AS (SELECT *, sum(CASE WHEN window_start <= e THEN 0 ELSE 1 END) OVER ({part}ORDER BY window_start, window_end, event_id) AS g FROM (SELECT *, max(window_end) OVER ({part}ORDER BY window_start, window_end, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS e FROM ct)), {out} AS (SELECT event_id, {name} AS c FROM {out}0)"
+
+
+_GROUPS = f"{_CATALOGUE}, {_islands('', 'ga')}, {_islands('entity', 'ge')}, {_islands('entity, event_type', 'gk')}, cg AS MATERIALIZED (SELECT ct.*, ga.c AS cluster, ge.c AS entity_cluster, gk.c AS kind_cluster FROM ct JOIN ga USING (event_id) JOIN ge USING (event_id) JOIN gk USING (event_id))"
+
+
+@_add("o7_event_clusters", f"{_GROUPS} SELECT event_id, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size, entity_cluster, count(*) OVER (PARTITION BY entity_cluster) AS entity_cluster_size, kind_cluster, count(*) OVER (PARTITION BY kind_cluster) AS kind_cluster_size FROM cg")
+def _(spark, sf_dir):
+    c = catalogue.with_clusters(_stored_catalogue(spark, sf_dir))
+    return c.select("event_id", *(f"{g}{s}" for g in ("cluster", "entity_cluster", "kind_cluster") for s in ("", "_size")))
+
+
+@_add("o7_overlap_graph", f"""{_CATALOGUE}, gr AS (SELECT a.event_id AS left_id, b.event_id AS right_id, least(a.window_end, b.window_end) - greatest(a.window_start, b.window_start) + 1 AS overlap_days, a.window_length + b.window_length AS both_days, CASE WHEN a.entity <> b.entity THEN 'cross_station' WHEN a.event_type <> b.event_type THEN 'cross_type' WHEN a.event_type = 'flood' THEN 'same_type_flood' ELSE 'same_type' END AS overlap_class FROM ct a JOIN ct b ON a.event_id < b.event_id AND a.window_start <= b.window_end AND b.window_start <= a.window_end)
+SELECT left_id, right_id, overlap_days, {r('overlap_days / (both_days - overlap_days)', 'jaccard')}, overlap_class FROM gr""")
+def _(spark, sf_dir):
+    return catalogue.overlap_graph(_stored_catalogue(spark, sf_dir))
+
+
+@_add("o7_effective_sizes", f"""{_GROUPS}, dy AS (SELECT entity, event_type, CAST(unnest(generate_series(window_start, window_end, INTERVAL 1 DAY)) AS DATE) AS d FROM ct), sz AS (SELECT 0 AS scope, NULL::VARCHAR AS entity, NULL::VARCHAR AS event_type, cluster AS c FROM cg UNION ALL SELECT 1, entity, NULL, entity_cluster FROM cg UNION ALL SELECT 2, entity, event_type, kind_cluster FROM cg),
+sn AS (SELECT scope, entity, event_type, c, count(*) AS k FROM sz GROUP BY ALL), dn AS (SELECT 0 AS scope, NULL::VARCHAR AS entity, NULL::VARCHAR AS event_type, count(DISTINCT d) AS days FROM dy UNION ALL SELECT 1, entity, NULL, count(DISTINCT d) FROM dy GROUP BY entity UNION ALL SELECT 2, entity, event_type, count(DISTINCT d) FROM dy GROUP BY entity, event_type)
+SELECT CAST(s.scope AS BIGINT) AS scope, s.entity, s.event_type, CAST(sum(k) AS BIGINT) AS episodes, count(*) AS effective_n, count(*) FILTER (k > 1) AS several, max(k) AS largest, any_value(days) AS days FROM sn s JOIN dn ON s.scope = dn.scope AND s.entity IS NOT DISTINCT FROM dn.entity AND s.event_type IS NOT DISTINCT FROM dn.event_type GROUP BY s.scope, s.entity, s.event_type""")
+def _(spark, sf_dir):
+    return catalogue.effective_sizes(stored(catalogue.with_clusters(_stored_catalogue(spark, sf_dir)), "clustered"))
+
+
+@_add("o7_matching_balance", f"""{_CATALOGUE}, cb AS (SELECT *, control_start + CAST((window_length - 1) // 2 AS INT) AS cc FROM ct), cd AS (SELECT cb.*, abs(year(center) - year(cc)) AS yd, least(abs({_doy('center')} - {_doy('cc')}), 366 - abs({_doy('center')} - {_doy('cc')})) AS dd, control_start = window_end + 1 OR control_end = window_start - 1 AS ab FROM cb),
+wm AS (SELECT c.event_id, avg(p.value) FILTER (p.ts BETWEEN window_start AND window_end) AS e, avg(p.value) FILTER (p.ts BETWEEN control_start AND control_end) AS k FROM ct c JOIN panel p ON p.entity = c.entity AND p.variable = c.variable AND (p.ts BETWEEN window_start AND window_end OR p.ts BETWEEN control_start AND control_end) WHERE control_start IS NOT NULL AND p.value IS NOT NULL GROUP BY c.event_id),
+ce AS (SELECT cd.*, CASE WHEN e IS NOT NULL AND k IS NOT NULL THEN e END AS e, CASE WHEN e IS NOT NULL AND k IS NOT NULL THEN k END AS k FROM cd LEFT JOIN wm USING (event_id))
+SELECT CASE WHEN grouping(window_length) = 0 THEN 2 WHEN grouping(entity) = 0 THEN 1 ELSE 0 END::BIGINT AS grain, entity, event_type, season, window_length, count(DISTINCT event_id) AS n_events, count(DISTINCT pair_id) AS n_controls, count(*) AS n_pairs, count(*) FILTER (eligible) AS n_eligible, {r('avg(yd)', 'mean_year_distance')}, {r('avg(dd)', 'mean_day_distance')}, max(dd) AS max_day_distance, count(*) FILTER (ab) AS abutting,
+{r('CASE WHEN count(e) >= 2 AND var_samp(e) + var_samp(k) > 0 THEN (avg(e) - avg(k)) / sqrt((var_samp(e) + var_samp(k)) / 2) END', 'smd')}, count(DISTINCT event_id) = count(*) AND count(DISTINCT pair_id) = count(*) AS matched_one_to_one, CASE WHEN count(*) FILTER (eligible) < 5 THEN 'descriptive_only' ELSE 'testable' END AS status FROM ce GROUP BY GROUPING SETS ((), (entity, event_type, season), (entity, event_type, season, window_length))""")
+def _(spark, sf_dir):
+    p = stored(_ship(spark, sf_dir), "panel")
+    return catalogue.matching_balance(stored(catalogue.event_catalogue(p, KINDS, "test"), "catalogue"), p)
+
+
+@_add("o7_strata", f"""{_CATALOGUE}, gd AS (SELECT entity, event_type, season FROM (SELECT DISTINCT entity FROM ct), (SELECT event_type FROM kinds), (SELECT unnest(['DJF', 'MAM', 'JJA', 'SON']) AS season)), nn AS (SELECT entity, event_type, season, count(*) AS n, count(*) FILTER (eligible) AS e FROM ct GROUP BY ALL)
+SELECT entity, event_type, season, coalesce(n, 0) AS n_pairs, coalesce(e, 0) AS n_eligible, CASE WHEN n IS NULL THEN 'missing' WHEN e < 5 THEN 'descriptive_only' ELSE 'testable' END AS status FROM gd LEFT JOIN nn USING (entity, event_type, season)""")
+def _(spark, sf_dir):
+    return catalogue.strata_coverage(_stored_catalogue(spark, sf_dir), KINDS)

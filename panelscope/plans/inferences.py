@@ -116,7 +116,12 @@ def _(spark, sf_dir):
 _T = "spearman * sqrt((gaps - 2) / ((1 - spearman) * (1 + spearman)))"
 
 
-@_add("u2_width_growth_p", f"SELECT *, {r(f'CASE WHEN gaps < 3 OR spearman IS NULL THEN NULL WHEN abs(spearman) >= 1 - 1e-12 THEN 0.0 ELSE {_student(_T, chr(40) + "gaps - 2" + chr(41))} END', 'p_value')} FROM ({SQL['u2_width_growth']})")
+#: Inputs are the rounded results of the row before, so four digits are compared.
+_U2 = ", ".join(f"round({c} + 1e-10, 4) + 0.0 AS {c}" for c in ("spearman", "first_width", "last_width"))
+_P = f"CASE WHEN gaps < 3 OR spearman IS NULL THEN NULL WHEN abs(spearman) >= 1 - 1e-12 THEN 0.0 ELSE {_student(_T, '(gaps - 2)')} END"
+
+
+@_add("u2_width_growth_p", f"SELECT model, gaps, {_U2}, round({_P} + 1e-10, 4) + 0.0 AS p_value FROM ({SQL['u2_width_growth']})", 4)
 def _(spark, sf_dir):
     units = scores.calibration(adapters.eval_table(spark, sf_dir), ["model", "anchor", "gap"], "gap", "mae_clim", "mae", 0.9)
     return inference.width_growth_test(units, ["model"], "gap")
