@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.sqlfn import SERIES, hash_rank, season, true_runs
 from panelscope.operators.explore import block_starts, merge_runs
+from panelscope.sources.storage import stored
 
 
 def season_thresholds(panel: DataFrame, quantile: float, least: int = 30) -> DataFrame:
@@ -89,3 +90,34 @@ def hide(panel: DataFrame, cells: DataFrame) -> DataFrame:
 def mask_metadata(panel: DataFrame) -> DataFrame:
     g = panel.groupBy(*SERIES).agg(F.count_if("observed").alias("eligible_cells"), F.count_if(F.col("hidden") & F.col("observed")).alias("masked_cells"), F.count_if(F.col("hidden") & ~F.col("observed")).alias("outside"))
     return g.withColumn("masked_rate", F.try_divide("masked_cells", "eligible_cells"))
+
+
+def training_layout(panel: DataFrame, lengths: list[int], seed: int, repeats: int = 1) -> DataFrame:
+    """(series, part, length, start_date, end_date): gaps of all lengths, each ``repeats`` times, one
+    observed day apart, in an order drawn by hash, end to end from a start drawn by hash among
+    those at which the whole span is observed. A series without such a span has its gaps placed
+    one by one, the longest first, each at the hash-first start that stays a day off the others;
+    one that cannot take them all has none.
+    """
+    every = sorted([n for n in lengths for _ in range(repeats)], reverse=True)
+    span = sum(every) + len(every) - 1
+    one = Window.partitionBy(*SERIES)
+    start = block_starts(panel, span).withColumn("_k", F.row_number().over(one.orderBy(hash_rank(F.lit(str(seed)), *SERIES, "ts")))).where("_k = 1").select(*SERIES, F.col("ts").alias("_from"))
+    parts = start.select(*SERIES, "_from", F.posexplode(F.lit(every)).alias("_i", "length"))
+    order = one.orderBy(hash_rank(F.lit(str(seed)), *SERIES, "_i"))
+    before = F.coalesce(F.sum(F.col("length") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    laid = parts.withColumns({"part": F.row_number().over(order) - 1, "start_date": F.date_add("_from", before)}).select(*SERIES, F.col("part").cast("long").alias("part"), F.col("length").cast("long").alias("length"), "start_date")
+
+    rest = panel.select(*SERIES).distinct().join(start, SERIES, "left_anti")
+    sparse, taken = panel.join(rest, SERIES, "left_semi"), None
+    for i, n in enumerate(every):  # as many steps as there are gaps in a layout
+        s = block_starts(sparse, n).select(*SERIES, "ts")
+        if taken is not None:
+            near = taken.select(*SERIES, F.explode(F.sequence(F.date_sub("start_date", n), F.expr("date_add(start_date, cast(length as int))"))).alias("ts"))
+            s = s.join(near.distinct(), [*SERIES, "ts"], "left_anti")
+        s = s.withColumn("_k", F.row_number().over(one.orderBy(hash_rank(F.lit(str(seed)), *SERIES, F.lit(str(i)), "ts")))).where("_k = 1")
+        s = s.select(*SERIES, F.lit(i).cast("long").alias("part"), F.lit(n).cast("long").alias("length"), F.col("ts").alias("start_date"))
+        taken = stored(s if taken is None else taken.unionByName(s), "layout")
+    whole = taken.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(every)).select(*SERIES)
+    out = laid.unionByName(taken.join(whole, SERIES, "left_semi"))
+    return out.withColumn("end_date", F.expr("date_add(start_date, cast(length - 1 as int))"))
