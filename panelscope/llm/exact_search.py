@@ -22,7 +22,8 @@ large for a tie is not read.
 
 Queries are the rows whose id is divisible by EVERY. Candidates are all rows but the query's
 own: another row with the same id is one. Vectors null or holding null or non-finite
-components take no part; shorter ones count as zero beyond their end. A null id is no query
+components take no part; shorter ones count as zero beyond their end (if all are empty, there
+is no result). A null id is no query
 and, as a candidate, comes after all others (ids are below 2^63 - 1). Components must be small
 enough for exact 64-bit sums, else an error says so. An empty table gives an empty result.
 Other columns are not read.
@@ -248,11 +249,10 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     """query_id, rank, vec_id, score: the ``k`` highest scores of every query row."""
     rows, width, most = integers(vectors, scale, id_col, vector_col)
     kind = Kind(width, most)
+    if not width:  # no usable vector has a component
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = materialize(rows.select("vec_id", "v"), "integers")
     centres = fit_pivots(rows, pivots)
-    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not len(centres) or not width:
-        return none
     index = materialize(annuli(rows, centres, kind, block), "annuli")
     discard(rows)
     queries = materialize(_with_state(query_blocks(index, every), None, None, k), "queries")
