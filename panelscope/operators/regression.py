@@ -42,13 +42,13 @@ class Design:
 
 
 def with_design(df: DataFrame, design: Design, date: str = "ts") -> DataFrame:
-    return df.withColumn("x", F.array(*design.columns(date)))
+    return df.withColumn("_x", F.array(*design.columns(date)))
 
 
 def medians(train: DataFrame, keys: list[str], size: int, always: int) -> DataFrame:
     """(keys, med): the median of each feature that may be absent, 0 for the others or if it always is."""
     zero = F.lit(0.0)
-    found = [zero if i < always else F.coalesce(F.percentile(F.col("x")[i], 0.5), zero) for i in range(size)]
+    found = [zero if i < always else F.coalesce(F.percentile(F.col("_x")[i], 0.5), zero) for i in range(size)]
     return train.groupBy(*keys).agg(F.array(*found).alias("med"))
 
 
@@ -123,7 +123,7 @@ def squared_error(products: Products) -> str:
 
 def _shifts(train: DataFrame, target: str, size: int) -> tuple[list[float], float]:
     """Means over the whole training set, taken off before squaring: one row."""
-    row = train.agg(F.avg(target), *(F.avg(F.col("x")[i]) for i in range(size))).first()
+    row = train.agg(F.avg(target), *(F.avg(F.col("_x")[i]) for i in range(size))).first()
     return [float(v or 0) for v in row[1:]], float(row[0] or 0)
 
 
@@ -133,14 +133,14 @@ def _training(df: DataFrame, target: str, split: str = "train") -> DataFrame:
 
 def fit(df: DataFrame, keys: list[str], target: str, design: Design, alpha: float = 1.0) -> DataFrame:
     """One ridge for each key, on the training days with a target: (keys, n, med, mean, sd, coef,
-    level). ``df`` has ``x`` (``with_design``, or any array of the design's features) and split.
+    level). ``df`` has ``_x`` (``with_design``, or any array of the design's features) and split.
     An absent feature counts as its training median. Keys without training days have no model."""
     size = len(design.names)
     train = _training(df, target)
     med = medians(train, keys, size, design.always)
     shift, level = _shifts(train, target, size)
     filled = train.join(med, keys)
-    vector = [F.lit(1.0), *(F.coalesce(F.col("x")[i], F.col("med")[i]) - shift[i] for i in range(size)), F.col(target) - level]
+    vector = [F.lit(1.0), *(F.coalesce(F.col("_x")[i], F.col("med")[i]) - shift[i] for i in range(size)), F.col(target) - level]
     got = ridge(sums(filled, keys, vector), Products(size, []), str(float(alpha))).join(med, keys)
     return got.select(
         *keys, F.col("s_0_0").cast("long").alias("n"), "med", F.zip_with("mean", F.lit(shift), lambda m, s: m + s).alias("mean"), "sd", "coef", (F.col("level") + level).alias("level")
@@ -149,9 +149,11 @@ def fit(df: DataFrame, keys: list[str], target: str, design: Design, alpha: floa
 
 def predict(df: DataFrame, model: DataFrame, keys: list[str], out: str = "pred") -> DataFrame:
     """``out`` for every row whose key has a model, else null."""
-    z = "zip_with(zip_with(x, med, (v, m) -> coalesce(v, m)), zip_with(mean, sd, (m, s) -> struct(m, s)), (v, p) -> (v - p.m) / p.s)"
-    value = F.expr(f"level + aggregate(zip_with({z}, coef, (v, c) -> v * c), 0D, (a, b) -> a + b)")
-    return df.join(model.select(*keys, "med", "mean", "sd", "coef", "level"), keys, "left").withColumn(out, value).drop("med", "mean", "sd", "coef", "level")
+    z = "zip_with(zip_with(_x, _med, (v, m) -> coalesce(v, m)), zip_with(_mean, _sd, (m, s) -> struct(m, s)), (v, p) -> (v - p.m) / p.s)"
+    value = F.expr(f"_level + aggregate(zip_with({z}, _coef, (v, c) -> v * c), 0D, (a, b) -> a + b)")
+    parts = ["med", "mean", "sd", "coef", "level"]
+    own = model.select(*keys, *(F.col(c).alias(f"_{c}") for c in parts))
+    return df.join(own, keys, "left").withColumn(out, value).drop(*(f"_{c}" for c in parts))
 
 
 def seasonal_ridge(wide: DataFrame, target: str, design: Design, forbidden: str | None = None, alpha: float = 1.0) -> DataFrame:
@@ -160,7 +162,7 @@ def seasonal_ridge(wide: DataFrame, target: str, design: Design, forbidden: str
     if forbidden in design.features or target in design.features:
         raise ValueError(f"{forbidden if forbidden in design.features else target} is forbidden in this model")
     rows = with_design(wide, design)
-    return predict(rows, fit(rows, ["entity"], target, design, alpha), ["entity"]).drop("x")
+    return predict(rows, fit(rows, ["entity"], target, design, alpha), ["entity"]).drop("_x")
 
 
 def best_lags(obs: DataFrame, lags: range, least: int = 3) -> DataFrame:
@@ -199,7 +201,7 @@ def donor_regression(wide: DataFrame, variable: str, donors: list[str], lags: ra
     rows = rows.withColumns({c: F.get("donors", F.lit(i)) for i, c in enumerate(named)})
     design = Design((*named, *covariates), harmonics)
     rows = with_design(rows, design).drop("donors", *named)
-    return predict(rows, fit(rows, ["entity"], variable, design, alpha), ["entity"]).drop("x")
+    return predict(rows, fit(rows, ["entity"], variable, design, alpha), ["entity"]).drop("_x")
 
 
 def pooled_leave_one_out(wide: DataFrame, target: str, design: Design, alphas: tuple[float, ...] = (0.1, 1.0, 10.0)) -> DataFrame:
@@ -215,7 +217,7 @@ def pooled_leave_one_out(wide: DataFrame, target: str, design: Design, alphas: t
     both = rows.where(F.col("split").isin("train", "validation") & F.col(target).isNotNull())
     train = both.where("split = 'train'")
     shift, level = _shifts(train, target, size)
-    x = [F.col("x")[i] for i in range(size)]
+    x = [F.col("_x")[i] for i in range(size)]
     vector = [F.lit(1.0), *(F.coalesce(c - s, F.lit(0.0)) for c, s in zip(x, shift, strict=True)), *(x[i].isNull().cast("double") for i in absent), F.col(target) - level]
     own = stored(sums(both, ["entity", "split"], vector), "sums")
     cells = [c for c in own.columns if c.startswith("s_")]
@@ -228,7 +230,7 @@ def pooled_leave_one_out(wide: DataFrame, target: str, design: Design, alphas: t
     v = rest.where("split = 'validation'").select("entity", *(F.col(c).alias(f"v_{c}") for c in cells))
 
     # medians of the others: how often each value occurs, all entities less the held-out one
-    parts = train.select("entity", F.posexplode(F.slice("x", design.always + 1, size - design.always)).alias("i", "value")).where("value is not null")
+    parts = train.select("entity", F.posexplode(F.slice("_x", design.always + 1, size - design.always)).alias("i", "value")).where("value is not null")
     often = parts.groupBy("entity", "i", "value").agg(F.count(F.lit(1)).alias("c"))
     every = held.agg(F.collect_set("entity").alias("_all"))  # one row; each count goes to all entities but its own
     others = often.crossJoin(F.broadcast(every)).withColumn("held", F.explode(F.array_except("_all", F.array("entity")))).groupBy("held", "i", "value").agg(F.sum("c").alias("c"))
@@ -243,4 +245,4 @@ def pooled_leave_one_out(wide: DataFrame, target: str, design: Design, alphas: t
     best = fitted.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     plus = lambda c: F.zip_with(c, F.lit(shift), lambda m, s: m + s).alias(c)
     model = stored(best.select("entity", "alpha", plus("med"), plus("mean"), "sd", "coef", (F.col("level") + level).alias("level")), "pooled")
-    return predict(rows, model, ["entity"]).drop("x").join(model.select("entity", "alpha"), "entity", "left")
+    return predict(rows, model, ["entity"]).drop("_x").join(model.select("entity", "alpha"), "entity", "left")

@@ -32,7 +32,9 @@ def q3_daily_scores(spark, sf_dir):
 
 
 def q5_activity(spark, sf_dir):
-    got = _run(causal.activity(_events(spark, sf_dir), ["user_id"], "12 hours"))
+    out = causal.activity(_events(spark, sf_dir), ["user_id"], "12 hours", None)
+    last = causal.run_to_end(out, scratch(spark, "stream"), scratch(spark, "progress"))
+    got = spark.read.schema(out.schema).parquet(last) if last else spark.createDataFrame([], out.schema)
     return got.select("user_id", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), "n")
 
 
@@ -69,5 +71,5 @@ FROM events GROUP BY ALL""",
 g AS (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM f), h AS (SELECT entity, run FROM g GROUP BY ALL HAVING count(*) >= 5) SELECT entity, count(*) AS alarms FROM h GROUP BY entity""",
     "q5_activity": """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f), h AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS n FROM g GROUP BY user_id, s)
-SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start_ts, n FROM h WHERE b + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start_ts, n FROM h""",
 }

@@ -23,9 +23,11 @@ def daily_scores(stream: DataFrame, keys: list[str], truth: str, pred: str, dela
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("abs_error"), F.sum(e * e).alias("sq_error")).select(*keys, F.col("window.start").alias("day"), "n", "abs_error", "sq_error")
 
 
-def activity(stream: DataFrame, keys: list[str], gap: str, delay: str = "1 hour") -> DataFrame:
-    """Stretches without a pause of ``gap``; between two of them lies an outage."""
-    g = stream.withWatermark("ts", delay).groupBy(*keys, F.session_window("ts", gap))
+def activity(stream: DataFrame, keys: list[str], gap: str, delay: str | None = "1 hour") -> DataFrame:
+    """Stretches without a pause of ``gap``; between two of them lies an outage. With ``delay``, for an
+    endless stream that appends stretches once they are closed; without, for ``run_to_end``, those
+    still open at the end of the input are there too."""
+    g = (stream.withWatermark("ts", delay) if delay else stream).groupBy(*keys, F.session_window("ts", gap))
     return g.agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("session_window.start").alias("start_ts"), F.col("session_window.end").alias("end_ts"), "n")
 
 
