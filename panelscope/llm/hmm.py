@@ -11,8 +11,9 @@ there can be, while its size is fixed by its parameters, whatever the corpus.
 Counts, class statistics and all rounds of Baum-Welch cover every training text. Frequent
 tokens (at least 1/HEAD of all: at most HEAD of them) go to the executors with their
 counts; occurrences of all others meet their counts in a join, which no hot token is then
-part of. Baum-Welch reads texts in segments of SEGMENT tokens; scores are exact over whole
-texts, by the scaled forward recursion.
+part of. Baum-Welch runs over whole texts: segments of SEGMENT tokens go side by side, each from
+the exact forward and backward states at its borders, which the products of the segments' steps
+give. Scores are exact over whole texts, by the scaled forward recursion.
 
 A null or empty text is its end token alone. Repeated rows count in training as often as
 they occur and are scored alike. Without training texts every token is unseen.
@@ -34,10 +35,10 @@ from panelscope.llm._common import fold, materialize, table, words_of
 
 FOLDS, HELD_OUT = 7, 2
 STATES, OWN, TAIL, HEAD = 8, 1 << 14, 4096, 1 << 20
-ROUNDS, SEGMENT, PRIOR, STICKY, SEED = 5, 256, 200.0, 0.95, 5
+ROUNDS, SEGMENT, PRIOR, STICKY, SEED = 5, 1024, 200.0, 0.95, 5
 #: Distinct tokens counted in memory before they are passed on.
 _FLUSH = 300_000
-_AT_ONCE = 2048
+_AT_ONCE = 512
 END = b""  # no word is empty
 
 
@@ -163,28 +164,86 @@ class HMM:
             a[:live] = now / s[:, None]
         return out
 
-    def expected(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch: expected starts, transitions and emissions of the given sequences."""
+    def crossed(self, segs: list[np.ndarray], opens: np.ndarray) -> np.ndarray:
+        """Of each segment the product of its steps, up to a factor: row i leads from state i before
+        the segment (of the first token itself where the segment opens its text) to its last token."""
+        k = len(self.start)
+        n = np.array([len(s) for s in segs])
+        order = np.argsort(-n, kind="stable")
+        size, flat = n[order], np.concatenate(segs)
+        begin = np.concatenate(([0], np.cumsum(n)))[:-1][order]
+        x, live = np.tile(np.eye(k)[:, None], (1, len(segs), 1)), len(segs)  # from state, segment, to state
+        x[:, ~opens[order]] = self.move[:, None]
+        spare = np.empty_like(x)
+        for t in range(int(size[0])):
+            while size[live - 1] <= t:
+                live -= 1
+            now = x[:, :live]
+            if t:
+                np.matmul(now, self.move, out=spare[:, :live])
+                now[:] = spare[:, :live]
+            now *= self.emit[flat[begin[:live] + t]]
+            if t % 16 == 15:
+                now /= now.sum((0, 2))[:, None]
+        out = np.empty((len(segs), k, k))
+        out[order] = (x / x.sum((0, 2))[:, None]).transpose(1, 0, 2)
+        return out
+
+    def borders(self, seqs: list[np.ndarray], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Segments of ``length`` tokens with the exact recursion at their borders: ``before``, the
+        filtered states of the text just before the segment (zeros where it opens the text), and
+        ``after``, the backward vector at its last token, up to a factor (ones where it ends it)."""
+        segs = [s[i : i + length] for s in seqs for i in range(0, len(s), length)]
+        first = np.concatenate([np.arange(0, len(s), length) == 0 for s in seqs]) if seqs else np.zeros(0, bool)
+        before, after = np.zeros((len(segs), len(self.start))), np.ones((len(segs), len(self.start)))
+        last = np.append(first[1:], True)
+        cut = np.flatnonzero(~(first & last))
+        for lo in range(0, len(cut), _AT_ONCE):  # a text's products may lie in two of these
+            at = cut[lo : lo + _AT_ONCE]
+            step = self.crossed([segs[i] for i in at], first[at])
+            if lo == 0:
+                products = np.empty((len(cut), *step.shape[1:]))
+            products[lo : lo + len(at)] = step
+        for j, i in enumerate(cut[:-1]):
+            if not last[i]:
+                a = (self.start if first[i] else before[i]) @ products[j]
+                before[i + 1] = a / a.sum()
+        for j in range(len(cut) - 1, 0, -1):
+            i = cut[j]
+            if not first[i]:
+                b = products[j] @ after[i]
+                after[i - 1] = b / b.sum()
+        return segs, before, after
+
+    def expected(self, seqs: list[np.ndarray], length: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch: expected starts, transitions and emissions of the given whole sequences.
+
+        Sequences of more than ``length`` tokens are cut and their segments run side by side, from
+        the exact forward and backward states at the cuts; transitions over the cuts count too."""
         k = len(self.start)
         starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit)
-        seqs = sorted(seqs, key=len, reverse=True)
-        for lo in range(0, len(seqs), _AT_ONCE):
-            some = seqs[lo : lo + _AT_ONCE]
+        segs, before, after = self.borders(seqs, length)
+        order = np.argsort([-len(s) for s in segs], kind="stable")
+        for lo in range(0, len(order), _AT_ONCE):
+            chosen = order[lo : lo + _AT_ONCE]
+            some, ahead_of, behind = [segs[i] for i in chosen], after[chosen], before[chosen]
+            opens = ~behind.any(1)
             size = np.array([len(s) for s in some])
             b, steps = len(some), int(size[0])
             g = np.zeros((steps, b), np.int64)
             for i, s in enumerate(some):
                 g[: len(s), i] = s
-            live = [int(np.searchsorted(-size, -t)) for t in range(steps)]  # sequences longer than t
+            live = [int(np.searchsorted(-size, -t)) for t in range(steps)]  # segments longer than t
             alpha, scale = np.zeros((steps, b, k), np.float32), np.ones((steps, b))
-            a = np.tile(self.start, (b, 1))
+            a = np.where(opens[:, None], self.start, behind @ self.move)
             for t in range(steps):
                 m = live[t]
                 now = (a[:m] @ self.move if t else a[:m]) * self.emit[g[t, :m]]
                 s = now.sum(1)
                 a = now / s[:, None]
                 alpha[t, :m], scale[t, :m] = a, s
-            gamma, beta = np.zeros((steps, b, k), np.float32), np.ones((b, k))
+            beta = ahead_of / (alpha[size - 1, np.arange(b)] * ahead_of).sum(1, keepdims=True)
+            gamma = np.zeros((steps, b, k), np.float32)
             for t in range(steps - 1, -1, -1):
                 m = live[t]
                 if t + 1 < steps and live[t + 1]:
@@ -193,7 +252,8 @@ class HMM:
                     moves += self.move * (alpha[t, :p].T @ ahead)
                     beta[:p] = ahead @ self.move.T
                 gamma[t, :m] = alpha[t, :m] * beta[:m]
-            starts += gamma[0].sum(0)
+            starts += gamma[0, opens].sum(0)
+            moves += self.move * (behind.T @ (self.emit[g[0]] * beta / scale[0][:, None]))
             on = np.concatenate([g[t, : live[t]] for t in range(steps)])
             weights = np.concatenate([gamma[t, : live[t]] for t in range(steps)])
             for j in range(k):
@@ -230,8 +290,7 @@ def _e_step(held, cols):
     def run(batches):
         total = None
         for f in batches:
-            parts = [s[i : i + SEGMENT] for s in map(sequence, f["classes"]) for i in range(0, len(s), SEGMENT)]
-            got = held.value.expected(parts)
+            got = held.value.expected([sequence(x) for x in f["classes"]])
             total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
         if total is not None:
             starts, moves, emits = total

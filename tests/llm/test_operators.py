@@ -200,6 +200,46 @@ def test_baum_welch_raises_the_likelihood():
         m = hmm.HMM(s / s.sum(), a / a.sum(1, keepdims=True), (e + 1e-9) / (e + 1e-9).sum(0))
 
 
+def brute_expected(m, s):
+    """Plain forward and backward sums over one whole sequence."""
+    n, k = len(s), len(m.start)
+    a, b = np.zeros((n, k)), np.ones((n, k))
+    a[0] = m.start * m.emit[s[0]]
+    for t in range(1, n):
+        a[t] = (a[t - 1] @ m.move) * m.emit[s[t]]
+    for t in range(n - 2, -1, -1):
+        b[t] = m.move @ (m.emit[s[t + 1]] * b[t + 1])
+    p = a[-1].sum()
+    moves = sum((np.outer(a[t], m.emit[s[t + 1]] * b[t + 1]) * m.move / p for t in range(n - 1)), np.zeros((k, k)))
+    emits = np.zeros_like(m.emit)
+    for t in range(n):
+        emits[s[t]] += a[t] * b[t] / p
+    return a[0] * b[0] / p, moves, emits
+
+
+@pytest.mark.parametrize("length", [1, 3, 7, 64])
+def test_expected_counts_are_of_whole_texts_wherever_they_are_cut(length):
+    r = np.random.default_rng(3)
+    m = hmm.HMM.initial(np.array([0.4, 0.3, 0.2, 0.1]), states=3)
+    m.start = np.array([0.7, 0.2, 0.1])
+    seqs = [r.integers(0, 4, n) for n in (1, 2, 3, 6, 7, 8, 21, 22, 60, 1, 40)]
+    got = m.expected(seqs, length)
+    want = [sum(x) for x in zip(*(brute_expected(m, s) for s in seqs), strict=True)]
+    for x, y in zip(got, want, strict=True):
+        np.testing.assert_allclose(x, y, rtol=2e-5, atol=1e-6)
+    assert got[0].sum() == pytest.approx(len(seqs), rel=1e-5) and got[1].sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-5)
+
+
+def test_expected_counts_over_many_groups_and_no_sequence(monkeypatch):
+    monkeypatch.setattr(hmm, "_AT_ONCE", 4)
+    r = np.random.default_rng(4)
+    m = hmm.HMM.initial(np.array([0.5, 0.3, 0.2]), states=2)
+    seqs = [r.integers(0, 3, int(n)) for n in r.integers(1, 30, 25)]
+    for x, y in zip(m.expected(seqs, 5), m.expected(seqs, 1000), strict=True):
+        np.testing.assert_allclose(x, y, rtol=2e-5, atol=1e-6)
+    assert all(not x.any() for x in m.expected([], 5))
+
+
 # op4
 
 
