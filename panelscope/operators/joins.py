@@ -143,6 +143,31 @@ def event_scores(episodes: DataFrame, scored: DataFrame) -> DataFrame:
     return d.groupBy(*SERIES, "start_date", "end_date").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("mae"), (F.max("pred") - F.max("truth")).alias("peak_error"), F.datediff(first("pred"), first("truth")).cast("long").alias("peak_lag"))
 
 
+def event_extrema(episodes: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per episode: the predicted extremes of its evaluated days against the truth on the days
+    the catalogue declares (``peak_day``, ``low_day``; null for none): signed error and days apart.
+
+    The first of equal extremes counts. An anchor that is no evaluated day of the episode gives
+    nulls, and so matched controls, which carry their event's anchors, have them.
+    ``peak_error`` and ``timing_error`` are of the peak, or of the low where no peak can be judged.
+    """
+    known = scored.select(*SERIES, "ts", "truth", "pred").where("truth is not null and pred is not null and not isnan(truth) and not isnan(pred)")
+    d = days_inside(episodes.select(*SERIES, *keys, "start_date", "end_date", "peak_day", "low_day"), known, SERIES)
+    cell, day = F.struct("pred", "ts"), F.unix_date("ts")
+    of = lambda anchor: F.max(F.when(F.col("ts") == F.col(anchor), F.col("truth")))
+    g = d.groupBy(*SERIES, *keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max_by(cell, F.struct("pred", -day)).alias("_hi"), F.min_by(cell, F.struct("pred", day)).alias("_lo"),
+        of("peak_day").alias("_peak"), of("low_day").alias("_low"), F.max("peak_day").alias("_pd"), F.max("low_day").alias("_ld"),
+    )
+    apart = lambda x, anchor, truth: F.when(F.col(truth).isNotNull(), F.abs(F.datediff(f"{x}.ts", anchor)).cast("long"))
+    g = g.select(
+        *SERIES, *keys, "n", (F.col("_hi.pred") - F.col("_peak")).alias("peak_magnitude_error"), apart("_hi", "_pd", "_peak").alias("peak_timing_days"),
+        (F.col("_lo.pred") - F.col("_low")).alias("low_magnitude_error"), apart("_lo", "_ld", "_low").alias("low_timing_days"),
+    )
+    out = episodes.select(*SERIES, *keys, "start_date", "end_date").join(g, [*SERIES, *keys], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumns({"peak_error": F.coalesce("peak_magnitude_error", "low_magnitude_error"), "timing_error": F.coalesce("peak_timing_days", "low_timing_days")})
+
+
 def evaluated(scored: DataFrame, approved: Column) -> DataFrame:
     """The cells that count in a score: approved, hidden, with a finite truth and prediction."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelscope.plans import catalog, catalogues, designs, draws, events, fitted, inferences, joins, providers, relations, results, rules, scores, streams, studies  # noqa: F401
+from panelscope.plans import catalog, catalogues, designs, draws, events, fitted, frontiers, inferences, joins, providers, relations, results, rules, scores, streams, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.QUERIES | streams.QUERIES, catalog.SQL | streams.SQL
