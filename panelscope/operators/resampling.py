@@ -28,7 +28,7 @@ def resampled(clusters: DataFrame, by: list[str], strata: list[str], cluster: st
     c = stored(clusters.select(*group, *sums, n, (F.row_number().over(w.orderBy(cluster)) - 1).cast("long").alias("_i"), F.count(F.lit(1)).over(w).alias("_m")), "clusters")
     slots = c.select(*group, "_i", "_m", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     picks = slots.select(*group, "draw", pick_of(seed, F.col("_m"), *group, "draw", "_i").alias("_i"))
-    met = picks.join(c.drop("_m"), [*group, "_i"])
+    met = picks.join(c.drop("_m").hint("merge"), [*group, "_i"])  # clusters grow with the data
     total = met.groupBy(*by, "draw").agg(F.sum(n).alias("_n"), *(F.sum(s).alias(s) for s in sums))
     return total.select(*by, "draw", F.array(*(F.round(F.col(s) / F.col("_n"), 9) for s in sums)).alias("means"))
 
