@@ -2,35 +2,64 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelscope.functions.sqlfn import hash_rank
+from panelscope.functions.picks import drawn_sums
 from panelscope.sources.storage import stored
 
 
-def pick_of(seed: int, n: Column, *keys: str) -> Column:
-    """A number from 0 to n - 1 by hash of the keys."""
-    return F.pmod(F.conv(F.substring(hash_rank(F.lit(str(seed)), *keys), 1, 8), 16, 10).cast("long"), n)
+#: Clusters of a stratum that a task holds at a time, draws of clusters it makes, tasks a stratum is cut into at most.
+BLOCK, PIECE, WORK, CUTS = 2**20, 4096, 2**24, 32
 
 
 def resampled(clusters: DataFrame, by: list[str], strata: list[str], cluster: str, sums: list[str], n: str, draws: int, seed: int) -> DataFrame:
     """(by, draw, means): the mean of each column of ``sums`` over ``n`` when in every draw as many
     clusters are drawn, with replacement, as each stratum has.
 
-    ``clusters``: a row for each cluster of (by, strata), with its sums and its n. Every cluster
-    stands for one slot of its stratum, and a slot of a draw takes the cluster whose number its
-    hash gives: an equi-join on (stratum, number), then sums combined before the shuffle.
-    All columns of a cluster go together, so a draw is the same for all of them.
+    ``clusters``: a row for each cluster of (by, strata), with its sums and its n, none of them null.
+    Every cluster stands for one slot of its stratum, and a slot of a draw takes the cluster whose
+    number its hash gives. All columns of a cluster go together, so a draw is the same for all of them.
+
+    The draws of a stratum are cut into tasks. Each gets the stratum's sums, packed in pieces, makes
+    its draws by numpy and returns their sums: no row is made for a single pick, and the sums travel
+    at most ``CUTS`` times. Of a stratum of more than ``BLOCK`` clusters a task has one block, and
+    hashes all slots to find those that fall into it. Strata with a null key are not drawn.
     """
     group = [*by, *strata]
     w = Window.partitionBy(*group)
-    c = stored(clusters.select(*group, *sums, n, (F.row_number().over(w.orderBy(cluster)) - 1).cast("long").alias("_i"), F.count(F.lit(1)).over(w).alias("_m")), "clusters")
-    slots = c.select(*group, "_i", "_m", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    picks = slots.select(*group, "draw", pick_of(seed, F.col("_m"), *group, "draw", "_i").alias("_i"))
-    met = picks.join(c.drop("_m").hint("merge"), [*group, "_i"])  # clusters grow with the data
-    total = met.groupBy(*by, "draw").agg(F.sum(n).alias("_n"), *(F.sum(s).alias(s) for s in sums))
-    return total.select(*by, "draw", F.array(*(F.round(F.col(s) / F.col("_n"), 9) for s in sums)).alias("means"))
+    known = clusters.where(" and ".join(f"`{g}` is not null" for g in group))
+    c = stored(known.select(*group, F.array(*(F.col(x).cast("double") for x in (n, *sums))).alias("_x"), (F.row_number().over(w.orderBy(cluster)) - 1).cast("long").alias("_i"), F.count(F.lit(1)).over(w).alias("_m")), "clusters")
+    pieces = c.groupBy(*group, "_m", F.expr(f"_i div {PIECE}").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_c"))
+    pieces = pieces.select(*group, "_m", F.expr(f"_p * {PIECE} div {BLOCK}").alias("_b"), F.col("_p"), F.flatten(F.transform("_c", lambda r: r["_x"])).alias("_x"))
+    each = F.greatest(F.lit(-(-draws // CUTS)), F.least(F.lit(draws), F.expr(f"cast({WORK} div _m as int)")))  # draws of a task
+    cut = pieces.withColumn("_each", each).withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(draws), F.col("_each"))))
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.col(g).cast("string") for g in group))
+    task = [*group, "_b", "_first"]
+    # as many partitions as tasks, for the few bytes of a task stand for much work
+    tasks = c.where("_i = 0").agg(F.sum(F.ceil(F.lit(draws) / each) * F.ceil(F.col("_m") / BLOCK))).first()[0] or 1
+    spread = cut.withColumn("_text", text).repartition(min(int(tasks), 2000), *task)
+    kept = [f for f in clusters.schema.fields if f.name in by]
+    schema = T.StructType([*kept, T.StructField("draw", T.IntegerType()), T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    width = 1 + len(sums)
+
+    def drawn(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["_p"].to_numpy())
+        x = np.concatenate([table["_x"].combine_chunks()[int(k)].values.to_numpy() for k in order]).reshape(-1, width)
+        m, first = table["_m"][0].as_py(), table["_first"][0].as_py()
+        last = min(draws, first + table["_each"][0].as_py() - 1)
+        found = drawn_sums(table["_text"][0].as_py().encode(), first, last, m, table["_b"][0].as_py() * BLOCK, [np.ascontiguousarray(col) for col in x.T])
+        k = last - first + 1
+        same = pa.array(np.zeros(k, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * width), pa.array(found.T.ravel()))
+        return pa.table([*(table[f.name].take(same) for f in kept), pa.array(np.arange(first, last + 1, dtype=np.int32)), lists], names=[*(f.name for f in kept), "draw", "_s"])
+
+    parts = spread.groupBy(*task).applyInArrow(drawn, schema)
+    total = parts.groupBy(*by, "draw").agg(*(F.sum(F.col("_s")[k]).alias(f"_s{k}") for k in range(width)))
+    return total.select(*by, "draw", F.array(*(F.round(F.col(f"_s{k}") / F.col("_s0"), 9) for k in range(1, width))).alias("means"))
 
 
 def interval(draws: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
