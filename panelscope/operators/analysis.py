@@ -77,11 +77,14 @@ def first_loss(curve: DataFrame, by: list[str], gap: str, skill: str, threshold:
 
 def pava(curve: DataFrame, by: list[str], x: str, y: str, weight: str) -> DataFrame:
     """``curve`` with ``fit``, its weighted non-increasing fit, and the number of the ``block`` of
-    gaps that share one. A curve is an array: its gaps are few."""
+    gaps that share one, to nine digits: blocks of one mean may differ in the last bit of their sums.
+    A curve is an array: its gaps are few."""
     lines = curve.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(x, F.col(y).cast("double").alias("v"), F.col(weight).cast("double").alias("w")))).alias("_c"))
     lines = lines.withColumns({"_v": F.transform("_c", lambda c: c["v"]), "_w": F.transform("_c", lambda c: c["w"])})
-    fit = lines.select(*by, F.explode(F.arrays_zip("_c", monotone("_v", "_w").alias("_f"))).alias("z"))
-    return curve.join(fit.select(*by, F.col(f"z._c.{x}").alias(x), F.col("z._f.fit").alias("fit"), F.col("z._f.block").cast("long").alias("block")), [*by, x])
+    lines = lines.withColumn("_f", F.transform(monotone("_v", "_w"), lambda z: z["fit"])).withColumn("_d", F.array_distinct(F.transform("_f", lambda f: F.round(f, 9))))
+    fit = lines.select(*by, "_d", F.explode(F.arrays_zip("_c", "_f")).alias("z"))
+    block = F.array_position("_d", F.round("z._f", 9)) - 1
+    return curve.join(fit.select(*by, F.col(f"z._c.{x}").alias(x), F.col("z._f").alias("fit"), block.cast("long").alias("block")), [*by, x])
 
 
 def shapley(values: DataFrame, by: list[str], mask: str, value: str, players: int) -> DataFrame:

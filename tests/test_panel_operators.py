@@ -132,3 +132,9 @@ def test_finalists_never_gather_the_rows(spark):
     assert got.columns == ["model", "score", "reason"]
     assert {r["model"]: r["reason"] for r in got.collect()} == {"a": "within_margin", "b": "within_margin", "c": "mandatory", "d": "dropped", "e": "dropped"}
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pava_blocks_of_one_mean_are_one_block(spark):
+    # (2 * 0.1 + 0.4) / 3 is above 0.2 by its last bit
+    df = spark.createDataFrame([("a", 1, 0.1, 2), ("a", 2, 0.4, 1), ("a", 3, 0.2, 1), ("a", 4, 0.1, 1)], "k string, x int, y double, w int")
+    assert column(analysis.pava(df, ["k"], "x", "y", "w"), "block", "x") == [0, 0, 0, 1]
