@@ -132,10 +132,18 @@ def node_importance(df: DataFrame, by: list[str], node: str, value: str, none: s
     return m.where(F.col(node) != none).join(ref, by).select(*by, node, (F.col("m") - F.col("reference")).alias("importance"))
 
 
-def date_coverage(iv: DataFrame) -> DataFrame:
-    """Each day that an entity's intervals cover: how many, and which."""
-    d = iv.select("entity", "interval_id", F.explode(F.sequence("start_date", "end_date")).alias("day"))
-    return d.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("interval_id")), lambda x: x.cast("string")), ",").alias("ids"))
+def date_coverage(iv: DataFrame, width: int = 32) -> DataFrame:
+    """Each day that an entity's intervals cover: how many, and which. Intervals are shuffled by bins
+    of ``width`` days, and the days of a bin are made after the shuffle."""
+    ends = [F.unix_date(c) for c in ("start_date", "end_date")]
+    a = iv.where("start_date is not null and end_date is not null").select("entity", F.struct("interval_id", F.least(*ends).alias("s"), F.greatest(*ends).alias("e")).alias("_c"))
+    a = a.select("*", F.explode(F.expr(f"sequence(floor(_c.s / {width}), floor(_c.e / {width}))")).alias("_bin"))
+    g = a.groupBy("entity", "_bin").agg(F.array_sort(F.collect_list("_c")).alias("_c"), F.min("_c.s").alias("_s"), F.max("_c.e").alias("_e"))
+    days = F.expr(f"sequence(cast(greatest(_s, _bin * {width}) as int), cast(least(_e, _bin * {width} + {width - 1}) as int))")
+    d = g.select("entity", "_c", F.explode(days).alias("_d"))
+    d = d.select("entity", F.date_from_unix_date("_d").alias("day"), F.filter("_c", lambda c: (c["s"] <= F.col("_d")) & (F.col("_d") <= c["e"])).alias("_on")).where("size(_on) > 0")
+    ids = F.array_compact(F.array_distinct(F.transform("_on", lambda c: c["interval_id"].cast("string"))))
+    return d.select("entity", "day", F.size("_on").cast("long").alias("n"), F.array_join(ids, ",").alias("ids"))
 
 
 def seed_coverage(df: DataFrame, unit: list[str], seed: str) -> DataFrame:
