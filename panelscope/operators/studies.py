@@ -126,12 +126,13 @@ def run_diagnostics(log: DataFrame, model: str, epoch: str, loss: str) -> DataFr
 
 def cell_overlaps(cells: DataFrame, name: str, cell: list[str]) -> DataFrame:
     """Pairs of gap sets that share a cell: shared cells, Jaccard index, overlap coefficient, sameness.
-    Pairs come from an equi-join on cells, so only sets that touch meet."""
+    Pairs come from an equi-join on cells, so only sets that touch meet. Cells are often exploded from
+    a small table, whose size Spark takes for theirs: the merge joins keep them from being broadcast."""
     c = cells.select(name, *cell).distinct()
     size = c.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
     o = c.select(*cell, F.col(name).alias("other"))
-    both = c.join(o, cell).where(F.col(name) < F.col("other")).groupBy(name, "other").agg(F.count(F.lit(1)).alias("shared"))
-    met = both.join(size, name).join(size.select(F.col(name).alias("other"), F.col("n").alias("m")), "other")
+    both = c.join(o.hint("merge"), cell).where(F.col(name) < F.col("other")).groupBy(name, "other").agg(F.count(F.lit(1)).alias("shared"))
+    met = both.join(size.hint("merge"), name).join(size.select(F.col(name).alias("other"), F.col("n").alias("m")).hint("merge"), "other")
     s, n, m = F.col("shared"), F.col("n"), F.col("m")
     return met.select(name, "other", "shared", (s / (n + m - s)).alias("jaccard"), (s / F.least(n, m)).alias("overlap"), ((s == n) & (s == m)).alias("duplicate"))
 
