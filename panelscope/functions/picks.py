@@ -9,55 +9,82 @@ import numpy as np
 _ROTATE = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
 _SINES = [int(abs(math.sin(t + 1)) * 2**32) & 0xFFFFFFFF for t in range(64)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
-#: Texts hashed side by side; their words stay in a core's cache.
-TILE = 16384
+#: Texts hashed side by side; seven arrays of them stay in a core's cache.
+TILE = 32768
 
 
-def _compress(state: list[np.ndarray], words: list[np.ndarray]) -> list[np.ndarray]:
-    """The state after one block of 16 words. Words and states broadcast to the shape of the tile."""
-    shape = np.broadcast_shapes(*(x.shape for x in (*state, *words)))
-    a, b, c, d = (np.array(np.broadcast_to(s, shape)) for s in state)
-    f, t = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
-    for step in range(64):
-        turn, g = divmod(step, 16)[0], (step, 5 * step + 1, 3 * step + 5, 7 * step)[step // 16] % 16
+def _compress(state: list[np.ndarray], words: list[tuple], shape: tuple[int, int], last: bool) -> list[np.ndarray]:
+    """The state after one block of 16 words; of the ``last`` block its first number alone.
+
+    A word is a constant and, where not None, a part of the draw (a column) and one of the slot (a
+    row). Numbers are small until the first slot comes in; then arrays of the tile are reused."""
+    a, b, c, d = state
+    full = any(x.shape == shape for x in state)
+    room: list = [None] * 7
+    x = None
+    for step in range(61 if last else 64):  # what the last three make is not in the first number
+        turn, g = step // 16, (step, 5 * step + 1, 3 * step + 5, 7 * step)[step // 16] % 16
+        const, *parts = words[g]
+        full = full or parts[1] is not None
+        if full and room[0] is None:
+            room = [np.empty(shape, np.uint32) for _ in range(7)]
+        f, t = room[4:6]
         if turn == 0:
-            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+            f = np.bitwise_xor(np.bitwise_and(np.bitwise_xor(c, d, out=f), b, out=f), d, out=f)
         elif turn == 1:
-            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
-        elif turn == 2:
-            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
-        else:
-            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
-        np.add(a, f, out=a)
-        np.add(a, words[g] + np.uint32(_SINES[step]), out=a)
+            f = np.bitwise_xor(np.bitwise_and(np.bitwise_xor(b, c, out=f), d, out=f), c, out=f)
+        elif turn == 3:
+            f = np.bitwise_xor(np.bitwise_or(np.invert(d, out=f), b, out=f), c, out=f)
+        elif step % 2 == 0:
+            x = np.bitwise_xor(b, c, out=room[6])
+            f = np.bitwise_xor(x, d, out=f)
+        else:  # c and d are what b and c were
+            f = np.bitwise_xor(b, x, out=f)
+        f = np.add(f, a, out=room[4])
+        f = np.add(f, np.uint32((const + _SINES[step]) & 0xFFFFFFFF), out=room[4])
+        for part in parts:
+            if part is not None:
+                f = np.add(f, part, out=room[4])
         s = _ROTATE[turn][step % 4]
-        np.left_shift(a, np.uint32(s), out=t), np.right_shift(a, np.uint32(32 - s), out=a), np.bitwise_or(a, t, out=a)
-        np.add(a, b, out=a)
-        a, b, c, d = d, a, b, c
-    return [x + s for x, s in zip((a, b, c, d), state, strict=True)]
+        t = np.left_shift(f, np.uint32(s), out=t)
+        f = np.bitwise_or(np.right_shift(f, np.uint32(32 - s), out=room[4]), t, out=room[4])
+        # the new b lies where a did
+        a, b, c, d = d, np.add(f, b, out=room[step % 4]), b, c
+    return [b + state[0]] if last else [y + s for y, s in zip((a, b, c, d), state, strict=True)]
 
 
-def _digits(numbers: np.ndarray, length: int) -> list[np.ndarray]:
-    return [(numbers // 10 ** (length - 1 - p) % 10 + 48).astype(np.uint32) for p in range(length)]
+def _digits(numbers: np.ndarray, at: int) -> dict[int, np.ndarray]:
+    """What the digits of the numbers add to the words, if their text begins at byte ``at``."""
+    found: dict[int, np.ndarray] = {}
+    length = len(str(int(numbers.flat[0])))
+    for p in range(length):
+        word, byte = divmod(at + p, 4)
+        digit = (numbers // 10 ** (length - 1 - p) % 10 + 48).astype(np.uint32) << np.uint32(8 * byte)
+        found[word] = found[word] + digit if word in found else digit
+    return found
 
 
-def first_words(prefix: bytes, draws: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def first_words(prefix: bytes, draws: np.ndarray, slots: np.ndarray, known: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """The first 8 hex digits of ``md5(prefix|draw|slot)`` as numbers, for every draw (rows) and slot.
-    All draws, and all slots, have the same number of digits."""
-    across, down = draws.astype(np.int64)[:, None], slots.astype(np.int64)[None, :]
-    one = lambda text: [np.full((1, 1), b, np.uint32) for b in text]
-    text = one(prefix + b"|") + _digits(across, len(str(int(draws[0])))) + one(b"|") + _digits(down, len(str(int(slots[0]))))
-    bits = 8 * len(text)
-    text += one(b"\x80" + b"\0" * ((55 - len(text)) % 64) + bits.to_bytes(8, "little"))
+    All draws, and all slots, have the same number of digits. ``known``: ``slot_words`` of the slots."""
+    wide, tall = len(str(int(slots[0]))), len(str(int(draws[0])))
+    text = prefix + b"|" + bytes(tall) + b"|" + bytes(wide)
+    consts = np.frombuffer(text + b"\x80" + bytes((55 - len(text)) % 64) + (8 * len(text)).to_bytes(8, "little"), "<u4").tolist()
+    across = _digits(draws.astype(np.int64)[:, None], len(prefix) + 1)
+    down = slot_words(prefix, tall, slots) if known is None else known
+    words = [(k, across.get(w), down.get(w)) for w, k in enumerate(consts)]
     state = [np.full((1, 1), s, np.uint32) for s in _START]
-    for block in range(0, len(text), 64):
-        words = []
-        for w in range(block, block + 64, 4):
-            words.append(text[w] | text[w + 1] << np.uint32(8) | text[w + 2] << np.uint32(16) | text[w + 3] << np.uint32(24))
-        state = _compress(state, words)
+    shape = (len(draws), len(slots))
+    for block in range(0, len(words), 16):
+        state = _compress(state, words[block : block + 16], shape, block + 16 == len(words))
     return state[0].byteswap()
 
 
+def slot_words(prefix: bytes, tall: int, slots: np.ndarray) -> dict[int, np.ndarray]:
+    """What the slots' digits add to the words, behind draws of ``tall`` digits."""
+    return _digits(slots.astype(np.int64)[None, :], len(prefix) + 2 + tall)
+
+
 def _same_length(lo: int, hi: int):
     """The range from lo up to hi - 1, cut where the number of digits changes."""
     while lo < hi:
@@ -74,21 +101,23 @@ def drawn_sums(prefix: bytes, first: int, last: int, n: int, base: int, columns:
     out = np.zeros((len(columns), last - first + 1))
     for a, b in _same_length(first, last + 1):
         for lo, hi in _same_length(0, n):
-            wide = min(hi - lo, TILE)
+            wide = -(-(hi - lo) // -(-(hi - lo) // TILE))
             tall = max(1, TILE // wide)
             for s in range(lo, hi, wide):
                 slots = np.arange(s, min(s + wide, hi))
+                known = slot_words(prefix, len(str(a)), slots)
                 for x in range(a, b, tall):
                     y = min(x + tall, b)
-                    taken = first_words(prefix, np.arange(x, y), slots)
+                    taken = first_words(prefix, np.arange(x, y), slots, known)
                     taken -= taken // np.uint32(n) * np.uint32(n)
+                    at = taken.astype(np.intp)
                     if size == n:
                         for k, c in enumerate(columns):
-                            out[k, x - first : y - first] += c[taken].sum(axis=1)
+                            out[k, x - first : y - first] += c.take(at).sum(axis=1)
                     else:
-                        at = taken.astype(np.int64) - base
+                        at -= base
                         here = (at >= 0) & (at < size)
                         at[~here] = 0
                         for k, c in enumerate(columns):
-                            out[k, x - first : y - first] += np.where(here, c[at], 0.0).sum(axis=1)
+                            out[k, x - first : y - first] += np.where(here, c.take(at), 0.0).sum(axis=1)
     return out

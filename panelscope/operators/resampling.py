@@ -13,7 +13,7 @@ from panelscope.sources.storage import stored
 
 
 #: Clusters of a stratum that a task holds at a time, draws of clusters it makes, tasks a stratum is cut into at most.
-BLOCK, PIECE, WORK, CUTS = 2**20, 4096, 2**24, 32
+BLOCK, PIECE, WORK, CUTS = 2**20, 4096, 2**23, 32
 
 
 def resampled(clusters: DataFrame, by: list[str], strata: list[str], cluster: str, sums: list[str], n: str, draws: int, seed: int) -> DataFrame:
@@ -39,9 +39,9 @@ def resampled(clusters: DataFrame, by: list[str], strata: list[str], cluster: st
     cut = pieces.withColumn("_each", each).withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(draws), F.col("_each"))))
     text = F.concat_ws("|", F.lit(str(seed)), *(F.col(g).cast("string") for g in group))
     task = [*group, "_b", "_first"]
-    # as many partitions as tasks, for the few bytes of a task stand for much work
+    # more partitions than tasks, for the few bytes of a task stand for much work and two should seldom meet
     tasks = c.where("_i = 0").agg(F.sum(F.ceil(F.lit(draws) / each) * F.ceil(F.col("_m") / BLOCK))).first()[0] or 1
-    spread = cut.withColumn("_text", text).repartition(min(int(tasks), 2000), *task)
+    spread = cut.withColumn("_text", text).repartition(min(4 * int(tasks), 2000), *task)
     kept = [f for f in clusters.schema.fields if f.name in by]
     schema = T.StructType([*kept, T.StructField("draw", T.IntegerType()), T.StructField("_s", T.ArrayType(T.DoubleType()))])
     width = 1 + len(sums)

@@ -55,3 +55,12 @@ def test_no_row_is_made_for_a_single_pick(spark):
     df = spark.range(500).selectExpr("'a' AS g", "0L AS s", "id AS c", "double(id) AS v", "1L AS n")
     plan = resampled(df)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_digits_of_slots_are_made_once_for_all_draws(monkeypatch):
+    made = []
+    monkeypatch.setattr(picks, "slot_words", lambda *a, of=picks.slot_words: made.append(len(a[2])) or of(*a))
+    monkeypatch.setattr(picks, "TILE", 64)
+    got = picks.drawn_sums(b"k", 10, 59, 300, 0, [np.arange(300.0)])
+    assert sorted(made) == [10, *[45] * 2, *[50] * 4]  # tiles of one size between 0, 10, 100 and 300
+    assert got[0].tolist() == [sum(number("k", d, i) % 300 for i in range(300)) for d in range(10, 60)]
