@@ -25,6 +25,24 @@ def paired_units(rows: DataFrame, by: list[str], unit: str, gap: str, value: str
     return u.join(tested, by).select(*by, unit, *at, whole.alias("whole"))
 
 
+def _whole_units(rows: DataFrame, by: list[str], unit: str, gap: str, value: str, gaps: list[int]) -> tuple[DataFrame, DataFrame]:
+    """``paired_units``, stored, and the values of the whole ones as rows (by, unit, gap, v)."""
+    u = stored(paired_units(rows, by, unit, gap, value, gaps), "paired")
+    points = F.explode(F.arrays_zip(F.lit(gaps).cast("array<long>").alias("g"), F.array(*(f"g{i}" for i in range(len(gaps)))).alias("v")))
+    long = u.where("whole").select(*by, unit, points.alias("_p")).select(*by, unit, F.col("_p.g").alias("gap"), F.col("_p.v").alias("v")).where("v is not null")
+    return u, long
+
+
+def _drawn_curve(long: DataFrame, by: list[str], unit: str, draws: int, seed: int) -> DataFrame:
+    drawn = bootstrap_mean(long, [*by, "gap"], unit, "v", draws, seed)
+    return stored(drawn.select(*by, "gap", F.col("n_clusters").alias("n"), *(F.round(c, 9).alias(k) for c, k in (("estimate", "mean"), ("ci_lower", "ci_lower"), ("ci_upper", "ci_upper")))), "curve")
+
+
+def paired_curves(rows: DataFrame, by: list[str], unit: str, gap: str, value: str, gaps: list[int], draws: int, seed: int) -> DataFrame:
+    """The curve of ``frontier_summary`` alone: no whole curve is drawn for it."""
+    return _drawn_curve(_whole_units(rows, by, unit, gap, value, gaps)[1], by, unit, draws, seed)
+
+
 def frontier_summary(rows: DataFrame, by: list[str], unit: str, gap: str, value: str, gaps: list[int], draws: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(summary by group, curve by group and gap) over units that have whole curves.
 
@@ -34,16 +52,13 @@ def frontier_summary(rows: DataFrame, by: list[str], unit: str, gap: str, value:
     the declared grid has a reason in place of frontiers, and so has one without a whole curve.
     ``gaps`` ascends; groups and units are not null.
     """
-    u = stored(paired_units(rows, by, unit, gap, value, gaps), "paired")
+    u, long = _whole_units(rows, by, unit, gap, value, gaps)
     at = [f"g{i}" for i in range(len(gaps))]
-    points = F.explode(F.arrays_zip(F.lit(gaps).cast("array<long>").alias("g"), F.array(*at).alias("v")))
-    long = u.where("whole").select(*by, unit, points.alias("_p")).select(*by, unit, F.col("_p.g").alias("gap"), F.col("_p.v").alias("v")).where("v is not null")
     lacking = F.array_compact(F.array(*(F.when(F.count_if(F.col("whole") & F.col(g).isNotNull()) == 0, F.lit(str(x))) for g, x in zip(at, gaps, strict=True))))
     groups = u.groupBy(*by).agg(F.count_if("whole").alias("n_units"), F.count_if(~F.col("whole")).alias("n_incomplete"), F.array_join(lacking, ",").alias("missing_gaps"))
     groups = stored(groups.withColumn("grid_complete", F.col("missing_gaps") == ""), "groups")
 
-    drawn = bootstrap_mean(long, [*by, "gap"], unit, "v", draws, seed)
-    curve = stored(drawn.select(*by, "gap", F.col("n_clusters").alias("n"), *(F.round(c, 9).alias(k) for c, k in (("estimate", "mean"), ("ci_lower", "ci_lower"), ("ci_upper", "ci_upper")))), "curve")
+    curve = _drawn_curve(long, by, unit, draws, seed)
     full = groups.where("grid_complete").select(*by)
     tested = curve.join(full, by, "left_semi")
     lower = first_loss(tested.where("ci_lower is not null"), by, "gap", "ci_lower", 0.0).select(*by, F.col("frontier").alias("statistical_frontier"), F.col("censoring").alias("statistical_censoring"))

@@ -55,6 +55,13 @@ def test_dual_frontiers_are_the_summaries_of_each_denominator(spark):
     assert sorted(s) == ["x", "y"] and s["y"]["reason"] == "no value at gaps 4" and s["x"]["mean_frontier"] == pytest.approx(3 + 0.025 / 0.125)
 
 
+def test_curves_alone_draw_no_whole_curves(spark, monkeypatch):
+    rows = curves(spark, [("a", f"u{i}", [0.8, 0.5, 0.2, -0.2 - i]) for i in range(5)])
+    want = frontiers.frontier_summary(rows, ["model"], "unit", "gap", "skill", GAPS, 20, 1)[1].collect()
+    monkeypatch.setattr(frontiers, "frontier_interval", None)
+    assert sorted(frontiers.paired_curves(rows, ["model"], "unit", "gap", "skill", GAPS, 20, 1).collect()) == sorted(want)
+
+
 def test_no_rows_no_frontier(spark):
     got, curve = frontiers.frontier_summary(curves(spark, []), ["model"], "unit", "gap", "skill", GAPS, 5, 1)
     assert got.count() == 0 and curve.count() == 0
