@@ -8,18 +8,23 @@ pairs at exactly 0.8 do (``plan``); closer pairs meet more surely. In a cell a t
 paired with its next NEAR neighbours in fingerprint order, so no group is paired whole.
 Pairs within FAR bits of a 64-bit SimHash are verified by exact Jaccard. First each text's
 closest neighbour, and the least of those within CLOSE bits, which draws groups together; then
-all pairs that still lead from one component to another. Only the texts that have any neighbour
-are searched again, and the many pairs inside a component, which could join nothing, are never
-made; here a text meets WIDE neighbours. FAR holds 99.5 % of the pairs at exactly 0.8, CLOSE about
-six in ten.
+the closest pair of every two components that a second search brings together; last all pairs
+that a third one finds to lead from one component to another still. Only the texts that have any
+neighbour are searched again, only those that met another component a third time, and the many
+pairs inside a component, which could join nothing, are never made; in both a text meets WIDE
+neighbours. FAR holds 99.5 % of the pairs at exactly 0.8, CLOSE about six in ten.
 
 Where a cell holds more than a text and its neighbours, pairs may be crowded out of it. Texts of
-cells too full for the first search take part in the second; those of cells too full for that
+cells too full for one search take part in the next; those of cells too full for the last
 as well (pages of one template), of several components, are held against each other once more,
 exactly (``by_rare_shingles``): two sets so similar share one of their rarest shingles, near the
 front of both in the order of rarity. What such texts have in common is not rare among them, so
 this makes few pairs, and none inside a component.
 
+Texts are long, and joins would send all of them over the network to find a few. So the keys that
+are looked for are first marked in a bitmap of fixed size (``marked``), which is broadcast: only the
+rows that it lets through go into the join, which decides.
+
 A null or empty text has no shingles and is a copy of its like only; under five words all
 words are one shingle. Repeated rows share a text and weigh nothing in the search.
 """
@@ -40,6 +45,8 @@ from panelscope.llm.simhash import SEED, components
 
 SHINGLE, JACCARD, RECALL, NEAR, WIDE, FAR, CLOSE = 5, 0.8, 0.95, 3, 8, 17, 10
 _BLOCK = 1 << 13
+#: Bits of the bitmap that is broadcast (at most 8 MB), in pieces of 2^15.
+MARKS = 1 << 26
 
 
 def plan(n: int) -> tuple[int, int]:
@@ -94,10 +101,22 @@ def key_udf():
     return F.pandas_udf("long")(lambda s: pd.Series([text_key(t) for t in s], dtype="int64"))
 
 
+def marked(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` and ``_ps_marked``: true wherever ``column`` is among ``keys``, and for a few others."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    bit, piece = (lambda c, f=f: f(place(c) + 1) for f in (F.bitmap_bit_position, F.bitmap_bucket_number))
+    bits = keys.groupBy(piece(F.col(key)).alias("_ps_piece")).agg(F.bitmap_construct_agg(bit(F.col(key))).alias("_ps_bits"))
+    byte = F.conv(F.hex(F.substring("_ps_bits", F.expr("cast(_ps_bit div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.expr("(_ps_byte >> cast(_ps_bit % 8 as int)) & 1") == 1, F.lit(False))
+    met = df.withColumns({"_ps_piece": piece(F.col(column)), "_ps_bit": bit(F.col(column))}).join(F.broadcast(bits), "_ps_piece", "left")
+    return met.withColumn("_ps_byte", byte).withColumn("_ps_marked", on).select(*df.columns, "_ps_marked")
+
+
 def candidates(texts: DataFrame, bits: int, known: DataFrame | None = None) -> DataFrame:
     """(key, o, crowded): for a text in a cell the neighbours (key, d) it is paired with, ``d`` bits
     of the fingerprint away, and whether the cell holds more than that; repeats included. With
-    ``known`` (node, root), only pairs of two components, and only cells that hold several."""
+    ``known`` (node, root), only pairs of two components, and only cells that hold several; then
+    a row has its root, too, and so have the neighbours."""
     masks = [sum(1 << i for i in c) for k in range(2) for c in combinations(range(bits), k)]
     if known is not None:
         texts = texts.join(known, F.col("key") == F.col("node"), "left").select("key", "fp", "short", F.coalesce("root", "key").alias("root"))
@@ -114,9 +133,10 @@ def candidates(texts: DataFrame, bits: int, known: DataFrame | None = None) -> D
     d = {i: F.bit_count(F.col("fp").bitwiseXOR(F.col(f"fp{i}"))) for i in steps}
     if known is not None:
         d = {i: F.when(F.col("root") != F.col(f"root{i}"), x) for i, x in d.items()}
-    of = F.array(*[F.struct(F.col(f"key{i}").alias("key"), d[i].alias("d")) for i in steps])
+    kept = [c for c in own if c != "fp"]
+    of = F.array(*[F.struct(*(F.col(f"{c}{i}").alias(c) for c in kept), d[i].alias("d")) for i in steps])
     # nulls are passed over
-    return rows.where((F.least(*d.values()) <= FAR) | F.col("crowded")).select("key", F.filter(of, lambda o: o["d"] <= FAR).alias("o"), "crowded")
+    return rows.where((F.least(*d.values()) <= FAR) | F.col("crowded")).select(*kept, F.filter(of, lambda o: o["d"] <= FAR).alias("o"), "crowded")
 
 
 def by_rare_shingles(sets: DataFrame) -> DataFrame:
@@ -160,24 +180,30 @@ def classes(docs: DataFrame) -> DataFrame:
     near = both.select(ways.alias("w")).where("w.a is not null").groupBy(F.col("w.a").alias("key")).agg(F.min_by("w.b", F.when(F.col("w.b").isNotNull(), F.struct("w.d", "w.b"))).alias("other"), F.min(close).alias("least"))
     near = materialize(near, "near")
     keyed = docs.select(key_udf()("text").alias("key"), "text")
-    had = keyed.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    had = marked(keyed, "key", near, "key").where("_ps_marked").join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = materialize(had.select("key", F.pandas_udf("array<long>")(lambda s: s.map(lambda t: shingles(t).view(np.int64)))("text").alias("set")), "sets")
     to = F.explode(F.array_compact(F.array("other", "least")))
     closest = near.select("key", to.alias("other")).select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
     first = materialize(verified(closest, sets), "links")
+    pair = [F.greatest("key", "x.key").alias("a"), F.least("key", "x.key").alias("b")]
     again = materialize(candidates(texts.join(near.select("key"), "key", "left_semi"), bits, components(first)).distinct(), "again")
-    crossing = again.select("key", F.explode("o").alias("x")).select(F.greatest("key", "x.key").alias("a"), F.least("key", "x.key").alias("b")).distinct()
-    second = materialize(first.unionByName(verified(crossing, sets)), "links")
-    crowd = again.where("crowded").select("key").distinct()
-    done = [texts, near, first]
+    between = again.select("key", "root", F.explode("o").alias("x")).groupBy(F.greatest("root", "x.root"), F.least("root", "x.root"))
+    nearest = between.agg(F.min(F.struct("x.d", *pair)).alias("p")).select("p.a", "p.b").distinct()
+    second = materialize(first.unionByName(verified(nearest, sets)), "links")
+    still = again.select("key").distinct()
+    last = materialize(candidates(texts.join(still, "key", "left_semi"), bits, components(second)).distinct(), "last")
+    crossing = last.select("key", F.explode("o").alias("x")).select(*pair).distinct()
+    third = materialize(second.unionByName(verified(crossing, sets)), "links")
+    crowd = last.where("crowded").select("key").distinct()
+    done = [texts, near, first, second, again]
     if crowd.isEmpty():
-        links = second
+        links = third
     else:
-        roots = components(second)
+        roots = components(third)
         ranked = crowd.join(sets, "key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "set")
-        links = materialize(second.unionByName(verified(by_rare_shingles(ranked), sets)), "links")
-        done.append(second)
-    for table in (*done, sets, again):
+        links = materialize(third.unionByName(verified(by_rare_shingles(ranked), sets)), "links")
+        done.append(third)
+    for table in (*done, sets, last):
         discard(table)
     of = components(links)
     return every.select("doc_id", "key").join(of, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
@@ -193,7 +219,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r")).select("r.doc_id", "r.key")
     rows, ids = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if rows == ids:
-        return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    marked = docs.withColumn("_ps_key", key_udf()("text"))
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["doc_id"]) & (marked["_ps_key"] == first["key"]), "left_semi")
+        # most documents are alone in their class: they stay without a join
+        several = found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "root", "left_semi")
+        of = marked(docs, "doc_id", several, "doc_id")
+        alone = of.where("not _ps_marked").drop("_ps_marked")
+        return alone.unionByName(of.where("_ps_marked").drop("_ps_marked").join(first, "doc_id", "left_semi").select(*docs.columns))
+    keyed = docs.withColumn("_ps_key", key_udf()("text"))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["doc_id"]) & (keyed["_ps_key"] == first["key"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "_ps_key"]).drop("_ps_key")

@@ -101,3 +101,32 @@ def test_near_duplicates_find_copies_among_pages_of_one_template(spark):
     kept = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "").collect()]
     assert sum(i % 2 == 0 for i in kept) == 1500  # no two strangers are joined
     assert sum(i % 2 for i in kept) <= 15  # nearly every copy goes
+
+
+def test_texts_go_into_joins_only_if_marked(spark, monkeypatch):
+    """The bitmap misses no key and lets few others through; a null key is never marked wrongly."""
+    monkeypatch.setattr(near_copies, "MARKS", 1 << 18)
+    df = spark.range(20_000).selectExpr("if(id = 7, null, id * 7919) AS id", "id AS n").repartition(5)
+    keys = df.where("n % 10 = 3")
+    got = near_copies.marked(df, "id", keys, "id")
+    assert got.columns == ["id", "n", "_ps_marked"]
+    on = {r["n"] for r in got.where("_ps_marked").collect()}
+    assert got.count() == 20_000 and set(range(3, 20_000, 10)) <= on and len(on) < 3_600
+    assert near_copies.marked(df, "id", keys.where("false"), "id").where("not _ps_marked").count() == 20_000
+
+
+def test_a_group_of_near_copies_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """Few pairs of a large group are verified, and all of it is found."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(3000)}" for _ in range(300)]
+    rows = [(i, edited(r, base, 0.9)) for i in range(800)]
+    counts, real = [], near_copies.verified
+
+    def counted(pairs, sets):
+        counts.append(pairs.count())
+        return real(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert [x["doc_id"] for x in kept] == [0]
+    assert sum(counts) < 6 * len(rows), counts
