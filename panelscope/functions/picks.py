@@ -11,13 +11,21 @@ _SINES = [int(abs(math.sin(t + 1)) * 2**32) & 0xFFFFFFFF for t in range(64)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 #: Texts hashed side by side; seven arrays of them stay in a core's cache.
 TILE = 32768
+#: Shifts as arrays without dimension, which numpy need not make anew for each call.
+_SHIFT = [np.array(s, np.uint32) for s in range(32)]
 
 
-def _compress(state: list[np.ndarray], words: list[tuple], shape: tuple[int, int], last: bool) -> list[np.ndarray]:
+def rooms(shape: tuple[int, int]) -> list[np.ndarray]:
+    """The arrays that the hashing of a tile works in, to be used again for the next one: made anew
+    for each tile, their memory would go back to the system and come again page by page."""
+    return [np.empty(shape, np.uint32) for _ in range(7)]
+
+
+def _compress(state: list[np.ndarray], words: list[tuple], shape: tuple[int, int], last: bool, tile: list[np.ndarray]) -> list[np.ndarray]:
     """The state after one block of 16 words; of the ``last`` block its first number alone.
 
     A word is a constant and, where not None, a part of the draw (a column) and one of the slot (a
-    row). Numbers are small until the first slot comes in; then arrays of the tile are reused."""
+    row). Numbers are small until the first slot comes in; then the arrays of the ``tile`` are used."""
     a, b, c, d = state
     full = any(x.shape == shape for x in state)
     room: list = [None] * 7
@@ -27,7 +35,7 @@ def _compress(state: list[np.ndarray], words: list[tuple], shape: tuple[int, int
         const, *parts = words[g]
         full = full or parts[1] is not None
         if full and room[0] is None:
-            room = [np.empty(shape, np.uint32) for _ in range(7)]
+            room = tile
         f, t = room[4:6]
         if turn == 0:
             f = np.bitwise_xor(np.bitwise_and(np.bitwise_xor(c, d, out=f), b, out=f), d, out=f)
@@ -41,16 +49,19 @@ def _compress(state: list[np.ndarray], words: list[tuple], shape: tuple[int, int
         else:  # c and d are what b and c were
             f = np.bitwise_xor(b, x, out=f)
         f = np.add(f, a, out=room[4])
-        f = np.add(f, np.uint32((const + _SINES[step]) & 0xFFFFFFFF), out=room[4])
+        number = np.array((const + _SINES[step]) & 0xFFFFFFFF, np.uint32)
         for part in parts:
-            if part is not None:
-                f = np.add(f, part, out=room[4])
+            if part is not None:  # the constant goes in with the first of them
+                f = np.add(f, part if number is None else part + number, out=room[4])
+                number = None
+        if number is not None:
+            f = np.add(f, number, out=room[4])
         s = _ROTATE[turn][step % 4]
-        t = np.left_shift(f, np.uint32(s), out=t)
-        f = np.bitwise_or(np.right_shift(f, np.uint32(32 - s), out=room[4]), t, out=room[4])
+        t = np.left_shift(f, _SHIFT[s], out=t)
+        f = np.bitwise_or(np.right_shift(f, _SHIFT[32 - s], out=room[4]), t, out=room[4])
         # the new b lies where a did
         a, b, c, d = d, np.add(f, b, out=room[step % 4]), b, c
-    return [b + state[0]] if last else [y + s for y, s in zip((a, b, c, d), state, strict=True)]
+    return [np.add(b, state[0], out=room[4])] if last else [y + s for y, s in zip((a, b, c, d), state, strict=True)]
 
 
 def _digits(numbers: np.ndarray, at: int) -> dict[int, np.ndarray]:
@@ -64,9 +75,10 @@ def _digits(numbers: np.ndarray, at: int) -> dict[int, np.ndarray]:
     return found
 
 
-def first_words(prefix: bytes, draws: np.ndarray, slots: np.ndarray, known: dict[int, np.ndarray] | None = None) -> np.ndarray:
+def first_words(prefix: bytes, draws: np.ndarray, slots: np.ndarray, known: dict[int, np.ndarray] | None = None, tile: list[np.ndarray] | None = None) -> np.ndarray:
     """The first 8 hex digits of ``md5(prefix|draw|slot)`` as numbers, for every draw (rows) and slot.
-    All draws, and all slots, have the same number of digits. ``known``: ``slot_words`` of the slots."""
+    All draws, and all slots, have the same number of digits. ``known``: ``slot_words`` of the slots;
+    ``tile``: ``rooms`` of this shape, one of which the result lies in."""
     wide, tall = len(str(int(slots[0]))), len(str(int(draws[0])))
     text = prefix + b"|" + bytes(tall) + b"|" + bytes(wide)
     consts = np.frombuffer(text + b"\x80" + bytes((55 - len(text)) % 64) + (8 * len(text)).to_bytes(8, "little"), "<u4").tolist()
@@ -75,9 +87,10 @@ def first_words(prefix: bytes, draws: np.ndarray, slots: np.ndarray, known: dict
     words = [(k, across.get(w), down.get(w)) for w, k in enumerate(consts)]
     state = [np.full((1, 1), s, np.uint32) for s in _START]
     shape = (len(draws), len(slots))
+    tile = rooms(shape) if tile is None else tile
     for block in range(0, len(words), 16):
-        state = _compress(state, words[block : block + 16], shape, block + 16 == len(words))
-    return state[0].byteswap()
+        state = _compress(state, words[block : block + 16], shape, block + 16 == len(words), tile)
+    return state[0].byteswap(inplace=True)
 
 
 def slot_words(prefix: bytes, tall: int, slots: np.ndarray) -> dict[int, np.ndarray]:
@@ -105,15 +118,17 @@ def drawn_sums(prefix: bytes, first: int, last: int, n: int, base: int, columns:
             tall = max(1, TILE // wide)
             for s in range(lo, hi, wide):
                 slots = np.arange(s, min(s + wide, hi))
-                known = slot_words(prefix, len(str(a)), slots)
+                known, tile = slot_words(prefix, len(str(a)), slots), None
                 for x in range(a, b, tall):
                     y = min(x + tall, b)
-                    taken = first_words(prefix, np.arange(x, y), slots, known)
-                    taken -= taken // np.uint32(n) * np.uint32(n)
-                    at = taken.astype(np.intp)
+                    shape = (y - x, len(slots))
+                    if tile is None or tile[0].shape != shape:
+                        tile, at, sums = rooms(shape), np.empty(shape, np.intp), np.empty(shape)
+                    taken = first_words(prefix, np.arange(x, y), slots, known, tile)
+                    np.remainder(taken, np.uint32(n), out=at, casting="unsafe")
                     if size == n:
                         for k, c in enumerate(columns):
-                            out[k, x - first : y - first] += c.take(at).sum(axis=1)
+                            out[k, x - first : y - first] += c.take(at, out=sums, mode="clip").sum(axis=1)
                     else:
                         at -= base
                         here = (at >= 0) & (at < size)

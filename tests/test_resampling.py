@@ -64,3 +64,15 @@ def test_digits_of_slots_are_made_once_for_all_draws(monkeypatch):
     got = picks.drawn_sums(b"k", 10, 59, 300, 0, [np.arange(300.0)])
     assert sorted(made) == [10, *[45] * 2, *[50] * 4]  # tiles of one size between 0, 10, 100 and 300
     assert got[0].tolist() == [sum(number("k", d, i) % 300 for i in range(300)) for d in range(10, 60)]
+
+
+def test_tiles_of_one_shape_share_their_arrays(monkeypatch):
+    made = []
+    monkeypatch.setattr(picks, "rooms", lambda shape, of=picks.rooms: made.append(shape) or of(shape))
+    monkeypatch.setattr(picks, "TILE", 64)
+    for length in (1, 60):  # one block of MD5, two
+        made.clear()
+        key = "k" * length
+        got = picks.drawn_sums(key.encode(), 10, 59, 300, 0, [np.arange(300.0), np.ones(300)])
+        assert got.tolist() == [[sum(number(key, d, i) % 300 for i in range(300)) for d in range(10, 60)], [300.0] * 50]
+        assert len(made) <= 16 < 50  # two shapes at most for a range of slots, not one for every tile
