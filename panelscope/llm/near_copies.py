@@ -19,7 +19,8 @@ cells too full for one search take part in the next; those of cells too full for
 as well (pages of one template), of several components, are held against each other once more,
 exactly (``by_rare_shingles``): two sets so similar share one of their rarest shingles, near the
 front of both in the order of rarity. What such texts have in common is not rare among them, so
-this makes few pairs, and none inside a component.
+this makes few pairs, and none inside a component. As it is exact, the pairs that the third
+search finds in such cells are left to it. No pair is verified twice.
 
 Texts are long, and joins would send all of them over the network to find a few. So the keys that
 are looked for are first marked in a bitmap of fixed size (``marked``), which is broadcast: only the
@@ -31,6 +32,7 @@ words are one shingle. Repeated rows share a text and weigh nothing in the searc
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 from math import acos, ceil, comb, log2, pi
 
@@ -115,11 +117,11 @@ def marked(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
 def candidates(texts: DataFrame, bits: int, known: DataFrame | None = None) -> DataFrame:
     """(key, o, crowded): for a text in a cell the neighbours (key, d) it is paired with, ``d`` bits
     of the fingerprint away, and whether the cell holds more than that; repeats included. With
-    ``known`` (node, root), only pairs of two components, and only cells that hold several; then
+    ``known`` (key, root), only pairs of two components, and only cells that hold several; then
     a row has its root, too, and so have the neighbours."""
     masks = [sum(1 << i for i in c) for k in range(2) for c in combinations(range(bits), k)]
     if known is not None:
-        texts = texts.join(known, F.col("key") == F.col("node"), "left").select("key", "fp", "short", F.coalesce("root", "key").alias("root"))
+        texts = texts.join(known, "key", "left").select("key", "fp", "short", F.coalesce("root", "key").alias("root"))
     own = [c for c in texts.columns if c != "short"]
     rows = texts.select(*own, F.posexplode("short").alias("band", "value")).select("*", F.explode(F.lit(masks).cast("array<long>")).alias("m")).select("band", F.col("value").bitwiseXOR(F.col("m")).alias("cell"), *own)
     whole = Window.partitionBy("band", "cell")
@@ -142,30 +144,44 @@ def candidates(texts: DataFrame, bits: int, known: DataFrame | None = None) -> D
 def by_rare_shingles(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of two roots among ``sets`` (key, root, set) that can reach JACCARD, all that do
     among them. Shingles are ordered by how many of the sets hold them; a pair of enough overlap
-    meets at its first common shingle, which is so early in both that enough can follow."""
+    meets at its first common shingles. After the last at which it meets as many more can be
+    common as either set still has; with those before, they must be enough."""
     least = lambda share, n: F.ceil(share * n - 1e-9)
-    each = sets.where(F.size("set") > 0).select("key", "root", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    each = sets.select("key", F.explode("set").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = each.join(often, "shingle")
     text = Window.partitionBy("key")
-    at = F.col("n") - F.count(F.lit(1)).over(text) + F.row_number().over(text.orderBy("c", "shingle"))  # those of one set come first
-    front = shared.withColumn("at", at).where(F.col("at") <= F.col("n") - least(JACCARD, F.col("n")) + 1)
+    numbered = shared.select("key", "shingle", F.count(F.lit(1)).over(text).alias("of"), F.row_number().over(text.orderBy("c", "shingle")).alias("at"))
+    sized = numbered.join(sets.select("key", "root", F.size("set").alias("n")), "key")
+    front = sized.withColumn("at", F.col("n") - F.col("of") + F.col("at")).where(F.col("at") <= F.col("n") - least(JACCARD, F.col("n")) + 1)
     short = front.where(F.col("at") <= F.col("n") - least(2 * JACCARD / (1 + JACCARD), F.col("n")) + 1)
     x, y = (df.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "root", "n", "at"))) for df, s in ((front, "x"), (short, "y")))
     order = F.struct(F.col("n_y"), F.col("key_y")) < F.struct(F.col("n_x"), F.col("key_x"))
-    room = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= least(JACCARD / (1 + JACCARD), F.col("n_x") + F.col("n_y"))
+    need = least(JACCARD / (1 + JACCARD), F.col("n_x") + F.col("n_y"))
+    room = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= need  # holds at the first and those that count
     met = x.join(y, "shingle").where((F.col("root_x") != F.col("root_y")) & order & (F.col("n_y") >= least(JACCARD, F.col("n_x"))) & room)
-    return met.select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b")).distinct()
+    after = F.least(F.min(F.col("n_x") - F.col("at_x")), F.min(F.col("n_y") - F.col("at_y")))
+    enough = met.groupBy("key_x", "key_y").agg((F.count(F.lit(1)) + after >= F.first(need)).alias("enough")).where("enough")
+    return enough.select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
-    of = lambda side: sets.select(F.col("key").alias(side), F.col("set").alias(f"{side}_set"))
+    """The pairs (a, b) whose shingle sets are similar enough. Only the sets of ``pairs`` travel."""
+    of = lambda side: marked(sets, "key", pairs, side).where("_ps_marked").select(F.col("key").alias(side), F.col("set").alias(f"{side}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     alike = both >= JACCARD * (F.size("a_set") + F.size("b_set") - both)
     return pairs.join(of("a"), "a").join(of("b"), "b").where(alike).select("a", "b")
 
 
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (key, root) after the components that ``links`` (a, b) lead between have become one:
+    only their roots take part, so what was joined before is not gone through again."""
+    end = lambda side: known.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root"))
+    of = components(links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    then = known.join(of.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("key", F.coalesce("to", "root").alias("root"))
+    return materialize(then, "known")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, root) for every row: documents of one root are copies or near copies."""
     hashes, bits = plan(docs.count())
@@ -184,29 +200,34 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = materialize(had.select("key", F.pandas_udf("array<long>")(lambda s: s.map(lambda t: shingles(t).view(np.int64)))("text").alias("set")), "sets")
     to = F.explode(F.array_compact(F.array("other", "least")))
     closest = near.select("key", to.alias("other")).select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b")).distinct()
-    first = materialize(verified(closest, sets), "links")
+    tested = [materialize(closest, "tested")]  # no pair is verified twice
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, (t.withColumn("old", F.lit(True)) for t in tested), pairs.withColumn("old", F.lit(False)))
+        tested.append(materialize(rows.groupBy("a", "b").agg(F.bool_or("old").alias("old")).where("not old").drop("old"), "tested"))
+        return tested[-1]
+
+    known = [near.select("key", F.col("key").alias("root"))]
+    known.append(joined(known[-1], verified(tested[0], sets)))
     pair = [F.greatest("key", "x.key").alias("a"), F.least("key", "x.key").alias("b")]
-    again = materialize(candidates(texts.join(near.select("key"), "key", "left_semi"), bits, components(first)).distinct(), "again")
+    again = materialize(candidates(texts.join(near.select("key"), "key", "left_semi"), bits, known[-1]).distinct(), "again")
     between = again.select("key", "root", F.explode("o").alias("x")).groupBy(F.greatest("root", "x.root"), F.least("root", "x.root"))
-    nearest = between.agg(F.min(F.struct("x.d", *pair)).alias("p")).select("p.a", "p.b").distinct()
-    second = materialize(first.unionByName(verified(nearest, sets)), "links")
+    nearest = untested(between.agg(F.min(F.struct("x.d", *pair)).alias("p")).select("p.a", "p.b"))
+    known.append(joined(known[-1], verified(nearest, sets)))
     still = again.select("key").distinct()
-    last = materialize(candidates(texts.join(still, "key", "left_semi"), bits, components(second)).distinct(), "last")
-    crossing = last.select("key", F.explode("o").alias("x")).select(*pair).distinct()
-    third = materialize(second.unionByName(verified(crossing, sets)), "links")
+    last = materialize(candidates(texts.join(still, "key", "left_semi"), bits, known[-1]).distinct(), "last")
+    # what meets in a crowded cell is held against each other below
+    crossing = untested(last.where("not crowded").select("key", F.explode("o").alias("x")).select(*pair))
+    known.append(joined(known[-1], verified(crossing, sets)))
     crowd = last.where("crowded").select("key").distinct()
-    done = [texts, near, first, second, again]
-    if crowd.isEmpty():
-        links = third
-    else:
-        roots = components(third)
-        ranked = crowd.join(sets, "key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "set")
-        links = materialize(third.unionByName(verified(by_rare_shingles(ranked), sets)), "links")
-        done.append(third)
-    for table in (*done, sets, last):
+    if not crowd.isEmpty():
+        held = marked(sets, "key", crowd, "key").where("_ps_marked").drop("_ps_marked")
+        ranked = materialize(crowd.join(held, "key").join(known[-1], "key"), "crowd")
+        known.append(joined(known[-1], verified(untested(by_rare_shingles(ranked)), sets)))
+        discard(ranked)
+    for table in (texts, near, again, sets, last, *tested, *known[:-1]):
         discard(table)
-    of = components(links)
-    return every.select("doc_id", "key").join(of, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    return every.select("doc_id", "key").join(known[-1], "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

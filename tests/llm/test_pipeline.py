@@ -130,3 +130,34 @@ def test_a_group_of_near_copies_is_not_verified_pair_by_pair(spark, monkeypatch)
     kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert [x["doc_id"] for x in kept] == [0]
     assert sum(counts) < 6 * len(rows), counts
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    """Pairs that failed once are not verified again by a later search, and only sets of pairs travel."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(3000)}" for _ in range(200)]
+    rows = [(i, edited(r, base, 0.83)) for i in range(60)]  # about 0.7 between most of them
+    seen, real = [], near_copies.verified
+
+    def kept(pairs, sets):
+        seen.extend((x["a"], x["b"]) for x in pairs.collect())
+        found = real(pairs, sets)
+        assert "bitmap_construct_agg" in found._jdf.queryExecution().optimizedPlan().toString()
+        return found
+
+    monkeypatch.setattr(near_copies, "verified", kept)
+    near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(seen) > 100 and len(seen) == len(set(seen))
+
+
+def test_rare_shingles_miss_no_pair(spark):
+    """Every pair of two roots at 0.8 or more is among those that the exact search returns."""
+    r = random.Random(6)
+    base, sets = list(range(100)), {}
+    for k in range(120):
+        s = [x for x in base[: r.choice((60, 90, 100))] if r.random() > r.choice((0, 0.05, 0.2))]
+        sets[k] = sorted({*s, *(1000 + r.randrange(40) for _ in range(r.randrange(8)))})
+    df = spark.createDataFrame([(k, k % 50, s) for k, s in sets.items()], "key long, root long, set array<long>")
+    got = [(x["a"], x["b"]) for x in near_copies.by_rare_shingles(df).collect()]
+    alike = {(a, b) for a in sets for b in sets if a > b and a % 50 != b % 50 and 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})}
+    assert len(alike) > 50 and len(got) == len(set(got)) and alike <= set(got)
