@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.operators.analysis import first_loss
@@ -126,12 +128,41 @@ def run_diagnostics(log: DataFrame, model: str, epoch: str, loss: str) -> DataFr
 
 def cell_overlaps(cells: DataFrame, name: str, cell: list[str]) -> DataFrame:
     """Pairs of gap sets that share a cell: shared cells, Jaccard index, overlap coefficient, sameness.
-    Pairs come from an equi-join on cells, so only sets that touch meet. Cells are often exploded from
-    a small table, whose size Spark takes for theirs: the merge joins keep them from being broadcast."""
-    c = cells.select(name, *cell).distinct()
-    size = c.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    o = c.select(*cell, F.col(name).alias("other"))
-    both = c.join(o.hint("merge"), cell).where(F.col(name) < F.col("other")).groupBy(name, "other").agg(F.count(F.lit(1)).alias("shared"))
+    The last column of ``cell`` may be a date: a set's cells of 64 days are then one word of bits, made
+    before anything is shuffled. Cells with a null in ``cell`` are no cells."""
+    c = cells.select(name, *cell).where(_known([name, *cell]))
+    *keys, last = cell
+    if dict(c.dtypes)[last] != "date":
+        return _overlaps(c.select(name, *cell, F.lit(0).alias("_bin"), F.lit(1).cast("long").alias("_bits")), name, cell)
+    day = F.unix_date(last)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), day.bitwiseAND(F.lit(63)))
+    return _overlaps(c.groupBy(name, *keys, F.shiftright(day, 6).alias("_bin")).agg(F.bit_or(bit).alias("_bits")), name, keys)
+
+
+def span_overlaps(spans: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """``cell_overlaps`` of sets given as spans (name, keys, start_date, end_date), one or more to a set,
+    that may touch: no day becomes a row. A span that ends before it starts has no cells."""
+    s = spans.select(name, *keys, F.unix_date("start_date").alias("_s"), F.unix_date("end_date").alias("_e")).where(_known([name, *keys])).where("_s <= _e")
+    binned = s.withColumn("_bin", F.explode(F.sequence(F.shiftright("_s", 6), F.shiftright("_e", 6))))
+    bits = F.expr("shiftleft(shiftrightunsigned(-1L, 63 - least(_e - 64 * _bin, 63) + greatest(_s - 64 * _bin, 0)), greatest(_s - 64 * _bin, 0))")
+    return _overlaps(binned.select(name, *keys, "_bin", bits.alias("_bits")), name, keys)
+
+
+def _known(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def _overlaps(words: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """The pairs of sets whose words (name, keys, _bin, _bits), none of them null, have a bit in common.
+    Words are shuffled once, by the place they are of, and both sides of the pairs and the sizes read
+    that. Spark takes the size of the table for theirs: the merge joins keep them from being broadcast."""
+    at = [*keys, "_bin"]
+    w = words.repartition(*at).groupBy(*at, name).agg(F.bit_or("_bits").alias("_bits"))
+    size = w.groupBy(name).agg(F.sum(F.bit_count("_bits")).alias("n"))
+    o = w.select(*at, F.col(name).alias("other"), F.col("_bits").alias("_other"))
+    shared = F.bit_count(F.col("_bits").bitwiseAND(F.col("_other")))
+    both = w.join(o.hint("merge"), at).where(F.col(name) < F.col("other")).select(name, "other", shared.alias("_k")).where("_k > 0")
+    both = both.groupBy(name, "other").agg(F.sum("_k").alias("shared"))
     met = both.join(size.hint("merge"), name).join(size.select(F.col(name).alias("other"), F.col("n").alias("m")).hint("merge"), "other")
     s, n, m = F.col("shared"), F.col("n"), F.col("m")
     return met.select(name, "other", "shared", (s / (n + m - s)).alias("jaccard"), (s / F.least(n, m)).alias("overlap"), ((s == n) & (s == m)).alias("duplicate"))

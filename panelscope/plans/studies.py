@@ -162,8 +162,7 @@ def _(spark, sf_dir):
 @_add("o1_cell_overlaps", f"""{IV}, c AS (SELECT entity, interval_id, start_date + CAST(unnest(range(0, 31)) AS INT) AS d FROM iv),
 b AS (SELECT x.interval_id, y.interval_id AS other, count(*) AS shared FROM c x JOIN c y ON x.entity = y.entity AND x.d = y.d AND x.interval_id < y.interval_id GROUP BY ALL) SELECT interval_id, other, shared, {r('shared / (62 - shared)', 'jaccard')}, {r('shared / 31', 'overlap')}, shared = 31 AS duplicate FROM b""")
 def _(spark, sf_dir):
-    cells = adapters.interval_table(spark, sf_dir).select("entity", "interval_id", F.explode(F.sequence("start_date", "end_date")).alias("d"))
-    return studies.cell_overlaps(cells, "interval_id", ["entity", "d"])
+    return studies.span_overlaps(adapters.interval_table(spark, sf_dir), "interval_id", ["entity"])
 
 
 @_add("o5_replication", f"""{IV}, c AS (SELECT *, CASE WHEN start_date <= max(end_date) OVER (PARTITION BY entity ORDER BY start_date, interval_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM iv), g AS (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY start_date, interval_id) AS cl FROM c),

@@ -34,3 +34,56 @@ def test_days_are_covered_as_by_hand(spark):
     lines = plan(got).split("\n")
     made, shuffled = (next(i for i, line in enumerate(lines) if w in line) for w in ("Generate explode(sequence(cast(greatest", "Exchange"))
     assert made < shuffled  # the plan is read from the result down
+
+
+def overlaps_by_hand(cells):
+    """(name, other, shared, jaccard, overlap, duplicate) of sets of cells by name."""
+    out = set()
+    for a in cells:
+        for b in cells:
+            if a < b and (k := len(cells[a] & cells[b])):
+                n, m = len(cells[a]), len(cells[b])
+                out.add((a, b, k, k / (n + m - k), k / min(n, m), k == n == m))
+    return out
+
+
+def test_overlaps_of_spans_and_of_cells_are_those_by_hand(spark):
+    rows = [("a", 1, 0, 30), ("a", 2, 20, 50), ("a", 2, 45, 300), ("b", 2, 0, 0), ("b", 3, -20000, 9), ("b", 3, 5, 9), ("a", 4, 300, 300), ("a", 5, 9, 3)]
+    rows += [("c", 6, -10300, -10213), ("c", 7, -10227, -10226), ("c", 8, -10227, -10226), ("a", 9, 63, 64), ("b", 10, -10227 - 64, -10227 - 1)]
+    cells = {}
+    for e, i, a, b in rows:
+        cells.setdefault(i, set()).update((e, k) for k in range(a, b + 1))
+    want = overlaps_by_hand(cells)
+    assert len(want) > 5 and any(w[-1] for w in want)
+    spans = intervals(spark, [*rows, (None, 1, 0, 9)])  # without an entity no cell
+    assert {tuple(r) for r in studies.span_overlaps(spans, "interval_id", ["entity"]).collect()} == want
+    days = spans.where("start_date <= end_date").selectExpr("entity", "interval_id", "explode(sequence(start_date, end_date)) AS d")
+    assert {tuple(r) for r in studies.cell_overlaps(days, "interval_id", ["entity", "d"]).collect()} == want
+    texts = days.selectExpr("entity", "interval_id", "string(d) AS d")  # no date: cell by cell
+    assert {tuple(r) for r in studies.cell_overlaps(texts.unionByName(texts), "interval_id", ["entity", "d"]).collect()} == want
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a run write; one that is read again counts once."""
+    df.collect()
+    seen, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif name != "ReusedExchangeExec":
+            if name == "ShuffleExchangeExec":
+                seen += p.metrics().apply("shuffleRecordsWritten").value()
+            todo.extend(p.children().apply(i) for i in range(p.children().size()))
+    return seen
+
+
+def test_days_of_sets_are_shuffled_as_words(spark, tmp_path):
+    intervals(spark, [(str(i // 2), i, 7 * i, 7 * i + 30) for i in range(1000)]).write.parquet(f"{tmp_path}/iv")
+    spans = spark.read.parquet(f"{tmp_path}/iv")
+    assert 3000 <= shuffled_rows(studies.span_overlaps(spans, "interval_id", ["entity"])) <= 6000  # up to two words a set, by places and by names, and 500 pairs
+    days = spans.selectExpr("entity", "interval_id", "explode(sequence(start_date, end_date)) AS d")
+    assert 3000 <= shuffled_rows(studies.cell_overlaps(days, "interval_id", ["entity", "d"])) <= 8000
