@@ -12,8 +12,21 @@ from panelscope.functions.picks import drawn_sums
 from panelscope.sources.storage import stored
 
 
-#: Clusters of a stratum that a task holds at a time, draws of clusters it makes, tasks a stratum is cut into at most.
-BLOCK, PIECE, WORK, CUTS = 2**20, 4096, 2**23, 32
+#: Clusters of a stratum that a task holds at a time, and a row; picks a task makes at least, where the stratum has
+#: them; tasks a stratum is cut into at most; tasks that all strata are cut into, about, if they have more picks.
+BLOCK, PIECE, WORK, CUTS, TASKS = 2**20, 4096, 2**23, 32, 256
+
+
+def columns_of(numbers: pa.ChunkedArray, pieces: pa.ChunkedArray, width: int) -> np.ndarray:
+    """(width, clusters): the packed pieces in the order of their numbers, each column on its own. The
+    pieces are read where they lie, so that nothing but the result is held besides them."""
+    found = [piece.values.to_numpy() for chunk in pieces.chunks for piece in chunk]
+    out, at = np.empty((width, sum(map(len, found)) // width)), 0
+    for k in np.argsort(numbers.to_numpy()):
+        end = at + len(found[k]) // width
+        out[:, at:end] = found[k].reshape(-1, width).T
+        at = end
+    return out
 
 
 def resampled(clusters: DataFrame, by: list[str], strata: list[str], cluster: str, sums: list[str], n: str, draws: int, seed: int) -> DataFrame:
@@ -26,8 +39,9 @@ def resampled(clusters: DataFrame, by: list[str], strata: list[str], cluster: st
 
     The draws of a stratum are cut into tasks. Each gets the stratum's sums, packed in pieces, makes
     its draws by numpy and returns their sums: no row is made for a single pick, and the sums travel
-    at most ``CUTS`` times. Of a stratum of more than ``BLOCK`` clusters a task has one block, and
-    hashes all slots to find those that fall into it. Strata with a null key are not drawn.
+    at most ``CUTS`` times, and fewer where many large strata make ``TASKS`` tasks without. Of a stratum
+    of more than ``BLOCK`` clusters a task has one block, and hashes all slots to find those that fall
+    into it. Strata with a null key are not drawn.
     """
     group = [*by, *strata]
     w = Window.partitionBy(*group)
@@ -35,23 +49,24 @@ def resampled(clusters: DataFrame, by: list[str], strata: list[str], cluster: st
     c = stored(known.select(*group, F.array(*(F.col(x).cast("double") for x in (n, *sums))).alias("_x"), (F.row_number().over(w.orderBy(cluster)) - 1).cast("long").alias("_i"), F.count(F.lit(1)).over(w).alias("_m")), "clusters")
     pieces = c.groupBy(*group, "_m", F.expr(f"_i div {PIECE}").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_c"))
     pieces = pieces.select(*group, "_m", F.expr(f"_p * {PIECE} div {BLOCK}").alias("_b"), F.col("_p"), F.flatten(F.transform("_c", lambda r: r["_x"])).alias("_x"))
-    each = F.greatest(F.lit(-(-draws // CUTS)), F.least(F.lit(draws), F.expr(f"cast({WORK} div _m as int)")))  # draws of a task
+    firsts = c.where("_i = 0")
+    work = max(WORK, (firsts.agg(F.sum("_m")).first()[0] or 0) * draws // TASKS)
+    each = F.greatest(F.lit(-(-draws // CUTS)), F.expr(f"cast(least({draws}, {work} div _m) as int)"))  # draws of a task
     cut = pieces.withColumn("_each", each).withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(draws), F.col("_each"))))
     text = F.concat_ws("|", F.lit(str(seed)), *(F.col(g).cast("string") for g in group))
     task = [*group, "_b", "_first"]
     # more partitions than tasks, for the few bytes of a task stand for much work and two should seldom meet
-    tasks = c.where("_i = 0").agg(F.sum(F.ceil(F.lit(draws) / each) * F.ceil(F.col("_m") / BLOCK))).first()[0] or 1
+    tasks = firsts.agg(F.sum(F.ceil(F.lit(draws) / each) * F.ceil(F.col("_m") / BLOCK))).first()[0] or 1
     spread = cut.withColumn("_text", text).repartition(min(4 * int(tasks), 2000), *task)
     kept = [f for f in clusters.schema.fields if f.name in by]
     schema = T.StructType([*kept, T.StructField("draw", T.IntegerType()), T.StructField("_s", T.ArrayType(T.DoubleType()))])
     width = 1 + len(sums)
 
     def drawn(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["_p"].to_numpy())
-        x = np.concatenate([table["_x"].combine_chunks()[int(k)].values.to_numpy() for k in order]).reshape(-1, width)
+        x = columns_of(table["_p"], table["_x"], width)
         m, first = table["_m"][0].as_py(), table["_first"][0].as_py()
         last = min(draws, first + table["_each"][0].as_py() - 1)
-        found = drawn_sums(table["_text"][0].as_py().encode(), first, last, m, table["_b"][0].as_py() * BLOCK, [np.ascontiguousarray(col) for col in x.T])
+        found = drawn_sums(table["_text"][0].as_py().encode(), first, last, m, table["_b"][0].as_py() * BLOCK, list(x))
         k = last - first + 1
         same = pa.array(np.zeros(k, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * width), pa.array(found.T.ravel()))

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelscope.functions import picks
@@ -76,3 +77,30 @@ def test_tiles_of_one_shape_share_their_arrays(monkeypatch):
         got = picks.drawn_sums(key.encode(), 10, 59, 300, 0, [np.arange(300.0), np.ones(300)])
         assert got.tolist() == [[sum(number(key, d, i) % 300 for i in range(300)) for d in range(10, 60)], [300.0] * 50]
         assert len(made) <= 16 < 50  # two shapes at most for a range of slots, not one for every tile
+
+
+@pytest.mark.parametrize("chunks", [1, 3, 64])
+def test_pieces_of_a_stratum_are_not_copied_by_arrow(chunks):
+    numbers = np.random.default_rng(1).permutation(64)
+    pieces = [[float(k * 1000 + i) for i in range(300 if k < 63 else 30)] for k in numbers]
+    cut = [pieces[i : i + 64 // chunks] for i in range(0, 64, 64 // chunks)]
+    lists = pa.chunked_array([pa.array(x, pa.list_(pa.float64())) for x in cut])
+    held = pa.total_allocated_bytes()
+    most = pa.default_memory_pool().max_memory()
+    got = resampling.columns_of(pa.chunked_array([numbers]), lists, 3)
+    assert (pa.total_allocated_bytes(), pa.default_memory_pool().max_memory()) == (held, most)
+    want = np.concatenate([pieces[k] for k in np.argsort(numbers)]).reshape(-1, 3)
+    assert got.T.tolist() == want.tolist() and got[0].flags.c_contiguous
+
+
+def test_many_strata_are_cut_into_few_tasks(spark, monkeypatch):
+    rows = [(g, s, c, float(c * c % 17 + s), c % 3 + 1) for g, s in (("a", 0), ("b", 1)) for c in range(40)]
+    df = spark.createDataFrame(rows, "g string, s long, c long, v double, n long")
+    want = by_hand(rows, 23, 5)
+    for name, value in (("WORK", 60), ("CUTS", 23)):
+        monkeypatch.setattr(resampling, name, value)
+    for limit, tasks in ((2, 2), (8, 10), (46, 46), (1000, 46)):  # whole draws to a task, and one at least
+        monkeypatch.setattr(resampling, "TASKS", limit)
+        got = resampled(df)
+        assert f", {4 * tasks}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r["g"], r["draw"]): r["means"] for r in got.collect()} == {k: [pytest.approx(v, abs=2e-9)] for k, v in want.items()}
